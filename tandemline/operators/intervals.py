@@ -35,13 +35,22 @@ def interval_join(
 
 
 def merge_intervals(
-    df: DataFrame, keys: list[str], s: str = "s", e: str = "e", eps: float = 1e-6, span: float = 1000.0
+    df: DataFrame,
+    keys: list[str],
+    s: str = "s",
+    e: str = "e",
+    eps: float = 1e-6,
+    span: float = 1000.0,
+    breaks: Column | None = None,
 ) -> DataFrame:
-    """Union of intervals per key; a start joins while ``s <= current_end + eps``."""
+    """Union of intervals per key; a start joins while ``s <= current_end + eps``.
+
+    ``breaks`` replaces that test by another condition on ``s`` and the running end ``__m``.
+    """
     base = df.select(*keys, F.col(s).alias("s"), F.col(e).alias("e"))
     bucket = F.floor(F.col("s") / span)
     r = running(base, keys, bucket, ["s", "e"], {"__m": ("max", "e")})
-    r = r.withColumn("__new", F.when(F.col("__m").isNull() | (F.col("s") > F.col("__m") + eps), 1).otherwise(0))
+    r = r.withColumn("__new", F.when(F.col("__m").isNull() | (breaks if breaks is not None else F.col("s") > F.col("__m") + eps), 1).otherwise(0))
     # the merged start identifies its island: last start flagged new at or before this row
     r = running(
         r, keys, bucket, ["s", "e"], {"__start": ("last", F.when(F.col("__new") == 1, F.col("s")))}, inclusive=True
