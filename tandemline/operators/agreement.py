@@ -118,7 +118,7 @@ def fleiss_and_ac1(slots: DataFrame, cats: list[str], by: list[str] | None = Non
     pi = (sq - F.col("__m")) / (F.col("__m") * (F.col("__m") - 1))
     g = s.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_slots"), F.sum("__m").alias("n_votes"), F.avg(pi).alias("p_bar"),
-        *[F.sum(c).alias(f"__{c}") for c in cats], *[F.avg(F.col(c) / F.col("__m")).alias(f"__p_{c}") for c in cats],
+        *[F.sum(c).alias(f"__{c}") for c in cats],
     )
     return kappa_columns(g, cats, by)
 
@@ -126,8 +126,7 @@ def fleiss_and_ac1(slots: DataFrame, cats: list[str], by: list[str] | None = Non
 def kappa_columns(g: DataFrame, cats: list[str], keep: list[str]) -> DataFrame:
     q = [F.col(f"__{c}") / F.col("n_votes") for c in cats]
     pe = sum((x * x for x in q[1:]), q[0] * q[0])
-    w = [F.col(f"__p_{c}") for c in cats]
-    pg = sum((x * (1 - x) for x in w[1:]), w[0] * (1 - w[0])) / (len(cats) - 1)
+    pg = (1 - pe) / (len(cats) - 1)
     return g.select(
         *keep, "n_slots", "n_votes", "p_bar", pe.alias("p_e"), F.when(pe < 1, (F.col("p_bar") - pe) / (1 - pe)).alias("kappa"),
         F.when(pg < 1, (F.col("p_bar") - pg) / (1 - pg)).alias("ac1"),

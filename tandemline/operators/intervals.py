@@ -34,6 +34,20 @@ def interval_join(
     return joined.filter((F.col("__k") == F.greatest("__lo_a", "__lo_b")) & cond).drop("__k", "__lo_a", "__lo_b")
 
 
+def label_islands(
+    df: DataFrame, keys: list[str], eps: float = 1e-6, span: float = 1000.0, breaks: Column | None = None
+) -> DataFrame:
+    """Rows (s, e) with the start of their island; a start joins while ``s <= running_end + eps``.
+
+    ``breaks`` replaces that test by another condition on ``s`` and the running end ``__m``.
+    """
+    bucket = F.floor(F.col("s") / span)
+    r = running(df, keys, bucket, ["s", "e"], {"__m": ("max", "e")})
+    new = F.col("__m").isNull() | (breaks if breaks is not None else F.col("s") > F.col("__m") + eps)
+    start = F.when(new, F.col("s"))
+    return running(r.withColumn("__st", start).drop("__m"), keys, bucket, ["s", "e"], {"island": ("last", "__st")}, inclusive=True).drop("__st")
+
+
 def merge_intervals(
     df: DataFrame,
     keys: list[str],
@@ -43,21 +57,10 @@ def merge_intervals(
     span: float = 1000.0,
     breaks: Column | None = None,
 ) -> DataFrame:
-    """Union of intervals per key; a start joins while ``s <= current_end + eps``.
-
-    ``breaks`` replaces that test by another condition on ``s`` and the running end ``__m``.
-    """
+    """Union of intervals per key."""
     base = df.select(*keys, F.col(s).alias("s"), F.col(e).alias("e"))
-    bucket = F.floor(F.col("s") / span)
-    r = running(base, keys, bucket, ["s", "e"], {"__m": ("max", "e")})
-    r = r.withColumn("__new", F.when(F.col("__m").isNull() | (breaks if breaks is not None else F.col("s") > F.col("__m") + eps), 1).otherwise(0))
-    # the merged start identifies its island: last start flagged new at or before this row
-    r = running(
-        r, keys, bucket, ["s", "e"], {"__start": ("last", F.when(F.col("__new") == 1, F.col("s")))}, inclusive=True
-    )
-    return (
-        r.groupBy(*keys, "__start").agg(F.max("e").alias("e")).select(*keys, F.col("__start").alias("s"), "e")
-    )
+    r = label_islands(base, keys, eps, span, breaks)
+    return r.groupBy(*keys, "island").agg(F.max("e").alias("e")).select(*keys, F.col("island").alias("s"), "e")
 
 
 def cross_overlaps(a: DataFrame, b: DataFrame, keys: list[str], width: float, min_len: float = 0.1) -> DataFrame:
