@@ -214,7 +214,7 @@ def two_series(t: Tables):
 
 
 LAG_SQL = lambda n: f"""a AS (SELECT session, ch, idx, p AS v FROM frames), b AS (SELECT session, ch, idx - 3 AS idx, p * CAST(0.5 AS DOUBLE) + {u_sql(32, 'session', 'ch', 'idx')} AS v FROM frames),
- pr AS (SELECT b.session, b.ch, l.lag, a.v AS x, b.v AS y FROM b, range(-{n}, {n} + 1) l(lag), a WHERE a.session = b.session AND a.ch = b.ch AND a.idx = b.idx + l.lag)"""
+ bl AS (SELECT *, unnest(range(-{n}, {n} + 1)) AS lag FROM b), pr AS (SELECT bl.session, bl.ch, bl.lag, a.v AS x, bl.v AS y FROM bl JOIN a ON a.session = bl.session AND a.ch = bl.ch AND a.idx = bl.idx + bl.lag)"""
 
 
 @query(
