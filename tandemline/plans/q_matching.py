@@ -8,6 +8,7 @@ from ..functions import text as X
 from ..functions.keyed import u, u_sql
 from ..operators import agreement as A, frames as D, intervals as I, matching as M, timeline as T
 from ..operators.scan import average_rank, exact_quantiles
+from ..session import cut_lineage
 from .catalog import query
 from .fixtures import ARMS, DAY, SEEDS, WIDTH, Tables
 from .q_frames import SC, WIC_SQL, WS_SQL, auc_sql, chunk_states, STATES_SQL, WORDS_SQL
@@ -338,7 +339,7 @@ def e22(t: Tables):
     w = transcripts(t).select((F.col("conv_id") % 50).alias("session"), F.col("speaker").alias("ch"), X.wer(F.col("ref"), F.col("hyp"), False).alias("wer")).filter("wer is not null")
     w = w.groupBy("session", "ch").agg(F.avg("wer").alias("wer"))
     a = A.auc(D.in_windows(t.frames, t.windows, SC, WIDTH, "overlap", DAY), "p", "inside", SC).filter("auc is not null")
-    j = w.join(a.select(*SC, "auc"), SC)
+    j = cut_lineage(w.join(a.select(*SC, "auc"), SC))  # one row per channel, read three times below
     stats = j.agg(F.count(F.lit(1)).alias("n"), R6(F.corr("wer", "auc")).alias("r"))
     return stats.crossJoin(exact_quantiles(j, [], "wer", {"wer_med": 0.5})).crossJoin(exact_quantiles(j, [], "auc", {"auc_med": 0.5}))
 
