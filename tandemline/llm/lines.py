@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,16 +16,24 @@ NUM, DEN = 4, 5
 #: Counters that token frequencies are summed into; two tokens may share one, which only makes the order less sharp.
 COUNTERS = 1 << 16
 #: Lines under one prefix token that are compared pair by pair; beyond it a second shared token is asked for.
-PAIR_BUCKET = 64
+PAIR_BUCKET = 32
+#: Lines under one token that a line left unsettled is compared with directly; beyond it, under pairs of tokens.
+PROBE_BUCKET = 2048
+#: Frequent prefix tokens that may be broadcast (a number each).
+BROADCAST_TOKENS = 1_000_000
 #: Kept lines whose positions may be broadcast to the documents (32 MB); beyond it that join shuffles.
 BROADCAST_LINES = 4_000_000
-BLANK = "[\\x20\\x09-\\x0D]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: A-Z in lower case, and every blank a space, so that a plain split finds the words.
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", "abcdefghijklmnopqrstuvwxyz     "
 
 
-def tokens(line: Column) -> Column:
-    """Distinct words, A-Z in lower case."""
-    return F.array_distinct(F.array_remove(F.split(F.translate(line, UPPER, LOWER), BLANK), ""))
+def hashes(lower: Column) -> Column:
+    """Distinct words of a translated line as XXH64 values; that two words share one is beyond what 64 bits let occur."""
+    return F.array_remove(F.array_distinct(F.transform(F.split(lower, " "), lambda t: F.xxhash64(t))), F.xxhash64(F.lit("")))
+
+
+def _bit(v: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), v.bitwiseAND(F.lit(63)).cast("int"))
 
 
 def _need(a: Column, b: Column) -> Column:
@@ -32,15 +41,15 @@ def _need(a: Column, b: Column) -> Column:
     return F.ceil((NUM * (a + b)) / F.lit(NUM + DEN))
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
+def _numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
     """``docs`` with ``__n``, which orders the documents by doc_id (null last), then by a hash of the text.
 
     It is the id itself where that is a whole number, never null and never repeated; otherwise the distinct
-    (doc_id, text) are numbered, and rows that repeat both are one document.
+    (doc_id, text) are numbered, and rows that repeat both are one document. Then true comes with it: numbers may repeat.
     """
     whole = isinstance(docs.schema["doc_id"].dataType, (T.LongType, T.IntegerType, T.ShortType))
     if whole and docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
-        return docs.withColumn("__n", F.col("doc_id").cast("long"))
+        return docs.withColumn("__n", F.col("doc_id").cast("long")), False
     keys = docs.select(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("th")).distinct()
     parts = saved(keys.repartitionByRange("none", "id", "th").withColumn("part", F.spark_partition_id()))
     sizes = parts.groupBy("part").agg(F.count("*").alias("n"))
@@ -48,12 +57,12 @@ def _numbered(docs: DataFrame) -> DataFrame:
     inside = F.row_number().over(Window.partitionBy("part").orderBy("none", "id", "th"))
     ids = saved(parts.join(F.broadcast(before), "part").select(F.col("id").alias("__id"), F.col("th").alias("__th"), (F.col("before") + inside).alias("__n")))
     same = docs["doc_id"].eqNullSafe(ids["__id"]) & (F.xxhash64(docs["text"]) == ids["__th"])
-    return docs.join(ids, same).drop("__id", "__th")
+    return docs.join(ids, same).drop("__id", "__th"), True
 
 
-def _rarity(docs: DataFrame) -> Column:
-    """Token -> its place in the common order: frequency class, then hash."""
-    words = docs.select(F.explode(F.split(F.translate("text", UPPER, LOWER), BLANK)).alias("t")).where("t <> ''")
+def _rarity(docs: DataFrame) -> Callable[[Column], Column]:
+    """Hash of a token -> its place in the common order: frequency class, then bits of the hash."""
+    words = docs.select(F.explode(F.split(F.translate("text", UPPER, LOWER), " ")).alias("t")).where("t <> ''")
     found = words.groupBy(F.xxhash64("t").bitwiseAND(F.lit(COUNTERS - 1)).alias("k")).agg(F.count("*").alias("n")).toPandas()
     table = bytearray(COUNTERS)  # sixty-four thousand counters, whatever the input
     top = math.log(max(2, found["n"].max() if len(found) else 2))
@@ -61,8 +70,7 @@ def _rarity(docs: DataFrame) -> Column:
         table[k] = round(126 * math.log(n) / top)  # below 128: each byte reads as one character
     literal = F.lit(bytes(table))
 
-    def place(t: Column) -> Column:
-        h = F.xxhash64(t)
+    def place(h: Column) -> Column:
         at = h.bitwiseAND(F.lit(COUNTERS - 1)).cast("int") + 1
         return F.shiftleft(F.ascii(F.substring(literal, at, F.lit(1)).cast("string")).cast("long"), 32).bitwiseOR(F.shiftrightunsigned(h, 32))
 
@@ -74,13 +82,12 @@ def _classes(docs: DataFrame) -> DataFrame:
     place = _rarity(docs)
     lines = docs.select("did", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lower = F.translate("line", UPPER, LOWER)
-    lines = lines.select("did", "pos", F.xxhash64(F.lit(1), lower).alias("k2"), F.xxhash64(lower).alias("k3"), tokens(F.col("line")).alias("t"))
+    lines = lines.select("did", "pos", F.xxhash64(F.lit(1), lower).alias("k2"), F.xxhash64(lower).alias("k3"), hashes(lower).alias("t"))
     lines = lines.where(F.size("t") > 0).select("did", "pos", "k2", "k3", F.sort_array(F.transform("t", place)).alias("t"))
     n = F.size("t")
-    bit = lambda a, v: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), v.bitwiseAND(F.lit(63)).cast("int")))
     prefix = n - F.ceil(n * NUM / F.lit(DEN)).cast("int") + 1
     lines = lines.select(
-        "did", "pos", "k2", "k3", n.alias("n"), F.aggregate("t", F.lit(0).cast("long"), bit).alias("sig"),
+        "did", "pos", "k2", "k3", n.alias("n"), F.aggregate("t", F.lit(0).cast("long"), lambda a, v: a.bitwiseXOR(_bit(v))).alias("sig"),
         F.transform(F.slice("t", F.lit(1), prefix + 1), lambda v: v.bitwiseAND(F.lit(0xFFFFFFFF))).cast("array<long>").alias("pre"))
     first = F.min(F.struct("did", "pos")).alias("f")
     grouped = lines.groupBy("k2", "k3").agg(first, F.any_value("n").alias("n"), F.any_value("sig").alias("sig"), F.any_value("pre").alias("pre"))
@@ -116,46 +123,62 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     pairs = saved(pairs)
     ends = pairs.select(F.col("xd").alias("d"), F.col("xp").alias("p")).union(pairs.select("yd", "yp")).groupBy("d").agg(F.collect_set("p").alias("ps"))
     ends = saved(ends)  # at most a document's own lines in a row
-    wanted = F.broadcast(ends) if pairs.count() <= BROADCAST_LINES // 8 else ends
+    wanted = F.broadcast(ends) if pairs.count() <= BROADCAST_LINES // 4 else ends
     lines = docs.join(wanted, docs["did"] == F.col("d")).select("d", F.split("text", "\n").alias("lines"), F.explode("ps").alias("p"))
-    sets = lines.select("d", "p", tokens(F.get("lines", F.col("p"))).alias("t")).dropDuplicates(["d", "p"])
-    sets = saved(sets)
-    a = sets.select(F.col("d").alias("xd"), F.col("p").alias("xp"), F.col("t").alias("tx"))
-    b = sets.select(F.col("d").alias("yd"), F.col("p").alias("yp"), F.col("t").alias("ty"))
-    both = F.size(F.array_intersect("tx", "ty"))
-    joined = pairs.join(a, ["xd", "xp"]).join(b, ["yd", "yp"])
-    return joined.where(DEN * both >= NUM * (F.size("tx") + F.size("ty") - both)).select("xd", "xp").distinct()
+    lines = lines.select("d", "p", hashes(F.translate(F.get("lines", F.col("p")), UPPER, LOWER)).alias("t"))
+    # a wider parity first, so that only pairs that are nearly sure bring their token sets
+    spot = lambda k: lambda a, v: a.bitwiseXOR(F.when(F.shiftright(v, 6).bitwiseAND(F.lit(3)) == k, _bit(v)).otherwise(F.lit(0).cast("long")))
+    wide = F.array(*[F.aggregate("t", F.lit(0).cast("long"), spot(k)) for k in range(4)])
+    lines = saved(lines.select("d", "p", "t", F.size("t").alias("n"), wide.alias("w")))
+
+    def side(name: str, *columns: str) -> DataFrame:
+        return lines.select(F.col("d").alias(name + "d"), F.col("p").alias(name + "p"), *[F.col(c).alias(name + c) for c in columns])
+
+    marked = pairs.join(side("x", "n", "w"), ["xd", "xp"]).join(side("y", "n", "w"), ["yd", "yp"])
+    apart = sum((F.bit_count(F.get("xw", F.lit(k)).bitwiseXOR(F.get("yw", F.lit(k)))) for k in range(4)), F.lit(0))
+    marked = saved(marked.where(apart <= F.col("xn") + F.col("yn") - 2 * _need(F.col("xn"), F.col("yn"))).select("xd", "xp", "yd", "yp"))
+    sets = marked.join(side("x", "t"), ["xd", "xp"]).join(side("y", "t"), ["yd", "yp"])
+    sets = sets.select("xd", "xp", F.size("xt").alias("nx"), F.size("yt").alias("ny"), F.size(F.array_intersect("xt", "yt")).alias("both"))
+    return sets.where(DEN * F.col("both") >= NUM * (F.col("nx") + F.col("ny") - F.col("both"))).select("xd", "xp").distinct()
 
 
 def _matched(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(xd, xp) of the distinct lines that an earlier distinct line matches."""
+    """(xd, xp) of the distinct lines that an earlier distinct line matches.
+
+    Under a token with few lines all pairs are candidates. Under a frequent one each line first meets the earliest line
+    only, which settles families of similar lines in linear work; what is left there is compared with the token's lines.
+    Under a very frequent token it is compared under pairs of tokens: two lines that reach the threshold and meet under
+    a token share another one in prefixes longer by one.
+    """
     width = F.col("n") - F.ceil(F.col("n") * NUM / F.lit(DEN)).cast("int") + 1  # ``pre`` has one more where there is one
     rows = lines.select("did", "pos", "n", "sig", F.posexplode(F.slice("pre", F.lit(1), width)).alias("i", "tok"))
-    hot = saved(rows.groupBy("tok").agg(F.count("*").alias("m"), F.min(F.struct("did", "pos", "n", "sig", "i")).alias("y")).where(F.col("m") > PAIR_BUCKET))
+    hot = saved(rows.groupBy("tok").agg(F.count("*").alias("m")).where(F.col("m") > PAIR_BUCKET))
     many = hot.count()
-    heads = F.broadcast(hot) if many <= 100_000 else hot
-    few = rows.join(heads.select("tok"), "tok", "left_anti") if many else rows
-    pairs = _pairs(few, ["tok"])
-    if many:
-        hot_rows = rows.join(heads, "tok")
-        leader = hot_rows.select(F.struct("did", "pos", "n", "sig", "i").alias("x"), "y")
-        pairs = pairs.union(leader.where(_could_match("x", "y", True)).select("x.did", "x.pos", "y.did", "y.pos"))
-    pairs = saved(pairs.distinct())
+    hot = F.broadcast(hot) if many <= BROADCAST_TOKENS else hot
+    few = rows.join(hot, "tok", "left_anti")
+    hot_rows = saved(rows.join(hot, "tok"))
+    x = F.struct("did", "pos", "n", "sig", "i")
+    heads = saved(hot_rows.groupBy("tok").agg(F.min(x).alias("y")))
+    led = hot_rows.select("tok", x.alias("x")).join(F.broadcast(heads) if many <= BROADCAST_TOKENS // 4 else heads, "tok")
+    led = led.where(_could_match("x", "y", True)).select("x.did", "x.pos", "y.did", "y.pos")
+    pairs = saved(_pairs(few, ["tok"]).union(led).distinct())
     # the earliest candidate of a line is nearly always a match; the rest are checked only where it is not
-    best = pairs.groupBy("xd", "xp").agg(F.min(F.struct("yd", "yp")).alias("y")).select("xd", "xp", "y.yd", "y.yp")
+    best = saved(pairs.groupBy("xd", "xp").agg(F.min(F.struct("yd", "yp")).alias("y")).select("xd", "xp", "y.yd", "y.yp"))
     found = saved(_verified(docs, best))
-    rest = pairs.join(best, ["xd", "xp", "yd", "yp"], "left_anti").join(found, ["xd", "xp"], "left_anti")
-    found = saved(found.union(_verified(docs, rest)))
+    rest = pairs.join(found, ["xd", "xp"], "left_anti").join(best, ["xd", "xp", "yd", "yp"], "left_anti")
     if many:
-        # lines under a frequent token still unmatched: any match shares a second token in prefixes longer by one
-        two = rows.join(heads.select("tok"), "tok", "left_semi").select("did", "pos", "tok").join(lines, ["did", "pos"])
-        two = two.select("did", "pos", "n", "sig", "tok", F.explode(F.array_distinct("pre")).alias("tok2")).where("tok <> tok2")
-        two = saved(two)
-        counts = two.groupBy("tok", "tok2").agg(F.count("*").alias("m")).where("m > 1").drop("m")
-        two = saved(two.join(counts, ["tok", "tok2"]))
-        left = two.join(found.select(F.col("xd").alias("did"), F.col("xp").alias("pos")), ["did", "pos"], "left_anti")
-        found = found.union(_verified(docs, _pairs(two, ["tok", "tok2"], left, placed=False).distinct()))
-    return saved(found)
+        settled = found.select(F.col("xd").alias("did"), F.col("xp").alias("pos"))
+        firsts = heads.select("tok", "y.did", "y.pos")
+        left = saved(hot_rows.join(settled, ["did", "pos"], "left_anti").join(firsts, ["tok", "did", "pos"], "left_anti"))
+        near = left.where(F.col("m") <= PROBE_BUCKET)
+        rest = rest.union(_pairs(hot_rows.where(F.col("m") <= PROBE_BUCKET), ["tok"], near))
+        left = left.where(F.col("m") > PROBE_BUCKET).select("tok", "did", "pos")
+        if not left.isEmpty():
+            met = hot_rows.join(left.select("tok").distinct(), "tok", "left_semi").select("tok", "did", "pos").join(lines, ["did", "pos"])
+            two = saved(met.select("did", "pos", "n", "sig", "tok", F.explode(F.array_distinct("pre")).alias("tok2")).where("tok <> tok2"))
+            probes = two.join(left, ["tok", "did", "pos"], "left_semi")
+            rest = rest.union(_pairs(two, ["tok", "tok2"], probes, placed=False))
+    return saved(found.union(_verified(docs, rest.distinct())))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -167,8 +190,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     without a word stay. Rows that repeat id and text are one document. Null texts stay null, empty texts empty. The
     output columns replace columns of the same name.
     """
-    named = _numbered(docs)
-    numbered = named.select(F.col("__n").alias("did"), "text")
+    named, repeated = _numbered(docs)
+    numbered = named.select(F.col("__n").alias("did"), "text").dropDuplicates(["did"]) if repeated else named.select(F.col("__n").alias("did"), "text")
     lines = saved(_classes(numbered))
     matched = _matched(numbered, lines)
     first = lines.select("did", "pos").join(matched, (F.col("did") == F.col("xd")) & (F.col("pos") == F.col("xp")), "left_anti")
