@@ -19,6 +19,8 @@ COUNTERS = 1 << 16
 PAIR_BUCKET = 32
 #: Lines under one token that a line left unsettled is compared with directly; beyond it, under pairs of tokens.
 PROBE_BUCKET = 2048
+#: Lines of so many tokens or more carry a wider parity, as 64 bits tell them apart no longer.
+LONG_LINE = 80
 #: Frequent prefix tokens that may be broadcast (a number each).
 BROADCAST_TOKENS = 1_000_000
 #: Kept lines whose positions may be broadcast to the documents (32 MB); beyond it that join shuffles.
@@ -36,6 +38,16 @@ def _bit(v: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), v.bitwiseAND(F.lit(63)).cast("int"))
 
 
+def _wide(t: str) -> Column:
+    """Parities of 256 counters that the values are dealt to; two sets differ in at least as many tokens as parities."""
+    spot = lambda k: lambda a, v: a.bitwiseXOR(F.when(F.shiftright(v, 6).bitwiseAND(F.lit(3)) == k, _bit(v)).otherwise(F.lit(0).cast("long")))
+    return F.array(*[F.aggregate(t, F.lit(0).cast("long"), spot(k)) for k in range(4)])
+
+
+def _apart(x: str, y: str) -> Column:
+    return sum((F.bit_count(F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k)))) for k in range(4)), F.lit(0))
+
+
 def _need(a: Column, b: Column) -> Column:
     """Shared tokens two sets of these sizes must have at least."""
     return F.ceil((NUM * (a + b)) / F.lit(NUM + DEN))
@@ -87,11 +99,11 @@ def _classes(docs: DataFrame) -> DataFrame:
     n = F.size("t")
     prefix = n - F.ceil(n * NUM / F.lit(DEN)).cast("int") + 1
     lines = lines.select(
-        "did", "pos", "k2", "k3", n.alias("n"), F.aggregate("t", F.lit(0).cast("long"), lambda a, v: a.bitwiseXOR(_bit(v))).alias("sig"),
+        "did", "pos", "k2", "k3", n.alias("n"), F.aggregate("t", F.lit(0).cast("long"), lambda a, v: a.bitwiseXOR(_bit(v))).alias("sig"), F.when(n >= LONG_LINE, _wide("t")).alias("w"),
         F.transform(F.slice("t", F.lit(1), prefix + 1), lambda v: v.bitwiseAND(F.lit(0xFFFFFFFF))).cast("array<long>").alias("pre"))
     first = F.min(F.struct("did", "pos")).alias("f")
-    grouped = lines.groupBy("k2", "k3").agg(first, F.any_value("n").alias("n"), F.any_value("sig").alias("sig"), F.any_value("pre").alias("pre"))
-    return grouped.select("f.did", "f.pos", "n", "sig", F.transform("pre", lambda v: (v - F.when(v >= 1 << 31, F.lit(1 << 32)).otherwise(0)).cast("int")).alias("pre"))
+    grouped = lines.groupBy("k2", "k3").agg(first, F.any_value("n").alias("n"), F.any_value("sig").alias("sig"), F.any_value("w").alias("w"), F.any_value("pre").alias("pre"))
+    return grouped.select("f.did", "f.pos", "n", "sig", "w", F.transform("pre", lambda v: (v - F.when(v >= 1 << 31, F.lit(1 << 32)).otherwise(0)).cast("int")).alias("pre"))
 
 
 def _could_match(x: str, y: str, placed: bool) -> Column:
@@ -115,6 +127,8 @@ def _pairs(rows: DataFrame, keys: list[str], probes: DataFrame | None = None, pl
     test = _could_match("x", "y", placed)
     for s in same:
         test = s & test
+    if "w" in rows.columns:
+        test &= F.coalesce(_apart("x.w", "y.w") <= F.col("x.n") + F.col("y.n") - 2 * _need(F.col("x.n"), F.col("y.n")), F.lit(True))
     return x.join(y, test).select(F.col("x.did").alias("xd"), F.col("x.pos").alias("xp"), F.col("y.did").alias("yd"), F.col("y.pos").alias("yp"))
 
 
@@ -127,16 +141,13 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     lines = docs.join(wanted, docs["did"] == F.col("d")).select("d", F.split("text", "\n").alias("lines"), F.explode("ps").alias("p"))
     lines = lines.select("d", "p", hashes(F.translate(F.get("lines", F.col("p")), UPPER, LOWER)).alias("t"))
     # a wider parity first, so that only pairs that are nearly sure bring their token sets
-    spot = lambda k: lambda a, v: a.bitwiseXOR(F.when(F.shiftright(v, 6).bitwiseAND(F.lit(3)) == k, _bit(v)).otherwise(F.lit(0).cast("long")))
-    wide = F.array(*[F.aggregate("t", F.lit(0).cast("long"), spot(k)) for k in range(4)])
-    lines = saved(lines.select("d", "p", "t", F.size("t").alias("n"), wide.alias("w")))
+    lines = saved(lines.select("d", "p", "t", F.size("t").alias("n"), _wide("t").alias("w")))
 
     def side(name: str, *columns: str) -> DataFrame:
         return lines.select(F.col("d").alias(name + "d"), F.col("p").alias(name + "p"), *[F.col(c).alias(name + c) for c in columns])
 
     marked = pairs.join(side("x", "n", "w"), ["xd", "xp"]).join(side("y", "n", "w"), ["yd", "yp"])
-    apart = sum((F.bit_count(F.get("xw", F.lit(k)).bitwiseXOR(F.get("yw", F.lit(k)))) for k in range(4)), F.lit(0))
-    marked = saved(marked.where(apart <= F.col("xn") + F.col("yn") - 2 * _need(F.col("xn"), F.col("yn"))).select("xd", "xp", "yd", "yp"))
+    marked = saved(marked.where(_apart("xw", "yw") <= F.col("xn") + F.col("yn") - 2 * _need(F.col("xn"), F.col("yn"))).select("xd", "xp", "yd", "yp"))
     sets = marked.join(side("x", "t"), ["xd", "xp"]).join(side("y", "t"), ["yd", "yp"])
     sets = sets.select("xd", "xp", F.size("xt").alias("nx"), F.size("yt").alias("ny"), F.size(F.array_intersect("xt", "yt")).alias("both"))
     return sets.where(DEN * F.col("both") >= NUM * (F.col("nx") + F.col("ny") - F.col("both"))).select("xd", "xp").distinct()
@@ -151,11 +162,11 @@ def _matched(docs: DataFrame, lines: DataFrame) -> DataFrame:
     a token share another one in prefixes longer by one.
     """
     width = F.col("n") - F.ceil(F.col("n") * NUM / F.lit(DEN)).cast("int") + 1  # ``pre`` has one more where there is one
-    rows = lines.select("did", "pos", "n", "sig", F.posexplode(F.slice("pre", F.lit(1), width)).alias("i", "tok"))
+    rows = lines.select("did", "pos", "n", "sig", "w", F.posexplode(F.slice("pre", F.lit(1), width)).alias("i", "tok"))
     hot = saved(rows.groupBy("tok").agg(F.count("*").alias("m")).where(F.col("m") > PAIR_BUCKET))
     many = hot.count()
     hot = F.broadcast(hot) if many <= BROADCAST_TOKENS else hot
-    few = rows.join(hot, "tok", "left_anti")
+    few = rows.drop("w").join(hot, "tok", "left_anti")
     hot_rows = saved(rows.join(hot, "tok"))
     x = F.struct("did", "pos", "n", "sig", "i")
     heads = saved(hot_rows.groupBy("tok").agg(F.min(x).alias("y")))
@@ -175,7 +186,7 @@ def _matched(docs: DataFrame, lines: DataFrame) -> DataFrame:
         left = left.where(F.col("m") > PROBE_BUCKET).select("tok", "did", "pos")
         if not left.isEmpty():
             met = hot_rows.join(left.select("tok").distinct(), "tok", "left_semi").select("tok", "did", "pos").join(lines, ["did", "pos"])
-            two = saved(met.select("did", "pos", "n", "sig", "tok", F.explode(F.array_distinct("pre")).alias("tok2")).where("tok <> tok2"))
+            two = saved(met.select("did", "pos", "n", "sig", "w", "tok", F.explode(F.array_distinct("pre")).alias("tok2")).where("tok <> tok2"))
             probes = two.join(left, ["tok", "did", "pos"], "left_semi")
             rest = rest.union(_pairs(two, ["tok", "tok2"], probes, placed=False))
     return saved(found.union(_verified(docs, rest.distinct())))
