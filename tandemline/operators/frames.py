@@ -265,12 +265,14 @@ def best_lag(a: DataFrame, b: DataFrame, keys: list[str], max_lag: int = 40, min
 
 
 def xcorr(a: DataFrame, b: DataFrame, keys: list[str], max_lag: int = 15, min_pairs: int = 100) -> DataFrame:
-    """Peak of the envelope cross-correlation per key, centred and scaled by the whole series."""
+    """Peak of the envelope cross-correlation per key, centred and scaled by the whole series; lag 0 if one is constant."""
     st = lambda d, p: d.groupBy(*keys).agg(F.avg("v").alias(f"m{p}"), F.stddev_pop("v").alias(f"s{p}"))
     s = lag_sums(a, b, keys, max_lag).filter(F.col("n") >= min_pairs).join(st(a, "a"), keys).join(st(b, "b"), keys)
     cov = (F.col("sxy") - F.col("mb") * F.col("sx") - F.col("ma") * F.col("sy")) / F.col("n") + F.col("ma") * F.col("mb")
-    c = F.when((F.col("sa") < 1e-9) | (F.col("sb") < 1e-9), 0.0).otherwise(cov / (F.col("sa") * F.col("sb")))
-    return s.withColumn("c", c).groupBy(*keys).agg(F.max("c").alias("peak"), F.max_by("lag", F.struct(F.col("c"), -F.col("lag"))).alias("lag"))
+    flat = (F.col("sa") < 1e-9) | (F.col("sb") < 1e-9)
+    c = F.when(flat, 0.0).otherwise(cov / (F.col("sa") * F.col("sb")))
+    first = F.when(flat, -F.abs("lag")).otherwise(-F.col("lag"))
+    return s.withColumns({"c": c, "first": first}).groupBy(*keys).agg(F.max("c").alias("peak"), F.max_by("lag", F.struct("c", "first")).alias("lag"))
 
 
 def perturb(scores: DataFrame, wid: str, kind: str, rate: float, seed: int = 42) -> DataFrame:

@@ -74,8 +74,12 @@ def _sides(a: DataFrame, b: DataFrame, keys: list[str], pad: float, span: float)
 
 
 def match_by_cover(events: DataFrame, windows: DataFrame, keys: list[str], span: float, share: float = 0.5) -> DataFrame:
-    """Greedy match by the share of the event inside a window, each window once; counts per key."""
-    frac = lambda e, w: F.greatest(F.lit(0.0), F.least(e.e, w.e) - F.greatest(e.s, w.s)) / (e.e - e.s)
+    """Greedy match by the share of the event inside a window, each window once; counts per key.
+
+    An event of no length has the share 0.
+    """
+    inside = lambda e, w: F.greatest(F.lit(0.0), F.least(e.e, w.e) - F.greatest(e.s, w.s))
+    frac = lambda e, w: F.when(e.e > e.s, inside(e, w) / F.nullif(e.e - e.s, F.lit(0.0))).otherwise(0.0)
     g = _sides(events, windows, keys, 0.0, span).withColumn("m", n_matched(fold_best(F.col("xs"), F.col("ys"), frac, share)))
     out = g.groupBy(*keys).agg(F.sum("m").alias("matched"), F.sum(F.size("xs")).cast("long").alias("n_pred"), F.sum(F.size("ys")).cast("long").alias("n_gt"))
     rate = lambda n, d: F.when(F.col(d) > 0, F.col(n) / F.col(d)).otherwise(0.0)
