@@ -33,8 +33,10 @@ def response_and_alignment(df: DataFrame, tau: float, by: list[str]) -> DataFram
     return rate.join(a, by) if by else rate.crossJoin(F.broadcast(a))
 
 
-def cap_negatives(df: DataFrame, label: str, n: int, rand: Column, tie: list[str]) -> DataFrame:
-    """All positives and the first ``n`` negatives in keyed-random order."""
+def cap_negatives(df: DataFrame, label: str, n: int | None, rand: Column, tie: list[str]) -> DataFrame:
+    """All positives and the first ``n`` negatives in keyed-random order, or every row that has a label if ``n`` is None."""
+    if n is None:
+        return df.filter(F.col(label).isin(0, 1))
     neg = uniform_rank(df.filter(F.col(label) == 0).withColumn("__u", rand), [], "__u", tie).filter(F.col("rn") <= n)
     return df.filter(F.col(label) == 1).unionByName(neg.drop("__u", "rn"))
 

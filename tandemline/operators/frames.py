@@ -301,10 +301,17 @@ def activity_states(a: DataFrame, b: DataFrame, keys: list[str], thr: float) ->
 
 
 def otsu(df: DataFrame, keys: list[str], col: str, bins: int = 256) -> DataFrame:
-    """Threshold with the largest between-class variance of log values, per group."""
-    v = df.filter(F.col(col) > 0).select(*keys, F.log(F.col(col)).alias("lv"))
-    rng = v.groupBy(*keys).agg(F.min("lv").alias("lo"), F.max("lv").alias("hi"), F.count(F.lit(1)).alias("tot"))
-    pre = v.groupBy(*keys, "lv").agg(F.count(F.lit(1)).alias("c")).join(rng, keys)
+    """Threshold with the largest between-class variance of log values, per group.
+
+    Only positive finite values count. A group with fewer than two gets 0; one whose values are all equal gets the
+    centre of the first bin of a range one wide around that value.
+    """
+    x = F.col(col)
+    v = df.select(*keys, F.when((x > 0) & (x < float("inf")), F.log(x)).alias("lv"))
+    rng = v.groupBy(*keys).agg(F.min("lv").alias("lo"), F.max("lv").alias("hi"), F.count("lv").alias("tot"))
+    flat = F.when(F.col("tot") < 2, 0.0).otherwise(F.exp(F.col("lo") - 0.5 + 0.5 / bins))
+    flat = rng.filter("tot < 2 or hi = lo").select(*keys, flat.alias("threshold"))
+    pre = v.filter("lv is not null").groupBy(*keys, "lv").agg(F.count(F.lit(1)).alias("c")).join(rng, keys)
     k = F.least(F.floor((F.col("lv") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))
     h = pre.filter("hi > lo").groupBy(*keys, k.alias("k"), "lo", "hi", "tot").agg(F.sum("c").alias("c"))
     center = F.col("lo") + (F.col("k") + 0.5) * (F.col("hi") - F.col("lo")) / bins
@@ -315,9 +322,8 @@ def otsu(df: DataFrame, keys: list[str], col: str, bins: int = 256) -> DataFrame
     den = F.col("om") * (1 - F.col("om"))
     sig = F.when(den > 1e-12, F.pow(F.col("mt") * F.col("om") - F.col("mu"), 2) / den).otherwise(0.0)
     # empty bins repeat the variance of the bin before, so the first maximum is always an occupied bin
-    return h.withColumn("sig", F.round(sig, 12)).groupBy(*keys).agg(
-        F.exp(F.max_by("center", F.struct(F.col("sig"), -F.col("k")))).alias("threshold")
-    )
+    best = F.exp(F.max_by("center", F.struct(F.col("sig"), -F.col("k"))))
+    return h.withColumn("sig", F.round(sig, 12)).groupBy(*keys).agg(best.alias("threshold")).unionByName(flat)
 
 
 def window_percentile(windows: DataFrame, frames: DataFrame, keys: list[str], wid: str, width: float) -> DataFrame:

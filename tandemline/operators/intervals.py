@@ -135,7 +135,8 @@ def turn_taking_rules(user: DataFrame, agent: DataFrame, keys: list[str], width:
         ).alias("n_succ"),
         F.count_if((F.col("b_s") < F.col("a_s")) & (F.col("a_s") < F.col("b_e") - 0.5)).alias("n_wrong"),
     )
-    rounds = user.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_round"))
+    sides = user.select(*keys, F.lit(1).alias("__u")).unionByName(agent.select(*keys, F.lit(0).alias("__u")))
+    rounds = sides.groupBy(*keys).agg(F.sum("__u").alias("n_round"))  # a key without user segments has no round
 
     # next user start at or after the agent end, and the last user (by start) that ended by the agent start
     nul = F.lit(None).cast("double")
@@ -163,7 +164,7 @@ def turn_taking_rules(user: DataFrame, agent: DataFrame, keys: list[str], width:
     )
     z = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     out = rounds.join(counts, keys, "left").join(noise, keys, "left").select(
-        *keys, "n_round", (F.col("n_round") - 1).alias("n_interrupt"), z("n_succ").alias("n_succ"),
+        *keys, "n_round", F.greatest(F.lit(0), F.col("n_round") - 1).alias("n_interrupt"), z("n_succ").alias("n_succ"),
         z("n_wrong").alias("n_wrong"), z("n_noise").alias("n_noise"),
     )
     ratio = lambda n, d: F.when(F.col(d) > 0, F.col(n) / F.col(d))

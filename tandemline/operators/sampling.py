@@ -7,14 +7,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .scan import running, uniform_rank
 
 
-def near_used(cands: DataFrame, used: DataFrame, keys: list[str], t: str, length: float) -> DataFrame:
-    """Candidates with a used chunk of the same key closer than ``length``: an equi-join on time cells."""
+def near_used(cands: DataFrame, used: DataFrame, keys: list[str], t: str, length: float, apart: bool = False) -> DataFrame:
+    """Candidates with a used chunk of the same key closer than ``length``: an equi-join on time cells.
+
+    ``apart`` leaves out used chunks at the very same time. Chunks that just touch are not closer, whatever the rounding.
+    """
     k = F.floor(F.col(t) / length)
     a = cands.withColumn("__k", k)
     b = used.select(*keys, F.col(t).alias("__ut"), F.explode(F.array(k - 1, k, k + 1)).alias("__k"))
-    return a.alias("a").join(
-        b.alias("b"), [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*keys, "__k"]] + [F.abs(F.col(f"a.{t}") - F.col("__ut")) < length], "left_semi"
-    ).drop("__k")
+    dist = F.abs(F.col(f"a.{t}") - F.col("__ut"))
+    near = (dist < length - 1e-9) & (dist > 0) if apart else dist < length - 1e-9
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*keys, "__k"]]
+    return a.alias("a").join(b.alias("b"), [*same, near], "left_semi").drop("__k")
 
 
 def exclude_overlapping(cands: DataFrame, used: DataFrame, keys: list[str], cid: str, t: str, length: float) -> DataFrame:
@@ -22,6 +26,19 @@ def exclude_overlapping(cands: DataFrame, used: DataFrame, keys: list[str], cid:
     return cands.join(used.select(cid), cid, "left_anti").join(hit, cid, "left_anti")
 
 
+def flag_adjacent(cands: DataFrame, used: DataFrame, keys: list[str], t: str, length: float) -> DataFrame:
+    """Candidates that overlap a used chunk at another time."""
+    return near_used(cands, used, keys, t, length, apart=True)
+
+
+def split_rounds(df: DataFrame, key: list[str], rand: Column, tie: list[str], per: int) -> DataFrame:
+    """All rounds in batches of ``per``; a batch is complete if every key has a row in each of its rounds."""
+    r = uniform_rank(df.withColumn("__u", rand), key, "__u", tie, "__rnd")
+    g = r.groupBy(F.expr(f"(__rnd - 1) div {per}").alias("batch")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(*key).alias("n_keys"))
+    keys = df.agg(F.countDistinct(*key).alias("__keys"))  # one row
+    return g.crossJoin(F.broadcast(keys)).select("batch", "n", "n_keys", (F.col("n") == per * F.col("__keys")).cast("long").alias("complete"))
+
+
 def round_robin(df: DataFrame, key: list[str], n: int, rand: Column, tie: list[str]) -> DataFrame:
     """One row per key per round in keyed-random order until ``n`` rows; prefix-stable."""
     r = uniform_rank(df.withColumn("__u", rand), key, "__u", tie, "round")

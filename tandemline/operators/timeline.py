@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.keyed import u
 from .intervals import classify_duration, condition_label, interval_join, length_bucket, matched_ids, rasterize
 
 
@@ -69,8 +68,8 @@ def overlaps_other(a: DataFrame, b: DataFrame, keys: list[str], ids: list[str],
     return matched_ids(interval_join(a, b, keys, width, on=on), ids)
 
 
-def build_events_nested(utts: DataFrame, bcs: DataFrame, file: str, width: float, cap: int = 30, seed: int = 42) -> DataFrame:
-    """Events of nested dialogues.
+def build_events_nested(utts: DataFrame, bcs: DataFrame, file: str, width: float) -> DataFrame:
+    """Events of nested dialogues, all of them; ``cap_per_group`` thins them where a set needs it.
 
     utts: file, uttr_idx, speaker, s, e; bcs: file, uttr_idx, bidx, speaker (of the host), s, e.
     """
@@ -100,14 +99,11 @@ def build_events_nested(utts: DataFrame, bcs: DataFrame, file: str, width: float
         )
     )
     cand = j.select(*ids, F.col("a_s").alias("s"), F.col("a_e").alias("e"), F.explode(kinds).alias("cls"))
-    kept = cap_per_group(cand, [file, "cls"], cap, u(seed, file, "cls", "uttr_idx"), ["uttr_idx"])
-    return bc.unionByName(kept.select(file, "cls", "speaker", "s", "e", "uttr_idx", F.lit(-1).cast("long").alias("bidx")))
+    return bc.unionByName(cand.select(file, "cls", "speaker", "s", "e", "uttr_idx", F.lit(-1).cast("long").alias("bidx")))
 
 
-def build_events_turns(
-    turns: DataFrame, bcs: DataFrame, key: str, max_len: float, cap: int = 30, seed: int = 42
-) -> DataFrame:
-    """Events of transcripts. turns: key, id, speaker, overlap, s, e; bcs: key, id, speaker, s, e."""
+def build_events_turns(turns: DataFrame, bcs: DataFrame, key: str, max_len: float) -> DataFrame:
+    """Events of transcripts, all of them. turns: key, id, speaker, overlap, s, e; bcs: key, id, speaker, s, e."""
     d = F.col("e") - F.col("s")
     bc = bcs.filter((d >= 0.15) & (d <= 3.0))
     cls = F.when(F.col("overlap") & (d > 0.3), "Int").when(~F.col("overlap") & (d > 0.5), "None")
@@ -115,7 +111,6 @@ def build_events_turns(
     # a turn that starts and ends within 0.3 of a backchannel is that backchannel
     near = _near_points(cand, bc, key)
     kept = cand.join(near, [key, "id"], "left_anti")
-    kept = cap_per_group(kept, [key, "cls"], cap, u(seed, key, "cls", "id"), ["id"])
     cols = [key, "id", "cls", "speaker", "s", "e"]
     return bc.withColumn("cls", F.lit("BC")).select(*cols).unionByName(kept.select(*cols))
 
@@ -216,8 +211,10 @@ def block_state(blocks: DataFrame, bcs: DataFrame, utts: DataFrame, keys: list[s
     )
 
 
-def side_text(windows: DataFrame, utts: DataFrame, keys: list[str], wid: str, margin: float, width: float, max_chars: int = 700) -> DataFrame:
-    """Context around each window: utterances with a signed relative time, joined in time order, cut with an ellipsis.
+def side_text(windows: DataFrame, utts: DataFrame, keys: list[str], wid: str, margin: float, width: float, max_chars: int | None = None) -> DataFrame:
+    """Context around each window: utterances with a signed relative time, joined in time order.
+
+    With ``max_chars`` longer contexts are cut, end in an ellipsis and are flagged in ``truncated``.
 
     windows: keys, wid, a, b; utts: keys, s, e, text.  The rows of one window are bounded by its margin.
     """
@@ -228,7 +225,11 @@ def side_text(windows: DataFrame, utts: DataFrame, keys: list[str], wid: str, ma
     item = F.concat(F.lit("["), F.when(rel >= 0, "+").otherwise(""), F.format_string("%.1f", rel), F.lit("s] "), F.col("text"))
     agg = j.groupBy(*keys, wid).agg(F.sort_array(F.collect_list(F.struct("b_s", "b_e", item.alias("txt")))).alias("x"))
     txt = F.array_join(F.transform("x", lambda r: r.txt), " ")
-    return agg.select(*keys, wid, F.when(F.length(txt) > max_chars, F.concat(F.substring(txt, 1, max_chars), F.lit("…"))).otherwise(txt).alias("context"))
+    if max_chars is None:
+        return agg.select(*keys, wid, txt.alias("context"))
+    long = F.length(txt) > max_chars
+    cut = F.when(long, F.concat(F.substring(txt, 1, max_chars), F.lit("…"))).otherwise(txt)
+    return agg.select(*keys, wid, cut.alias("context"), long.alias("truncated"))
 
 
 def channel_attribution(frames: DataFrame, utts: DataFrame, key: str, hop: float, width: float) -> DataFrame:

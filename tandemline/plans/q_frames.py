@@ -334,10 +334,11 @@ def d21(t: Tables):
 
 @query(
     "d22_otsu", "",
-    """WITH v AS (SELECT l_returnflag AS grp, ln(l_extendedprice) AS lv FROM lineitem WHERE l_extendedprice > 0), r AS (SELECT grp, min(lv) AS lo, max(lv) AS hi, count(*) AS tot FROM v GROUP BY 1),
- h AS (SELECT grp, least(CAST(floor((lv - lo) / (hi - lo) * 256) AS BIGINT), 255) AS k, lo, hi, tot, count(*) AS c FROM v JOIN r USING (grp) GROUP BY ALL), p AS (SELECT *, c / tot AS pr, lo + (k + CAST(0.5 AS DOUBLE)) * (hi - lo) / 256 AS center FROM h),
+    """WITH v AS (SELECT l_returnflag AS grp, CASE WHEN l_extendedprice > 0 THEN ln(l_extendedprice) END AS lv FROM lineitem), r AS (SELECT grp, min(lv) AS lo, max(lv) AS hi, count(lv) AS tot FROM v GROUP BY 1),
+ h AS (SELECT grp, least(CAST(floor((lv - lo) / (hi - lo) * 256) AS BIGINT), 255) AS k, lo, hi, tot, count(*) AS c FROM v JOIN r USING (grp) WHERE lv IS NOT NULL AND hi > lo GROUP BY ALL), p AS (SELECT *, c / tot AS pr, lo + (k + CAST(0.5 AS DOUBLE)) * (hi - lo) / 256 AS center FROM h),
  w AS (SELECT *, sum(pr) OVER (PARTITION BY grp ORDER BY k ROWS UNBOUNDED PRECEDING) AS om, sum(pr * center) OVER (PARTITION BY grp ORDER BY k ROWS UNBOUNDED PRECEDING) AS mu, sum(pr * center) OVER (PARTITION BY grp) AS mt FROM p),
- g AS (SELECT *, round(CASE WHEN om * (1 - om) > 1e-12 THEN pow(mt * om - mu, 2) / (om * (1 - om)) ELSE 0 END, 12) AS sig FROM w) SELECT grp, round(exp(arg_max(center, (sig, -k))), 4) AS threshold FROM g GROUP BY 1""",
+ g AS (SELECT *, round(CASE WHEN om * (1 - om) > 1e-12 THEN pow(mt * om - mu, 2) / (om * (1 - om)) ELSE 0 END, 12) AS sig FROM w) SELECT grp, round(exp(arg_max(center, (sig, -k))), 4) AS threshold FROM g GROUP BY 1
+ UNION ALL SELECT grp, CASE WHEN tot < 2 THEN 0 ELSE round(exp(lo - 0.5 + 0.5 / 256), 4) END FROM r WHERE tot < 2 OR hi = lo""",
 )
 def d22(t: Tables):
     li = t.table("lineitem").select(F.col("l_returnflag").alias("grp"), "l_extendedprice")

@@ -174,29 +174,43 @@ def c09(t: Tables):
     "c10_build_events_nested", "utts",
     f"""WITH {NESTED_SQL}, f AS (SELECT conv_id, turn, speaker, s, e, EXISTS (SELECT 1 FROM utts b WHERE b.conv_id = a.conv_id AND b.speaker = 1 - a.speaker AND b.s < a.s AND a.s < b.e - 0.1) AS ins,
  EXISTS (SELECT 1 FROM utts b WHERE b.conv_id = a.conv_id AND b.speaker = 1 - a.speaker AND least(a.e, b.e) - greatest(a.s, b.s) > 0.1) AS ovr FROM utts a WHERE e - s <= 20),
- c AS (SELECT *, 'Int' AS cls FROM f WHERE ins AND e - s > 0.3 UNION ALL SELECT *, 'None' FROM f WHERE NOT ovr AND e - s > 0.5),
- r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, cls ORDER BY {u_sql(42, 'conv_id', 'cls', 'turn')}, turn) AS rn FROM c)
+ c AS (SELECT *, 'Int' AS cls FROM f WHERE ins AND e - s > 0.3 UNION ALL SELECT *, 'None' FROM f WHERE NOT ovr AND e - s > 0.5)
  SELECT conv_id, 'BC' AS cls, 1 - speaker AS speaker, uttr_idx, bidx, round(s, 6) AS s, round(e, 6) AS e FROM nb WHERE e - s >= 0.15 AND e - s <= 20
- UNION ALL SELECT conv_id, cls, speaker, turn, -1, round(s, 6), round(e, 6) FROM r WHERE rn <= 1""",
+ UNION ALL SELECT conv_id, cls, speaker, turn, -1, round(s, 6), round(e, 6) FROM c""",
 )
 def c10(t: Tables):
     utts = t.utts.withColumnRenamed("turn", "uttr_idx")
-    ev = T.build_events_nested(utts, nested_bcs(t), "conv_id", 60.0, cap=1)
+    ev = T.build_events_nested(utts, nested_bcs(t), "conv_id", 60.0)
     return ev.select("conv_id", "cls", F.col("speaker").cast("long").alias("speaker"), "uttr_idx", "bidx", R6("s").alias("s"), R6("e").alias("e"))
 
 
+TURN_EVENTS_SQL = """tu AS (SELECT *, p > 0.5 AS ov FROM seg WHERE cls <> 'BC' AND e - s <= 60), bc AS (SELECT * FROM seg WHERE cls = 'BC' AND e - s >= 0.15 AND e - s <= 3),
+ c AS (SELECT session, event_id, ch, s, e, CASE WHEN ov AND e - s > 0.3 THEN 'Int' WHEN NOT ov AND e - s > 0.5 THEN 'None' END AS cls FROM tu),
+ k AS (SELECT * FROM c WHERE cls IS NOT NULL AND NOT EXISTS (SELECT 1 FROM bc WHERE bc.session = c.session AND abs(bc.s - c.s) < 0.3 AND abs(bc.e - c.e) < 0.3))"""
+
+
+def turn_events(t: Tables):
+    base = t.seg.select("session", F.col("event_id").alias("id"), F.col("ch").alias("speaker"), "s", "e", "cls", (F.col("p") > 0.5).alias("overlap"))
+    return T.build_events_turns(base.filter("cls <> 'BC'").drop("cls"), base.filter("cls = 'BC'").drop("cls", "overlap"), "session", 60.0)
+
+
 @query(
     "c11_build_events_turns", "seg",
-    f"""WITH tu AS (SELECT *, p > 0.5 AS ov FROM seg WHERE cls <> 'BC' AND e - s <= 60), bc AS (SELECT * FROM seg WHERE cls = 'BC' AND e - s >= 0.15 AND e - s <= 3),
- c AS (SELECT session, event_id, ch, s, e, CASE WHEN ov AND e - s > 0.3 THEN 'Int' WHEN NOT ov AND e - s > 0.5 THEN 'None' END AS cls FROM tu),
- k AS (SELECT * FROM c WHERE cls IS NOT NULL AND NOT EXISTS (SELECT 1 FROM bc WHERE bc.session = c.session AND abs(bc.s - c.s) < 0.3 AND abs(bc.e - c.e) < 0.3)),
- r AS (SELECT *, row_number() OVER (PARTITION BY session, cls ORDER BY {u_sql(42, 'session', 'cls', 'event_id')}, event_id) AS rn FROM k)
- SELECT session, event_id AS id, cls, ch AS speaker, {M_SQL('s')} AS s, {M_SQL('e')} AS e FROM r WHERE rn <= 30 UNION ALL SELECT session, event_id, 'BC', ch, {M_SQL('s')}, {M_SQL('e')} FROM bc""",
+    f"""WITH {TURN_EVENTS_SQL} SELECT session, event_id AS id, cls, ch AS speaker, {M_SQL('s')} AS s, {M_SQL('e')} AS e FROM k
+ UNION ALL SELECT session, event_id, 'BC', ch, {M_SQL('s')}, {M_SQL('e')} FROM bc""",
 )
 def c11(t: Tables):
-    base = t.seg.select("session", F.col("event_id").alias("id"), F.col("ch").alias("speaker"), "s", "e", "cls", (F.col("p") > 0.5).alias("overlap"))
-    ev = T.build_events_turns(base.filter("cls <> 'BC'").drop("cls"), base.filter("cls = 'BC'").drop("cls", "overlap"), "session", 60.0)
-    return ev.select("session", "id", "cls", "speaker", MICROS("s").alias("s"), MICROS("e").alias("e"))
+    return turn_events(t).select("session", "id", "cls", "speaker", MICROS("s").alias("s"), MICROS("e").alias("e"))
+
+
+@query(
+    "c11_cap_per_group", "seg",
+    f"""WITH {TURN_EVENTS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY session, cls ORDER BY {u_sql(42, 'session', 'cls', 'event_id')}, event_id) AS rn FROM k)
+ SELECT session, event_id AS id, cls FROM r WHERE rn <= 30""",
+)
+def c11_cap(t: Tables):
+    ev = turn_events(t).filter("cls <> 'BC'")
+    return T.cap_per_group(ev, ["session", "cls"], 30, u(42, "session", "cls", "id"), ["id"]).select("session", "id", "cls")
 
 
 @query(
@@ -221,8 +235,8 @@ def c13(t: Tables):
     return I.pad_merge(w, ["session", "ch"], F.col("total"), 5.0, 2.0, DAY).select("session", "ch", MICROS("s").alias("s"), MICROS("e").alias("e"))
 
 
-RULES_SQL = lambda src, u="u", a="a": f"""(SELECT k.session, k.n_round, k.n_round - 1 AS n_interrupt, coalesce(c.n_succ, 0) AS n_succ, coalesce(c.n_wrong, 0) AS n_wrong, coalesce(z.n_noise, 0) AS n_noise FROM
- (SELECT session, count(*) AS n_round FROM {src} WHERE ch = 0 GROUP BY 1) k LEFT JOIN
+RULES_SQL = lambda src, u="u", a="a": f"""(SELECT k.session, k.n_round, greatest(0, k.n_round - 1) AS n_interrupt, coalesce(c.n_succ, 0) AS n_succ, coalesce(c.n_wrong, 0) AS n_wrong, coalesce(z.n_noise, 0) AS n_noise FROM
+ (SELECT session, count(*) FILTER (ch = 0) AS n_round FROM {src} WHERE ch IN (0, 1) GROUP BY 1) k LEFT JOIN
  (SELECT a.session, count(*) FILTER (a.s < u.s AND u.s < a.e AND a.e < u.e) AS n_succ, count(*) FILTER (u.s < a.s AND a.s < u.e - 0.5) AS n_wrong FROM {src} a JOIN {src} u ON a.session = u.session AND a.ch = 1 AND u.ch = 0 GROUP BY 1) c USING (session) LEFT JOIN
  (SELECT session, count(*) AS n_noise FROM (SELECT a.session, a.s, a.e, (SELECT min(u.s) FROM {src} u WHERE u.session = a.session AND u.ch = 0 AND u.s >= a.e) AS nu,
   (SELECT max((u.s, u.e)) FROM {src} u WHERE u.session = a.session AND u.ch = 0 AND u.e <= a.s)[2] AS pe FROM {src} a WHERE a.ch = 1) q WHERE nu - e >= 2.5 AND e - s < 5.5 AND pe < s GROUP BY 1) z USING (session))"""
@@ -237,7 +251,7 @@ def rules(t: Tables, seg):
 
 @query(
     "c14_turn_taking_rules", "seg",
-    f"SELECT *, round(n_succ / nullif(n_interrupt, 0), 6) AS sir, round(n_wrong / n_round, 6) AS eir, round(n_noise / nullif(n_interrupt, 0), 6) AS nir FROM {RULES_SQL('seg')}",
+    f"SELECT *, round(n_succ / nullif(n_interrupt, 0), 6) AS sir, round(n_wrong / nullif(n_round, 0), 6) AS eir, round(n_noise / nullif(n_interrupt, 0), 6) AS nir FROM {RULES_SQL('seg')}",
 )
 def c14(t: Tables):
     r = rules(t, t.seg)
@@ -246,7 +260,7 @@ def c14(t: Tables):
 
 @query(
     "c15_source_drift", "seg",
-    f"""WITH sh AS (SELECT session, ch, s, s + (e - s) * CAST(0.7 AS DOUBLE) AS e FROM seg), j AS (SELECT g.n_succ / nullif(g.n_interrupt, 0) AS g1, v.n_succ / nullif(v.n_interrupt, 0) AS v1, g.n_wrong / g.n_round AS g2, v.n_wrong / v.n_round AS v2,
+    f"""WITH sh AS (SELECT session, ch, s, s + (e - s) * CAST(0.7 AS DOUBLE) AS e FROM seg), j AS (SELECT g.n_succ / nullif(g.n_interrupt, 0) AS g1, v.n_succ / nullif(v.n_interrupt, 0) AS v1, g.n_wrong / nullif(g.n_round, 0) AS g2, v.n_wrong / nullif(v.n_round, 0) AS v2,
  g.n_noise / nullif(g.n_interrupt, 0) AS g3, v.n_noise / nullif(v.n_interrupt, 0) AS v3 FROM {RULES_SQL('seg')} g JOIN {RULES_SQL('sh')} v USING (session)),
  l AS (SELECT 'sir' AS metric, g1 AS g, v1 AS v FROM j UNION ALL SELECT 'eir', g2, v2 FROM j UNION ALL SELECT 'nir', g3, v3 FROM j)
  SELECT metric, round(avg(abs(v - g)), 6) AS mae, round(avg(v - g), 6) AS mean_shift, round(corr(v, g), 6) AS r FROM l GROUP BY metric""",
@@ -362,7 +376,7 @@ def c22(t: Tables):
     "c23_side_text", "utts",
     f"""WITH {NESTED_SQL}, j AS (SELECT b.conv_id, b.uttr_idx AS wid, u.s, u.e, round_even(u.s - b.s, 1) AS rel, u.text FROM nb b JOIN utts u ON u.conv_id = b.conv_id AND u.speaker = 1 - b.speaker AND u.e >= b.s - 20 AND u.s <= b.e + 20),
  g AS (SELECT conv_id, wid, string_agg('[' || CASE WHEN rel >= 0 THEN '+' ELSE '' END || format('{{:.1f}}', rel) || 's] ' || text, ' ' ORDER BY s, e) AS x FROM j GROUP BY 1, 2)
- SELECT conv_id, wid, CASE WHEN length(x) > 700 THEN substr(x, 1, 700) || '…' ELSE x END AS context FROM g""",
+ SELECT conv_id, wid, x AS context FROM g""",
 )
 def c23(t: Tables):
     w = nested_bcs(t).select("conv_id", (1 - F.col("speaker")).cast("long").alias("speaker"), F.col("uttr_idx").alias("wid"), F.col("s").alias("a"), F.col("e").alias("b"))

@@ -110,11 +110,11 @@ def e08(t: Tables):
 @query(
     "e09_cap_negatives", "frames windows",
     f"""WITH f AS (SELECT f.session, f.ch, f.idx, f.p AS score, CAST(EXISTS (SELECT 1 FROM windows w WHERE w.session = f.session AND w.ch = f.ch AND (f.t0 + f.t1) / 2 BETWEEN w.a AND w.b) AS INT) AS y FROM frames f),
- x AS (SELECT score, y FROM f WHERE y = 1 UNION ALL SELECT score, y FROM (SELECT *, row_number() OVER (ORDER BY {u_sql(51, 'session', 'ch', 'idx')}, session, ch, idx) AS rn FROM f WHERE y = 0) WHERE rn <= 50000) SELECT * FROM {auc_sql('x')}""",
+ x AS (SELECT score, y FROM f) SELECT * FROM {auc_sql('x')}""",
 )
 def e09(t: Tables):
     f = D.in_windows(t.frames, t.windows, SC, WIDTH, "midpoint", DAY)
-    c = A.cap_negatives(f.withColumnRenamed("inside", "y"), "y", 50000, u(51, "session", "ch", "idx"), ["session", "ch", "idx"])
+    c = A.cap_negatives(f.withColumnRenamed("inside", "y"), "y", None, u(51, "session", "ch", "idx"), ["session", "ch", "idx"])
     return r6(A.auc(c, "p", "y"), "auc")
 
 

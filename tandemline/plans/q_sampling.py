@@ -43,12 +43,9 @@ def g04(t: Tables):
     return G.round_robin(t.chunks, SC, 2000, u(72, "chunk"), ["chunk"]).select("chunk", "round", "pick")
 
 
-@query("g05_split_rounds", "chunks", f"WITH r AS (SELECT session, ch, row_number() OVER (PARTITION BY session, ch ORDER BY {u_sql(72, 'chunk')}, chunk) AS rnd FROM chunks) SELECT (rnd - 1) // 4 AS batch, count(*) AS n, count(DISTINCT (session, ch)) AS n_keys FROM r WHERE rnd <= 16 GROUP BY 1")
+@query("g05_split_rounds", "chunks", f"WITH r AS (SELECT session, ch, row_number() OVER (PARTITION BY session, ch ORDER BY {u_sql(72, 'chunk')}, chunk) AS rnd FROM chunks) SELECT (rnd - 1) // 4 AS batch, count(*) AS n, count(DISTINCT (session, ch)) AS n_keys, CAST(count(*) = 4 * (SELECT count(DISTINCT (session, ch)) FROM chunks) AS BIGINT) AS complete FROM r GROUP BY 1")
 def g05(t: Tables):
-    from ..operators.scan import uniform_rank
-
-    r = uniform_rank(t.chunks.withColumn("x", u(72, "chunk")), SC, "x", ["chunk"], "rnd").filter("rnd <= 16")
-    return r.groupBy(F.expr("(rnd - 1) div 4").alias("batch")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(*SC).alias("n_keys"))
+    return G.split_rounds(t.chunks, SC, u(72, "chunk"), ["chunk"], 4)
 
 
 @query(
@@ -78,13 +75,7 @@ def g10(t: Tables):
 @query("g13_flag_adjacent", "chunks", f"WITH {NEAR_SQL} SELECT chunk FROM chunks c WHERE EXISTS (SELECT 1 FROM us WHERE us.session = c.session AND us.ch = c.ch AND abs(us.t0 - c.t0) < 10 AND us.t0 <> c.t0)")
 def g13(t: Tables):
     used, c = used_cands(t)
-    return adjacent(c, used)
-
-
-def adjacent(c, used):
-    """Chunks next to a training chunk: the neighbour cells on either side, by equality."""
-    b = used.select(*SC, F.explode(F.array(F.col("t0") - 5, F.col("t0") + 5)).alias("t0"))
-    return c.join(b, [*SC, "t0"], "left_semi").select("chunk")
+    return G.flag_adjacent(c, used, SC, "t0", 10.0).select("chunk")
 
 
 @query(

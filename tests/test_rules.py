@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tandemline.functions import text as X
-from tandemline.operators import agreement as A, frames as D, intervals as I, matching as M, scan as S
+from tandemline.operators import agreement as A, frames as D, intervals as I, matching as M, sampling as G, scan as S, timeline as T
 
 
 def rows(df, *order):
@@ -89,3 +89,41 @@ def test_wer_free_prefix(spark):
 def test_exact_quantile(spark):
     df = spark.createDataFrame([(float(i),) for i in range(10)], "v double")
     assert S.exact_quantiles(df, [], "v", {"q": 0.25}).collect()[0]["q"] == 2.25
+
+
+def test_session_without_user_segments(spark):
+    user = spark.createDataFrame([(1, 0.0, 2.0)], "k long, u_s double, u_e double")
+    agent = spark.createDataFrame([(1, 3.0, 4.0), (2, 0.0, 1.0)], "k long, a_s double, a_e double")
+    r = I.turn_taking_rules(user, agent, ["k"], 60.0, 1000.0).select("k", "n_round", "n_interrupt", "n_succ", "sir", "eir")
+    assert rows(r, "k") == [(1, 1, 0, 0, None, 0.0), (2, 0, 0, 0, None, None)]
+
+
+def test_otsu_returns_every_group(spark):
+    import math
+
+    df = spark.createDataFrame([("a", 2.0), ("a", 2.0), ("b", 5.0), ("c", -1.0), ("c", None)], "g string, v double")
+    got = dict(rows(D.otsu(df, ["g"], "v"), "g"))
+    assert set(got) == {"a", "b", "c"} and got["b"] == got["c"] == 0.0
+    assert abs(got["a"] - math.exp(math.log(2.0) - 0.5 + 0.5 / 256)) < 1e-9
+
+
+def test_adjacent_off_the_grid(spark):
+    schema = "k long, c string, t double"
+    used = spark.createDataFrame([(1, "u", 450.0)], schema)
+    cands = spark.createDataFrame([(1, "same", 450.0), (1, "near", 453.0), (1, "touch", 460.0), (2, "other", 453.0)], schema)
+    assert rows(G.flag_adjacent(cands, used, ["k"], "t", 10.0).select("c"), "c") == [("near",)]
+
+
+def test_all_rounds_are_split(spark):
+    df = spark.createDataFrame([(k, i) for k in (1, 2) for i in range(5 - k)], "k long, i long")
+    got = rows(G.split_rounds(df, ["k"], F.col("i") / 8, ["i"], 2), "batch")
+    assert got == [(0, 4, 2, 1), (1, 3, 2, 0)]
+
+
+def test_context_is_whole_unless_cut(spark):
+    w = spark.createDataFrame([(1, 7, 10.0, 11.0)], "k long, wid long, a double, b double")
+    u = spark.createDataFrame([(1, 9.0, 12.0, "x" * 900)], "k long, s double, e double, text string")
+    whole = T.side_text(w, u, ["k"], "wid", 5.0, 60.0).first()
+    assert whole["context"] == "[-1.0s] " + "x" * 900
+    cut = T.side_text(w, u, ["k"], "wid", 5.0, 60.0, max_chars=20).first()
+    assert cut["context"] == whole["context"][:20] + "…" and cut["truncated"]
