@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.keyed import u, u_sql
@@ -16,6 +17,11 @@ DAY = 1440.0  # scan bucket of the minute clock
 WIDTH = 120.0  # interval-join bucket of the minute clock
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Kept on the executors, spilling to disk, as nested scans read the view many times; a lost part is made again."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 class Tables:
     """Lazy access to the given tables and the views over them."""
 
@@ -58,10 +64,10 @@ class Tables:
         cells = self.seg.select("session", "ch", F.floor("s").cast("double").alias("s"), F.floor("e").cast("double").alias("e"))
         runs = merge_intervals(cells, ["session", "ch"], eps=1.0, span=DAY)
         f = runs.select("session", "ch", F.explode(F.sequence(F.col("s").cast("long"), F.col("e").cast("long"))).alias("idx"))
-        return f.select(
+        return kept(f.select(
             "*", F.col("idx").cast("double").alias("t0"), (F.col("idx") + 1).cast("double").alias("t1"),
             u(7, "session", "ch", "idx").alias("p"),
-        )
+        ))
 
     @cached_property
     def windows(self) -> DataFrame:
@@ -98,7 +104,7 @@ class Tables:
         )
         r = running(c, ["conv_id"], F.floor(F.col("turn") / 256), ["turn"], {"w0": ("sum", "n_words")})
         s = F.col("w0") * F.lit(0.4) - F.when(F.col("turn") % 3 == 2, 0.5).otherwise(0.0)
-        return r.select("conv_id", "turn", "speaker", "text", "n_words", s.alias("s"), (s + F.col("n_words") * F.lit(0.4)).alias("e"))
+        return kept(r.select("conv_id", "turn", "speaker", "text", "n_words", s.alias("s"), (s + F.col("n_words") * F.lit(0.4)).alias("e")))
 
     @cached_property
     def words(self) -> DataFrame:
