@@ -20,13 +20,23 @@ PAIR_BUCKET = 32
 #: Lines under one token that a line left unsettled is compared with directly; beyond it, under pairs of tokens.
 PROBE_BUCKET = 2048
 #: Lines of so many tokens or more carry a wider parity, as 64 bits tell them apart no longer.
-LONG_LINE = 80
+LONG_LINE = 104
 #: Frequent prefix tokens that may be broadcast (a number each).
 BROADCAST_TOKENS = 1_000_000
 #: Kept lines whose positions may be broadcast to the documents (32 MB); beyond it that join shuffles.
 BROADCAST_LINES = 4_000_000
-#: A-Z in lower case, and every blank a space, so that a plain split finds the words.
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", "abcdefghijklmnopqrstuvwxyz     "
+
+
+def plain(text: Column) -> Column:
+    """A-Z in lower case, every blank a space, so that a plain split finds the words; other characters are only renamed.
+
+    The bytes are read as Latin-1 and put in lower case: that maps the lead byte of a two-byte character onto one of a
+    longer character, but the count of bytes that follow keeps them apart, so words stay equal or different as before.
+    """
+    low = F.lower(F.decode(text.cast("binary"), "ISO-8859-1"))
+    for blank in "\t\n\x0b\x0c\r":
+        low = F.replace(low, F.lit(blank), F.lit(" "))
+    return low
 
 
 def hashes(lower: Column) -> Column:
@@ -40,8 +50,8 @@ def _bit(v: Column) -> Column:
 
 def _wide(t: str) -> Column:
     """Parities of 256 counters that the values are dealt to; two sets differ in at least as many tokens as parities."""
-    spot = lambda k: lambda a, v: a.bitwiseXOR(F.when(F.shiftright(v, 6).bitwiseAND(F.lit(3)) == k, _bit(v)).otherwise(F.lit(0).cast("long")))
-    return F.array(*[F.aggregate(t, F.lit(0).cast("long"), spot(k)) for k in range(4)])
+    part = lambda k: F.filter(t, lambda v: v.bitwiseAND(F.lit(192).cast("long")) == F.lit(64 * k).cast("long"))
+    return F.array(*[F.aggregate(part(k), F.lit(0).cast("long"), lambda a, v: a.bitwiseXOR(_bit(v))) for k in range(4)])
 
 
 def _apart(x: str, y: str) -> Column:
@@ -74,7 +84,7 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
 
 def _rarity(docs: DataFrame) -> Callable[[Column], Column]:
     """Hash of a token -> its place in the common order: frequency class, then bits of the hash."""
-    words = docs.select(F.explode(F.split(F.translate("text", UPPER, LOWER), " ")).alias("t")).where("t <> ''")
+    words = docs.select(F.explode(F.split(plain(F.col("text")), " ")).alias("t")).where("t <> ''")
     found = words.groupBy(F.xxhash64("t").bitwiseAND(F.lit(COUNTERS - 1)).alias("k")).agg(F.count("*").alias("n")).toPandas()
     table = bytearray(COUNTERS)  # sixty-four thousand counters, whatever the input
     top = math.log(max(2, found["n"].max() if len(found) else 2))
@@ -93,9 +103,9 @@ def _classes(docs: DataFrame) -> DataFrame:
     """One row for each distinct line with a word: first place (did, pos), size n, parity signature, rarest tokens."""
     place = _rarity(docs)
     lines = docs.select("did", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lower = F.translate("line", UPPER, LOWER)
-    lines = lines.select("did", "pos", F.xxhash64(F.lit(1), lower).alias("k2"), F.xxhash64(lower).alias("k3"), hashes(lower).alias("t"))
-    lines = lines.where(F.size("t") > 0).select("did", "pos", "k2", "k3", F.sort_array(F.transform("t", place)).alias("t"))
+    lines = lines.select("did", "pos", plain(F.col("line")).alias("low"))
+    low = F.col("low")
+    lines = lines.select("did", "pos", F.xxhash64(F.lit(1), low).alias("k2"), F.xxhash64(low).alias("k3"), F.sort_array(F.transform(hashes(low), place)).alias("t"))
     n = F.size("t")
     prefix = n - F.ceil(n * NUM / F.lit(DEN)).cast("int") + 1
     lines = lines.select(
@@ -103,6 +113,7 @@ def _classes(docs: DataFrame) -> DataFrame:
         F.transform(F.slice("t", F.lit(1), prefix + 1), lambda v: v.bitwiseAND(F.lit(0xFFFFFFFF))).cast("array<long>").alias("pre"))
     first = F.min(F.struct("did", "pos")).alias("f")
     grouped = lines.groupBy("k2", "k3").agg(first, F.any_value("n").alias("n"), F.any_value("sig").alias("sig"), F.any_value("w").alias("w"), F.any_value("pre").alias("pre"))
+    grouped = grouped.where("n > 0")  # only here: a filter on the lines would be pushed down and hash every word twice
     return grouped.select("f.did", "f.pos", "n", "sig", "w", F.transform("pre", lambda v: (v - F.when(v >= 1 << 31, F.lit(1 << 32)).otherwise(0)).cast("int")).alias("pre"))
 
 
@@ -113,11 +124,10 @@ def _could_match(x: str, y: str, placed: bool) -> Column:
     earlier = (c(y, "did") < c(x, "did")) | ((c(y, "did") == c(x, "did")) & (c(y, "pos") < c(x, "pos")))
     long_enough = (DEN * F.least(nx, ny)) >= (NUM * F.greatest(nx, ny))
     alike = F.bit_count(c(x, "sig").bitwiseXOR(c(y, "sig"))) <= nx + ny - 2 * _need(nx, ny)
-    test = earlier & long_enough & alike
-    if placed:
-        i, j = c(x, "i"), c(y, "i")
-        test &= F.least(i, j) + 1 + F.least(nx - i - 1, ny - j - 1) >= _need(nx, ny)
-    return test
+    if not placed:
+        return earlier & long_enough & alike
+    i, j = c(x, "i"), c(y, "i")
+    return earlier & long_enough & (F.least(i, j) + 1 + F.least(nx - i - 1, ny - j - 1) >= _need(nx, ny)) & alike
 
 
 def _pairs(rows: DataFrame, keys: list[str], probes: DataFrame | None = None, placed: bool = True) -> DataFrame:
@@ -125,6 +135,8 @@ def _pairs(rows: DataFrame, keys: list[str], probes: DataFrame | None = None, pl
     x, y = (rows if probes is None else probes).alias("x"), rows.alias("y")
     same = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys]
     test = _could_match("x", "y", placed)
+    if placed:  # the shorter line has a shared token among its first (1 - 2t / (1 + t)) n + 1
+        test = F.when(F.col("y.n") <= F.col("x.n"), F.col("y.lead")).otherwise(F.col("x.lead")) & test
     for s in same:
         test = s & test
     if "w" in rows.columns:
@@ -132,25 +144,26 @@ def _pairs(rows: DataFrame, keys: list[str], probes: DataFrame | None = None, pl
     return x.join(y, test).select(F.col("x.did").alias("xd"), F.col("x.pos").alias("xp"), F.col("y.did").alias("yd"), F.col("y.pos").alias("yp"))
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame) -> DataFrame:
     """(xd, xp) of the pairs whose lines really reach the threshold."""
-    pairs = saved(pairs)
+    # wide parities first, so that only lines of pairs that are nearly sure are split again
+    wide = lines.where("w is not null").select("did", "pos", "n", "w")
+
+    def parity(s: str) -> DataFrame:
+        return wide.select(F.col("did").alias(s + "d"), F.col("pos").alias(s + "p"), F.col("n").alias(s + "n"), F.col("w").alias(s + "w"))
+
+    marked = pairs.join(parity("x"), ["xd", "xp"], "left").join(parity("y"), ["yd", "yp"], "left")
+    close = _apart("xw", "yw") <= F.col("xn") + F.col("yn") - 2 * _need(F.col("xn"), F.col("yn"))
+    pairs = saved(marked.where(F.coalesce(close, F.lit(True))).select("xd", "xp", "yd", "yp"))
     ends = pairs.select(F.col("xd").alias("d"), F.col("xp").alias("p")).union(pairs.select("yd", "yp")).groupBy("d").agg(F.collect_set("p").alias("ps"))
     ends = saved(ends)  # at most a document's own lines in a row
     wanted = F.broadcast(ends) if pairs.count() <= BROADCAST_LINES // 4 else ends
-    lines = docs.join(wanted, docs["did"] == F.col("d")).select("d", F.split("text", "\n").alias("lines"), F.explode("ps").alias("p"))
-    lines = lines.select("d", "p", hashes(F.translate(F.get("lines", F.col("p")), UPPER, LOWER)).alias("t"))
-    # a wider parity first, so that only pairs that are nearly sure bring their token sets
-    lines = saved(lines.select("d", "p", "t", F.size("t").alias("n"), _wide("t").alias("w")))
-
-    def side(name: str, *columns: str) -> DataFrame:
-        return lines.select(F.col("d").alias(name + "d"), F.col("p").alias(name + "p"), *[F.col(c).alias(name + c) for c in columns])
-
-    marked = pairs.join(side("x", "n", "w"), ["xd", "xp"]).join(side("y", "n", "w"), ["yd", "yp"])
-    marked = saved(marked.where(_apart("xw", "yw") <= F.col("xn") + F.col("yn") - 2 * _need(F.col("xn"), F.col("yn"))).select("xd", "xp", "yd", "yp"))
-    sets = marked.join(side("x", "t"), ["xd", "xp"]).join(side("y", "t"), ["yd", "yp"])
-    sets = sets.select("xd", "xp", F.size("xt").alias("nx"), F.size("yt").alias("ny"), F.size(F.array_intersect("xt", "yt")).alias("both"))
-    return sets.where(DEN * F.col("both") >= NUM * (F.col("nx") + F.col("ny") - F.col("both"))).select("xd", "xp").distinct()
+    parts = docs.join(wanted, docs["did"] == F.col("d")).select("d", F.split("text", "\n").alias("lines"), F.explode("ps").alias("p"))
+    sets = saved(parts.select("d", "p", hashes(plain(F.get("lines", F.col("p")))).alias("t")))
+    x, y = (sets.select(F.col("d").alias(s + "d"), F.col("p").alias(s + "p"), F.col("t").alias(s + "t")) for s in "xy")
+    both = pairs.join(x, ["xd", "xp"]).join(y, ["yd", "yp"])
+    both = both.select("xd", "xp", F.size("xt").alias("nx"), F.size("yt").alias("ny"), F.size(F.array_intersect("xt", "yt")).alias("both"))
+    return both.where(DEN * F.col("both") >= NUM * (F.col("nx") + F.col("ny") - F.col("both"))).select("xd", "xp").distinct()
 
 
 def _matched(docs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -163,6 +176,7 @@ def _matched(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """
     width = F.col("n") - F.ceil(F.col("n") * NUM / F.lit(DEN)).cast("int") + 1  # ``pre`` has one more where there is one
     rows = lines.select("did", "pos", "n", "sig", "w", F.posexplode(F.slice("pre", F.lit(1), width)).alias("i", "tok"))
+    rows = rows.withColumn("lead", F.col("i") <= F.col("n") - F.ceil(F.col("n") * (2 * NUM) / F.lit(NUM + DEN)))
     hot = saved(rows.groupBy("tok").agg(F.count("*").alias("m")).where(F.col("m") > PAIR_BUCKET))
     many = hot.count()
     hot = F.broadcast(hot) if many <= BROADCAST_TOKENS else hot
@@ -175,7 +189,7 @@ def _matched(docs: DataFrame, lines: DataFrame) -> DataFrame:
     pairs = saved(_pairs(few, ["tok"]).union(led).distinct())
     # the earliest candidate of a line is nearly always a match; the rest are checked only where it is not
     best = saved(pairs.groupBy("xd", "xp").agg(F.min(F.struct("yd", "yp")).alias("y")).select("xd", "xp", "y.yd", "y.yp"))
-    found = saved(_verified(docs, best))
+    found = saved(_verified(docs, lines, best))
     rest = pairs.join(found, ["xd", "xp"], "left_anti").join(best, ["xd", "xp", "yd", "yp"], "left_anti")
     if many:
         settled = found.select(F.col("xd").alias("did"), F.col("xp").alias("pos"))
@@ -189,7 +203,7 @@ def _matched(docs: DataFrame, lines: DataFrame) -> DataFrame:
             two = saved(met.select("did", "pos", "n", "sig", "w", "tok", F.explode(F.array_distinct("pre")).alias("tok2")).where("tok <> tok2"))
             probes = two.join(left, ["tok", "did", "pos"], "left_semi")
             rest = rest.union(_pairs(two, ["tok", "tok2"], probes, placed=False))
-    return saved(found.union(_verified(docs, rest.distinct())))
+    return saved(found.union(_verified(docs, lines, rest.distinct())))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
