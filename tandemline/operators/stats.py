@@ -107,3 +107,57 @@ def fisher_combined(df: DataFrame, by: list[str], p: str) -> DataFrame:
     start = F.struct(F.exp(-F.col("h")).alias("t"), F.lit(0.0).alias("p"))
     step = lambda a, i: F.struct((a["t"] * F.col("h") / i).alias("t"), (a["p"] + a["t"]).alias("p"))
     return g.select(*by, "k", (2 * F.col("h")).alias("chi2"), F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("k")), start, step, lambda a: a["p"]).alias("p"))
+
+
+def zscore(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
+    """``df`` with ``{col}_z`` over all rows and ``{col}_zk`` within ``by``; a population SD of 0 counts as 1.
+
+    Means and deviations are aggregated first and joined back, so no group of rows comes into one task. Rows with a null
+    key form a group of their own; null values stay null.
+    """
+    def moments(tag: str) -> list[Column]:
+        return [f(c).alias(f"__{tag}{name}{c}") for c in cols for name, f in (("m", F.avg), ("s", F.stddev_pop))]
+
+    def z(c: str, tag: str) -> Column:
+        s = F.col(f"__{tag}s{c}")
+        return (F.col(c) - F.col(f"__{tag}m{c}")) / F.when(s == 0, 1.0).otherwise(s)
+
+    groups = df.groupBy(*[F.col(k).alias(f"__k{k}") for k in by]).agg(*moments("k"))
+    same = None
+    for k in by:
+        test = F.col(k).eqNullSafe(F.col(f"__k{k}"))
+        same = test if same is None else same & test
+    joined = df.crossJoin(F.broadcast(df.agg(*moments("a")))).join(groups, same)  # one row of totals
+    return joined.select(*df.columns, *[z(c, "a").alias(f"{c}_z") for c in cols], *[z(c, "k").alias(f"{c}_zk") for c in cols])
+
+
+def ari(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Adjusted Rand index of two labelings from their contingency table; 1 where both are trivial in the same way."""
+    two = lambda c: F.sum(c.cast("double") * (c - 1) / 2)
+    cells = df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
+    pairs = lambda col: cells.groupBy(col).agg(F.sum("n").alias("n")).agg(two(F.col("n")).alias(f"pairs_{col}"))
+    both = cells.agg(two(F.col("n")).alias("pairs"), F.sum("n").alias("n"))
+    row = both.crossJoin(F.broadcast(pairs(a))).crossJoin(F.broadcast(pairs(b)))  # three tables of one row
+    pa, pb, n = F.col(f"pairs_{a}"), F.col(f"pairs_{b}"), F.col("n")
+    chance = F.coalesce(pa * pb / F.nullif(n.cast("double") * (n - 1) / 2, F.lit(0.0)), F.lit(0.0))
+    top = (pa + pb) / 2 - chance
+    return row.select("n", F.when(top == 0, 1.0).otherwise((F.col("pairs") - chance) / F.nullif(top, F.lit(0.0))).alias("ari"))
+
+
+def prevalence_diff(df: DataFrame, pool: str, cluster: str, positive: Column) -> DataFrame:
+    """Prevalence of ``positive`` in pools 0 and 1, their difference, and its standard error and t over clusters.
+
+    Rows of a cluster are not independent: the error of each share comes from the clusters' deviations from it.
+    """
+    per = df.groupBy(pool, cluster).agg(F.count(F.lit(1)).alias("n"), F.count_if(positive).alias("y"))
+    sums = per.groupBy(pool).agg(
+        F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum("y").alias("y"),
+        F.sum(F.col("y") * F.col("y")).alias("yy"), F.sum(F.col("y") * F.col("n")).alias("yn"), F.sum(F.col("n") * F.col("n")).alias("nn"))
+    p = F.col("y") / F.col("n")
+    spread = F.col("yy") - 2 * p * F.col("yn") + p * p * F.col("nn")
+    var = F.col("k") / F.nullif(F.col("k") - 1, F.lit(0)) * spread / (F.col("n") * F.col("n"))
+    at = lambda i, c: F.max(F.when(F.col(pool) == i, F.col(c)))
+    out = sums.withColumns({"p": p, "var": var}).agg(
+        at(0, "p").alias("p0"), at(1, "p").alias("p1"), at(0, "k").alias("k0"), at(1, "k").alias("k1"), F.sqrt(at(0, "var") + at(1, "var")).alias("se"))
+    diff = F.col("p1") - F.col("p0")
+    return out.select("p0", "p1", "k0", "k1", diff.alias("diff"), "se", (diff / F.nullif(F.col("se"), F.lit(0.0))).alias("t"))

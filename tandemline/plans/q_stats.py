@@ -99,3 +99,42 @@ def f07(t: Tables):
 def f07_fisher(t: Tables):
     p = t.table("lineitem").select(F.col("l_suppkey").alias("grp"), F.exp(-F.col("l_tax").cast("double") - 0.001).alias("p"))
     return r6(S.fisher_combined(p, ["grp"], "p"), "chi2", "p")
+
+
+@query(
+    "f35_zscore", "",
+    """WITH l AS (SELECT l_orderkey, l_linenumber, l_suppkey AS grp, l_quantity::DOUBLE AS x, l_extendedprice::DOUBLE AS y FROM lineitem),
+ a AS (SELECT avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, stddev_pop(y) AS sy FROM l),
+ g AS (SELECT grp, avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, stddev_pop(y) AS sy FROM l GROUP BY 1)
+ SELECT l_orderkey, l_linenumber, round((x - a.mx) / CASE a.sx WHEN 0 THEN 1 ELSE a.sx END, 6) AS x_z, round((y - a.my) / CASE a.sy WHEN 0 THEN 1 ELSE a.sy END, 6) AS y_z,
+  round((x - g.mx) / CASE g.sx WHEN 0 THEN 1 ELSE g.sx END, 6) AS x_zk, round((y - g.my) / CASE g.sy WHEN 0 THEN 1 ELSE g.sy END, 6) AS y_zk
+ FROM l JOIN g ON l.grp = g.grp CROSS JOIN a""",
+)
+def f35(t: Tables):
+    li = t.table("lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("grp"), F.col("l_quantity").cast("double").alias("x"), F.col("l_extendedprice").cast("double").alias("y"))
+    z = ["x_z", "y_z", "x_zk", "y_zk"]
+    return r6(S.zscore(li, ["x", "y"], ["grp"]), *z).select("l_orderkey", "l_linenumber", *z)
+
+
+@query(
+    "f37_ari", "",
+    """WITH c AS (SELECT l_returnflag AS a, l_linestatus AS b, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1, 2),
+ pa AS (SELECT sum(n * (n - 1) / 2) AS p FROM (SELECT sum(n) AS n FROM c GROUP BY a)), pb AS (SELECT sum(n * (n - 1) / 2) AS p FROM (SELECT sum(n) AS n FROM c GROUP BY b)),
+ t AS (SELECT sum(n * (n - 1) / 2) AS p, sum(n) AS n FROM c)
+ SELECT t.n::BIGINT AS n, round((t.p - pa.p * pb.p / (t.n * (t.n - 1) / 2)) / ((pa.p + pb.p) / 2 - pa.p * pb.p / (t.n * (t.n - 1) / 2)), 6) AS ari FROM t, pa, pb""",
+)
+def f37(t: Tables):
+    return r6(S.ari(t.table("lineitem"), "l_returnflag", "l_linestatus"), "ari")
+
+
+@query(
+    "g07_prevalence_diff", "wide",
+    """WITH c AS (SELECT session % 2 AS pool, session, count(*) AS n, count(*) FILTER (n_gt > 0) AS y FROM wide GROUP BY 1, 2),
+ p AS (SELECT pool, sum(y) / sum(n) AS p FROM c GROUP BY 1),
+ v AS (SELECT c.pool, any_value(p) AS p, count(*) AS k, count(*) / (count(*) - 1) * sum((y - p * n) ** 2) / sum(n) ** 2 AS var FROM c JOIN p ON c.pool = p.pool GROUP BY 1)
+ SELECT round(a.p, 6) AS p0, round(b.p, 6) AS p1, a.k AS k0, b.k AS k1, round(b.p - a.p, 6) AS diff, round(sqrt(a.var + b.var), 6) AS se, round((b.p - a.p) / sqrt(a.var + b.var), 6) AS t
+ FROM v a, v b WHERE a.pool = 0 AND b.pool = 1""",
+)
+def g07(t: Tables):
+    found = S.prevalence_diff(t.wide.withColumn("pool", F.col("session") % 2), "pool", "session", F.col("n_gt") > 0)
+    return r6(found, "p0", "p1", "diff", "se", "t")

@@ -29,3 +29,22 @@ def test_permutations_count_the_observed_split(spark):
     df = spark.createDataFrame([(i, i < 3, float(v)) for i, v in enumerate([0, 50, 100, 1, 2, 3])], "i long, s boolean, v double")
     r = S.variance_ratio_perm(df, "v", F.col("s"), ["i"], 60, 3).first()
     assert abs(r["obs"] - 2500.0) < 1e-6 and 1 / 61 <= r["p"] < 0.3
+
+
+def test_zscore_constant_and_null_groups(spark):
+    df = spark.createDataFrame([(1, "a", 2.0), (2, "a", 2.0), (3, None, 1.0), (4, None, 3.0), (5, "b", None)], "id long, g string, x double")
+    got = {r.id: r.x_zk for r in S.zscore(df, ["x"], ["g"]).collect()}
+    assert got == {1: 0.0, 2: 0.0, 3: -1.0, 4: 1.0, 5: None}
+
+
+def test_ari_literals(spark):
+    df = spark.createDataFrame([(0, 0, 1), (0, 0, 0), (1, 1, 1), (1, 1, 0)], "a int, b int, c int")
+    assert S.ari(df, "a", "b").first().ari == 1.0
+    assert abs(S.ari(df, "a", "c").first().ari + 0.5) < 1e-12
+    assert S.ari(df.limit(1), "a", "b").first().ari == 1.0
+
+
+def test_prevalence_difference_of_clusters(spark):
+    rows = [(0, 1, 1), (0, 1, 1), (0, 2, 0), (0, 2, 0), (1, 3, 1), (1, 4, 1)]
+    r = S.prevalence_diff(spark.createDataFrame(rows, "pool int, c int, y int"), "pool", "c", F.col("y") == 1).first()
+    assert (r.p0, r.p1, r["diff"], r.se, r.t) == (0.5, 1.0, 0.5, 0.5, 1.0)
