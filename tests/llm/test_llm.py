@@ -240,3 +240,9 @@ def test_pipeline_stages_chain(spark):
     assert {x.doc_id for x in first.collect()} == kept
     out = corpus_pipeline.run(spark, sf)
     assert out.count() > 0 and {x.doc_id for x in out.select("doc_id").collect()} <= kept
+
+
+def test_lines_fold_only_a_to_z(spark):
+    texts = ["École ÉTÉ Ünï xy zz", "école été ünï xy zz", "ÉCOLE ÉTÉ ÜNÏ xy zz", "École ÉTÉ Ünï XY ZZ", "界 世 a", "界 世 A"]
+    found = lines.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id: r.n_removed for r in found.collect()} == {0: 0, 1: 0, 2: 0, 3: 1, 4: 0, 5: 1}
