@@ -246,3 +246,39 @@ def test_lines_fold_only_a_to_z(spark):
     texts = ["École ÉTÉ Ünï xy zz", "école été ünï xy zz", "ÉCOLE ÉTÉ ÜNÏ xy zz", "École ÉTÉ Ünï XY ZZ", "界 世 a", "界 世 A"]
     found = lines.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert {r.doc_id: r.n_removed for r in found.collect()} == {0: 0, 1: 0, 2: 0, 3: 1, 4: 0, 5: 1}
+
+
+def test_near_copies_at_jaccard_four_fifths_go(spark):
+    from tandemline.llm import jaccard
+
+    r = random.Random(11)
+    base = [[f"v{r.randrange(5000)}" for _ in range(r.randint(30, 120))] for _ in range(25)]
+    passage = [f"common{i}" for i in range(20)]
+    rows = []
+    for i in range(240):
+        w = list(base[i % 25])
+        for _ in range(r.randint(0, 4)):
+            w[r.randrange(len(w))] = f"edit{r.randrange(10**6)}"
+        rows.append((i, " ".join(w + passage * (i % 3 == 0))))
+    rows += [(900, "a b c"), (901, "A  b c"), (902, None), (903, " "), (904, "a b c a b c a b c a b c"), (905, "a b c a b c a b c")]
+
+    def five(t):
+        w = words((t or "").lower())
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, marks = {i: five(t) for i, t in rows}, {i: simhash.fingerprint(t, 5) for i, t in rows}
+    low = {i: i for i in sets}
+    joined = [(a, b) for a, b in itertools.combinations(sets, 2)
+              if (marks[a] ^ marks[b]).bit_count() <= 2 or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) > 0]
+    assert any((marks[a] ^ marks[b]).bit_count() > 2 for a, b in joined)
+    for _ in rows:
+        for a, b in joined:
+            low[a] = low[b] = min(low[a], low[b])
+    for bucket, sample in ((jaccard.PAIR_BUCKET, jaccard.SAMPLE), (1, 1)):
+        old = jaccard.PAIR_BUCKET, jaccard.SAMPLE
+        jaccard.PAIR_BUCKET, jaccard.SAMPLE = bucket, sample
+        try:
+            got = {x.doc_id for x in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        finally:
+            jaccard.PAIR_BUCKET, jaccard.SAMPLE = old
+        assert got == set(low.values())
