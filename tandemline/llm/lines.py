@@ -171,8 +171,9 @@ def _matched(docs: DataFrame, lines: DataFrame) -> DataFrame:
 
     Under a token with few lines all pairs are candidates. Under a frequent one each line first meets the earliest line
     only, which settles families of similar lines in linear work; what is left there is compared with the token's lines.
-    Under a very frequent token it is compared under pairs of tokens: two lines that reach the threshold and meet under
-    a token share another one in prefixes longer by one.
+    Under a very frequent token it is compared under pairs of tokens: two lines of two words or more that reach the
+    threshold and meet under a token share another one in prefixes longer by one. A line of one word only matches lines
+    of the same word alone, so the earliest of these settles all later ones.
     """
     width = F.col("n") - F.ceil(F.col("n") * NUM / F.lit(DEN)).cast("int") + 1  # ``pre`` has one more where there is one
     rows = lines.select("did", "pos", "n", "sig", "w", F.posexplode(F.slice("pre", F.lit(1), width)).alias("i", "tok"))
@@ -186,6 +187,10 @@ def _matched(docs: DataFrame, lines: DataFrame) -> DataFrame:
     heads = saved(hot_rows.groupBy("tok").agg(F.min(x).alias("y")))
     led = hot_rows.select("tok", x.alias("x")).join(F.broadcast(heads) if many <= BROADCAST_TOKENS // 4 else heads, "tok")
     led = led.where(_could_match("x", "y", True)).select("x.did", "x.pos", "y.did", "y.pos")
+    alone = hot_rows.where("n = 1").select("tok", "did", "pos")
+    sole = alone.groupBy("tok").agg(F.min(F.struct("did", "pos")).alias("y"))
+    sole = alone.join(F.broadcast(sole) if many <= BROADCAST_TOKENS // 4 else sole, "tok").where(F.struct("did", "pos") > F.col("y"))
+    led = led.union(sole.select("did", "pos", "y.did", "y.pos"))
     pairs = saved(_pairs(few, ["tok"]).union(led).distinct())
     # the earliest candidate of a line is nearly always a match; the rest are checked only where it is not
     best = saved(pairs.groupBy("xd", "xp").agg(F.min(F.struct("yd", "yp")).alias("y")).select("xd", "xp", "y.yd", "y.yp"))
@@ -203,6 +208,9 @@ def _matched(docs: DataFrame, lines: DataFrame) -> DataFrame:
             two = saved(met.select("did", "pos", "n", "sig", "w", "tok", F.explode(F.array_distinct("pre")).alias("tok2")).where("tok <> tok2"))
             probes = two.join(left, ["tok", "did", "pos"], "left_semi")
             rest = rest.union(_pairs(two, ["tok", "tok2"], probes, placed=False))
+            # two words may share a token; their lines alone are few here, as the earliest settled the others
+            one = met.where("n = 1").select("did", "pos", "n", "sig", "tok")
+            rest = rest.union(_pairs(one, ["tok"], one.join(left, ["tok", "did", "pos"], "left_semi"), placed=False))
     return saved(found.union(_verified(docs, lines, rest.distinct())))
 
 

@@ -282,3 +282,15 @@ def test_near_copies_at_jaccard_four_fifths_go(spark):
         finally:
             jaccard.PAIR_BUCKET, jaccard.SAMPLE = old
         assert got == set(low.values())
+
+
+def test_one_word_lines_under_a_frequent_word(spark):
+    text = ["share this", "share\nha ho", "share\r\nha ha", "Share \nother words here", "share share", "ha ha ha", "ha", "ho", "ho\t"]
+    rows = list(enumerate(text))
+    old = lines.PAIR_BUCKET, lines.PROBE_BUCKET
+    lines.PAIR_BUCKET, lines.PROBE_BUCKET = 1, 1
+    try:
+        got = {x.doc_id: x.text for x in lines.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        lines.PAIR_BUCKET, lines.PROBE_BUCKET = old
+    assert got == {0: "share this", 1: "share\nha ho", 2: "ha ha", 3: "other words here", 4: "", 5: "", 6: "", 7: "ho", 8: ""}
