@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.keyed import u
@@ -101,12 +102,44 @@ def sd_ci(df: DataFrame, by: list[str], col: str) -> DataFrame:
     )
 
 
+def _poisson_sf(k: Column, h: Column) -> Column:
+    """Chance of fewer than ``k`` events at mean ``h``; this is also the chi-squared tail at 2h with 2k degrees.
+
+    The terms are summed relative to the largest of their side, whose logarithm is taken on its own: downwards from k - 1
+    where k is at most h, else upwards from k for the complement. Both sides fall away and end once their terms count
+    for nothing (after some tens of roots of h), so no list of k values is made and nothing underflows.
+    """
+
+    @F.pandas_udf("double")
+    def tail(k: pd.Series, h: pd.Series) -> pd.Series:
+        def log_weight(i: int, h: float) -> float:
+            return (i * math.log(h) if i else 0.0) - h - math.lgamma(i + 1)
+
+        def run(i: int, h: float, step: int, stop: int) -> float:
+            """Sum of the terms from i on by ``step`` until ``stop`` (not included), relative to that of i."""
+            total, term, at = 0.0, 1.0, i
+            while at != stop and term > 1e-18 * total:
+                total += term
+                term *= h / (at + 1) if step > 0 else at / h
+                at += step
+            return total
+
+        def one(k: int, h: float) -> float:
+            if h <= 0:
+                return 1.0
+            if k <= h:  # terms grow up to k - 1
+                return math.exp(min(0.0, log_weight(k - 1, h) + math.log(run(k - 1, h, -1, -1))))
+            return max(0.0, 1.0 - math.exp(log_weight(k, h) + math.log(run(k, h, 1, -1))))  # terms fall from k on
+
+        return pd.Series([one(int(a), float(b)) for a, b in zip(k, h)])
+
+    return F.when(F.isnan(h), h).otherwise(tail(k, F.nanvl(h, F.lit(0.0))))
+
+
 def fisher_combined(df: DataFrame, by: list[str], p: str) -> DataFrame:
     """Fisher's combination of independent p values; the tail is closed as the degrees of freedom are even."""
     g = df.filter(F.col(p) > 0).groupBy(*by).agg(F.count(F.lit(1)).alias("k"), (-F.sum(F.log(p))).alias("h"))
-    start = F.struct(F.exp(-F.col("h")).alias("t"), F.lit(0.0).alias("p"))
-    step = lambda a, i: F.struct((a["t"] * F.col("h") / i).alias("t"), (a["p"] + a["t"]).alias("p"))
-    return g.select(*by, "k", (2 * F.col("h")).alias("chi2"), F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("k")), start, step, lambda a: a["p"]).alias("p"))
+    return g.select(*by, "k", (2 * F.col("h")).alias("chi2"), _poisson_sf(F.col("k"), F.col("h")).alias("p"))
 
 
 def zscore(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:

@@ -48,3 +48,20 @@ def test_prevalence_difference_of_clusters(spark):
     rows = [(0, 1, 1), (0, 1, 1), (0, 2, 0), (0, 2, 0), (1, 3, 1), (1, 4, 1)]
     r = S.prevalence_diff(spark.createDataFrame(rows, "pool int, c int, y int"), "pool", "c", F.col("y") == 1).first()
     assert (r.p0, r.p1, r["diff"], r.se, r.t) == (0.5, 1.0, 0.5, 0.5, 1.0)
+
+
+def test_fisher_of_large_groups(spark):
+    from math import exp, factorial
+
+    from pyspark.sql import types as T
+
+    sizes = [(1, 700.0), (3, 2.5), (40, 30.0), (40, 41.0), (20_000, 820.0), (20_000, 20_000.0), (1_000_000, 1_000_000.0), (800, 1000.0)]
+    df = spark.createDataFrame([(k, h) for k, h in sizes], T.StructType([T.StructField("k", T.LongType()), T.StructField("h", T.DoubleType())]))
+    got = {(r.k, r.h): r.p for r in df.select("k", "h", S._poisson_sf(F.col("k"), F.col("h")).alias("p")).collect()}
+    exact = lambda k, h: sum(exp(-h) * h**i / factorial(i) for i in range(k))
+    for k, h in sizes[1:4]:
+        assert abs(got[k, h] - exact(k, h)) < 1e-12
+    assert got[20_000, 820.0] == 1.0 and got[1, 700.0] < 1e-300 and got[800, 1000.0] < 1e-9
+    assert abs(got[20_000, 20_000.0] - 0.5) < 0.01 and abs(got[1_000_000, 1_000_000.0] - 0.5) < 0.001
+    rows = spark.range(20_000).select(F.lit("a").alias("g"), F.exp(F.lit(-0.041)).alias("p"))
+    assert S.fisher_combined(rows, ["g"], "p").first().p == 1.0
