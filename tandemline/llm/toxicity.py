@@ -103,7 +103,7 @@ class Matcher:
             if m.start() < done:
                 continue
             # the machine forgets everything within some words, so a long clause is entered shortly before the match
-            state, at = 0, max(done, m.start() - self.reach)
+            state, at = 0, max(0, m.start() - self.reach)
             for w in WORDS.finditer(low, at):
                 word = w[0]
                 if not (word[0].isalnum() or word[0] == "_"):
@@ -112,9 +112,9 @@ class Matcher:
                         break
                     continue
                 state, said = self.machine.step(state, self.kind(word))
-                if w.start() >= m.start() and said in FINAL:
+                if w.start() >= max(done, m.start()) and said in FINAL:
                     out[FINAL[said]] += 1
-                done = w.end()
+                done = max(done, w.end())
                 if w.start() > m.end() + self.reach:
                     break
         return out

@@ -294,3 +294,13 @@ def test_one_word_lines_under_a_frequent_word(spark):
     finally:
         lines.PAIR_BUCKET, lines.PROBE_BUCKET = old
     assert got == {0: "share this", 1: "share\nha ho", 2: "ha ha", 3: "other words here", 4: "", 5: "", 6: "", 7: "ho", 8: ""}
+
+
+def test_toxicity_matches_soon_after_a_long_reading():
+    m, fill = toxicity.Matcher([]), "abcdefgh " * 45
+    at = dict(zip(toxicity.READINGS, m(f"what a clown {fill}")))
+    # the first reading ends some words before the second match, in the same clause
+    for cut in range(30):
+        text = "clown " + "abcdefgh " * (40 + cut // 3) + "abc " * (cut % 3) + "you are an idiot and you are not an idiot"
+        got = dict(zip(toxicity.READINGS, m(text)))
+        assert got == {**at, "aimed insult": 1, "negated insult": 1}
