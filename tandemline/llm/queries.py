@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lines, mixing, pieces, pseudonyms, quality, sharding, simhash, topk, toxicity
+from . import langid, lines, mixing, periods, phrases, pieces, pseudonyms, quality, quality_cnn, sharding, simhash, topk, toxicity
 
 #: Production parameters.
 SHARD_BYTES = 1 << 20
@@ -69,8 +69,21 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+def op12_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cnn.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.digested(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_language, op3_toxicity, op4_quality_rules, op5_simhash, op6_pieces,
-                                   op7_top_products, op8_mixing, op9_pseudonyms, op10_sharding)}
+                                   op7_top_products, op8_mixing, op9_pseudonyms, op10_sharding, op11_collocations,
+                                   op12_quality_cnn, op13_periods)}
 
 _WORDS = "len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -120,4 +133,15 @@ b AS (SELECT 0 AS depth, doc_id, bytes, bits, sum(bytes) OVER () AS shard_bytes,
       SELECT depth + 1, doc_id, bytes, bits, sum(bytes) OVER (PARTITION BY left(bits, depth + 1)), count(*) OVER (PARTITION BY left(bits, depth + 1))
       FROM b WHERE shard_bytes > {SHARD_BYTES} AND shard_rows > 1)
 SELECT doc_id, bytes, left(bits, depth) AS shard, depth, shard_bytes::BIGINT AS shard_bytes, shard_rows FROM b WHERE shard_bytes <= {SHARD_BYTES} OR shard_rows = 1""",
+    "op11_collocations": f"""
+WITH p AS (SELECT coalesce(lang,'und') AS lang, i, unnest(string_split_regex({_LOWER.format('text')}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM (SELECT lang, text, row_number() OVER () AS i FROM documents)),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+g AS (SELECT lang, k, array_to_string(w[j:j+k-1], ' ') AS phrase, count(*) AS f FROM (SELECT lang, w, k, unnest(range(1, len(w)-k+2)) AS j FROM w, (VALUES (1),(2),(3)) v(k)) GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE k=1 GROUP BY 1),
+q AS (SELECT * FROM g WHERE f>=10),
+c AS (SELECT lang, phrase, k, f AS a, cut, array_to_string(string_split(phrase,' ')[1:cut],' ') AS x, array_to_string(string_split(phrase,' ')[cut+1:],' ') AS y FROM q, (VALUES (1),(2)) v(cut) WHERE k>1 AND cut<k),
+s AS (SELECT c.lang, c.phrase, c.k, c.a, c.cut, l.f AS l, r.f AS r, (1000000::HUGEINT*c.a*c.a // (l.f::HUGEINT*r.f))::BIGINT AS score FROM c JOIN q AS l ON l.lang=c.lang AND l.phrase=x JOIN q AS r ON r.lang=c.lang AND r.phrase=y),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut)=1),
+t AS (SELECT lang, phrase, max(f) AS f FROM (SELECT lang, f, unnest([array_to_string(string_split(phrase,' ')[1:2],' '), array_to_string(string_split(phrase,' ')[2:3],' ')]) AS phrase FROM q WHERE k=3) GROUP BY 1,2)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM b LEFT JOIN t USING (lang, phrase) JOIN n USING (lang) WHERE t.f IS NULL OR 100*t.f < 50*a QUALIFY rank <= 2000""",
 }
