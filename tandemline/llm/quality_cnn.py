@@ -18,7 +18,7 @@ WIDTHS, EMBED, FILTERS, HIDDEN = (3, 5), 8, 16, 16  # filters of each width
 #: Bounds of the sample that the network learns from: documents, and bytes of each (in ``STRETCHES`` spread evenly).
 SAMPLE_ROWS, SAMPLE_BYTES, STRETCHES = 3_000, 2_048, 4
 EPOCHS = 5
-#: Bytes that are scored at a time; a longer text goes through in several parts that overlap by a chunk.
+#: Bytes of texts that are scored together; a longer text is scored by itself, in about four times its size.
 PART = 1 << 20
 REACH = max(WIDTHS)
 
@@ -68,12 +68,13 @@ class QualityCNN:
     def cell_maxima(self, raw: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
         """Largest answer of every filter in every cell. A filter may look past a cell's end, into the next cell."""
         n, out = self.mask.shape[1], []
-        padded = np.concatenate([raw, np.zeros(REACH, np.uint8)]).astype(np.intp)
+        padded = np.concatenate([raw, np.zeros(REACH, np.uint8)])
         for at in range(0, len(raw), 256 * CELL):
             size = min(256 * CELL, len(raw) - at)
-            conv = tables[0].take(padded[at : at + size], axis=0)
+            part = padded[at : at + size + REACH].astype(np.intp)
+            conv = tables[0].take(part[:size], axis=0)
             for k in range(1, REACH):
-                conv[:, n - tables[k].shape[1] :] += tables[k].take(padded[at + k : at + k + size], axis=0)
+                conv[:, n - tables[k].shape[1] :] += tables[k].take(part[k : k + size], axis=0)
             conv = conv.reshape(-1, CELL, n)
             while conv.shape[1] > 1:  # the maximum by halves keeps to long vector operations
                 half = conv.shape[1] // 2
@@ -205,19 +206,6 @@ def judged(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
         one = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).agg(F.avg(label)).first()[0]
         plain = 0.5 if one is None else float(one)
 
-    def long_score(raw: bytes, tables) -> float:
-        """A text beyond ``PART``: its chunks in parts that begin at whole steps and share a chunk's rest."""
-        mean, high, many = 0.0, None, 0
-        for at in range(0, max(1, len(raw) - (CHUNK - STEP)), PART):
-            data, _ = cells([raw[at : at + PART + CHUNK - STEP + REACH]])
-            end = min(PART + CHUNK - STEP, -(-(len(raw) - at) // CELL) * CELL)
-            top = net.cell_maxima(data, tables)[: end // CELL]
-            first, last, n = chunk_starts(np.array([len(top)]))
-            chunk = np.stack([top[a:b].max(0) for a, b in zip(first, last)])
-            mean, many = mean + chunk.sum(0), many + int(n[0])
-            high = chunk.max(0) if high is None else np.maximum(high, chunk.max(0))
-        return float(net.combined((mean / many)[None], high[None])[0])
-
     def work(batches):
         tables = net.tables() if net else None
         for pdf in batches:
@@ -228,7 +216,7 @@ def judged(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
                 size, end = 0, at
                 while end < len(texts) and (end == at or size + len(texts[end]) <= PART):
                     size, end = size + len(texts[end]), end + 1
-                score[at:end] = net.scores(texts[at:end], tables) if size <= PART else long_score(texts[at], tables)
+                score[at:end] = net.scores(texts[at:end], tables)
                 at = end
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "score": score, "predicted": (score >= 0.5).astype("int32")})
 
