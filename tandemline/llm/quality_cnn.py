@@ -29,8 +29,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def cells(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all pieces one after another, each padded with zeros to whole cells, and the cells of each piece."""
-    sizes = np.array([max(1, -(-len(p) // CELL)) for p in pieces])
+    """Bytes of all pieces one after another, and the cells of each piece.
+
+    Zeros fill each up to whole cells, as many at least as a filter looks ahead, so that none sees the next piece.
+    """
+    sizes = np.array([-(-(len(p) + REACH - 1) // CELL) for p in pieces])
     out = np.zeros(int(sizes.sum()) * CELL, np.uint8)
     for p, at in zip(pieces, (np.cumsum(sizes) - sizes) * CELL):
         out[at : at + len(p)] = np.frombuffer(p, np.uint8)
