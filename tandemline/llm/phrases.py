@@ -22,13 +22,14 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved, small
 
 #: Bytes of text whose n-grams are counted together; a longer text is cut between pieces.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 #: The bitmap of frequent keys has 2^24 bits (2 MB) at any size; fuller, it lets more rare triples through to the count.
 BITMAP = 24
 CELL_WORDS = 1024
@@ -36,7 +37,7 @@ CELL_WORDS = 1024
 SEEN = 100_000
 UNKNOWN = "und"
 ALL = (1 << 64) - 1
-BASE, WORD_BASE, CHECK_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+BASE, WORD_BASE, CHECK_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0x85EBCA6B
 KIND = np.zeros(256, np.uint8)  # 0 inside a word, 1 between words, 2 between pieces
 KIND[[0x20, 0x09]] = 1
 KIND[list(b".,;:!?") + [0x0A, 0x0B, 0x0C, 0x0D]] = 2
@@ -51,28 +52,35 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Powers:
-    """Powers of an odd base and of its inverse modulo 2^64."""
+    """Powers of an odd base and of its inverse modulo 2^64 or 2^32."""
 
-    def __init__(self, base: int):
-        self.base, self.inverse, self.up, self.down = base, pow(base, -1, 1 << 64), *(np.ones(1, np.uint64),) * 2
+    def __init__(self, base: int, kind: type):
+        self.size = 1 << (8 * kind().itemsize)
+        self.base, self.inverse, self.kind = base, pow(base, -1, self.size), kind
+        self.up = self.down = np.ones(1, kind)
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         while len(self.up) < n:
             k = len(self.up)
-            self.up = np.concatenate([self.up, self.up * np.uint64(pow(self.base, k, 1 << 64))])
-            self.down = np.concatenate([self.down, self.down * np.uint64(pow(self.inverse, k, 1 << 64))])
+            self.up = np.concatenate([self.up, self.up * self.kind(pow(self.base, k, self.size))])
+            self.down = np.concatenate([self.down, self.down * self.kind(pow(self.inverse, k, self.size))])
         return self.up, self.down
 
 
-_POWERS = {b: _Powers(b) for b in (BASE, WORD_BASE, CHECK_BASE)}
+BYTES, WORDS, CHECK = _Powers(BASE, np.uint64), _Powers(WORD_BASE, np.uint64), _Powers(CHECK_BASE, np.uint32)
 
 
-def _spans(values: np.ndarray, base: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Polynomial fingerprints of values[start:end], from prefix sums of value times power."""
-    up, down = _POWERS[base].get(len(values) + 1)
-    prefix = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=prefix[1:])
-    return (prefix[end] - prefix[start]) * down[start]
+class _Prefix:
+    """Prefix sums of value times power, which give the polynomial fingerprint of any span."""
+
+    def __init__(self, values: np.ndarray, powers: _Powers):
+        up, self.down = powers.get(len(values) + 1)
+        self.sums = np.zeros(len(values) + 1, powers.kind)
+        np.multiply(values, up[: len(values)], out=self.sums[1:])
+        np.cumsum(self.sums, out=self.sums)
+
+    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (self.sums[end] - self.sums[start]) * self.down[start]
 
 
 class Block:
@@ -86,16 +94,16 @@ class Block:
         self.raw, self.start, self.end = raw, edge[::2], edge[1::2]
         stop = np.cumsum([len(p) + 1 for p in parts])
         self.part = np.searchsorted(stop, self.start, side="right")
-        piece = np.cumsum(kind == 2)[self.start] if len(self.start) else np.zeros(0, np.int64)
+        piece = np.searchsorted(np.flatnonzero(kind == 2), self.start)
         self.joined = piece[1:] == piece[:-1]  # this word and the next are in one piece
         self.salt = np.array(salts, np.uint64)[self.part]
         self.hash = np.array(hashes, np.int64)[self.part]
         first = np.searchsorted(self.part, np.arange(len(parts)))
         self.pos = np.arange(len(self.start)) - first[self.part] + np.array(offsets, np.int64)[self.part]
-        data = raw.astype(np.uint64) + np.uint64(1)
         length = (self.end - self.start).astype(np.uint64)
-        self.word = _mix(_spans(data, BASE, self.start, self.end) + length)
-        self.second = _mix(_spans(data, CHECK_BASE, self.start, self.end) + length)
+        self.word = _Prefix(_mix(_Prefix(raw, BYTES).spans(self.start, self.end) + length), WORDS)
+        second = _Prefix(raw, CHECK).spans(self.start, self.end).astype(np.uint64)
+        self.second = _Prefix(_mix(second + length).astype(np.uint32), CHECK)
         self.bits = bits
 
     def at(self, k: int) -> np.ndarray:
@@ -110,12 +118,12 @@ class Block:
 
     def keys(self, k: int, at: np.ndarray) -> np.ndarray:
         """A hash of words and language, with ``k`` in the last two bits."""
-        fp = _mix(_spans(self.word, WORD_BASE, at, at + k) + self.salt[at] * np.uint64(BASE))
+        fp = _mix(self.word.spans(at, at + k) + self.salt[at] * np.uint64(BASE))
         return (((fp >> np.uint64(64 - self.bits)) << np.uint64(2)) | np.uint64(k)).view(np.int64)
 
     def checks(self, k: int, at: np.ndarray) -> np.ndarray:
         """16 bits, from other polynomials."""
-        return (_mix(_spans(self.second, CHECK_BASE, at, at + k) + self.salt[at]) >> np.uint64(48)).astype(np.int32)
+        return (_mix(self.second.spans(at, at + k).astype(np.uint64) + self.salt[at]) >> np.uint64(48)).astype(np.int32)
 
     def pointers(self, at: np.ndarray) -> np.ndarray:
         return (self.hash[at] << 30) | self.pos[at]
@@ -146,12 +154,19 @@ def _count_words(raw: bytes) -> int:
     return int(np.count_nonzero(inside[1:] & ~inside[:-1]) + (len(inside) > 0 and inside[0]))
 
 
-def blocks(pdf: pd.DataFrame, bits: int):
-    """Blocks over a batch of (text, salt, th)."""
+def _rows(batch: pa.RecordBatch):
+    """(text as bytes, salt, th) of a batch; one text at a time is taken out of it."""
+    text, salt, th = (batch.column(c) for c in ("text", "salt", "th"))
+    for i in range(batch.num_rows):
+        yield text[i].as_buffer().to_pybytes(), salt[i].as_py(), th[i].as_py()
+
+
+def blocks(rows, bits: int):
+    """Blocks over (text as bytes, salt, th)."""
     parts, salts, hashes, offsets, size = [], [], [], [], 0
-    for text, salt, th in zip(pdf["text"], pdf["salt"], pdf["th"]):
+    for text, salt, th in rows:
         done = 0
-        for raw in _cut(text.encode()):
+        for raw in _cut(text):
             if size and size + len(raw) > BLOCK:
                 yield Block(parts, salts, hashes, offsets, bits)
                 parts, salts, hashes, offsets, size = [], [], [], [], 0
@@ -188,8 +203,8 @@ def counted(source: DataFrame, sizes: tuple[int, ...], least: int, bits: int, pa
 
     def work(batches):
         with np.errstate(over="ignore"):
-            for pdf in batches:
-                for b in blocks(pdf, bits):
+            for batch in batches:
+                for b in blocks(_rows(batch), bits):
                     for k in sizes:
                         at = b.at(k)
                         if k == 3 and pairs is not None and len(at):
@@ -200,10 +215,11 @@ def counted(source: DataFrame, sizes: tuple[int, ...], least: int, bits: int, pa
                         order, head = _grouped(key)
                         if len(head):
                             c, p = check[order], ptr[order]
-                            yield pd.DataFrame({"key": key[order][head], "n": np.diff(np.append(head, len(key))), "ptr": np.minimum.reduceat(p, head),
-                                                "lo": np.minimum.reduceat(c, head), "hi": np.maximum.reduceat(c, head)})
+                            yield pa.RecordBatch.from_pydict({
+                                "key": key[order][head], "n": np.diff(np.append(head, len(key))), "ptr": np.minimum.reduceat(p, head),
+                                "lo": np.minimum.reduceat(c, head), "hi": np.maximum.reduceat(c, head)})
 
-    rows = source.select("text", "salt", "th").mapInPandas(work, "key long, n long, ptr long, lo int, hi int")
+    rows = source.select("text", "salt", "th").mapInArrow(work, "key long, n long, ptr long, lo int, hi int")
     return rows.groupBy("key").agg(F.sum("n").alias("n"), F.min("ptr").alias("ptr"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where(F.col("n") >= least)
 
 
@@ -261,7 +277,7 @@ def materialised(source: DataFrame, frequent: DataFrame, bits: int) -> DataFrame
                     if len(seen) < SEEN:
                         seen.add(mark)
                     pos, key, check, n = (np.array([w[f] for w in want], np.int64) for f in ("pos", "key", "lo", "n"))
-                    for b in blocks(pd.DataFrame({"text": [text], "salt": [salt], "th": [th]}), bits):
+                    for b in blocks([(text.encode(), salt, th)], bits):
                         if not len(b.pos):
                             continue
                         first = int(b.pos[0])
@@ -285,7 +301,7 @@ def recounted(source: DataFrame, doubtful: DataFrame, least: int, bits: int) ->
         with np.errstate(over="ignore"):
             for pdf in batches:
                 lang_of = dict(zip((s & ALL for s in pdf["salt"]), pdf["lang"]))
-                for b in blocks(pdf, bits):
+                for b in blocks(((t.encode(), s, h) for t, s, h in zip(pdf["text"], pdf["salt"], pdf["th"])), bits):
                     rows: dict[tuple, int] = {}
                     for k in (1, 2, 3):
                         at = b.at(k)
@@ -319,11 +335,12 @@ def totals(source: DataFrame) -> DataFrame:
     """(lang, total): all word occurrences of each language."""
 
     def work(batches):
-        for pdf in batches:
-            n = [_count_words(t.encode()) for t in pdf["text"]]
-            yield pd.DataFrame({"lang": pdf["lang"], "n": n}).groupby("lang", as_index=False)["n"].sum()
+        for batch in batches:
+            text = batch.column("text")
+            n = [_count_words(text[i].as_buffer()) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_pydict({"lang": batch.column("lang"), "n": n})
 
-    return source.select("text", "lang").mapInPandas(work, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("total"))
+    return source.select("text", "lang").mapInArrow(work, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("total"))
 
 
 def collocations(docs: DataFrame, least: int = 10, top: int = 2000, bits: int = 62) -> DataFrame:

@@ -31,7 +31,7 @@ def held_out(doc_id: Column) -> Column:
 def cells(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all pieces one after another, and the cells of each piece.
 
-    Zeros fill each up to whole cells, as many at least as a filter looks ahead, so that none sees the next piece.
+    Zeros fill each up to whole cells, as many at least as a filter looks back, so that none sees the piece before.
     """
     sizes = np.array([-(-(len(p) + REACH - 1) // CELL) for p in pieces])
     out = np.zeros(int(sizes.sum()) * CELL, np.uint8)
@@ -69,12 +69,12 @@ class QualityCNN:
         return [np.ascontiguousarray(t[:, sum(FILTERS for w in WIDTHS if w <= k) :]) for k, t in enumerate(full)]
 
     def cell_maxima(self, raw: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
-        """Largest answer of every filter in every cell. A filter may look past a cell's end, into the next cell."""
+        """Largest answer of every filter in every cell. A filter answers at its last byte, so it may look back into the cell before."""
         n, out = self.mask.shape[1], []
-        padded = np.concatenate([raw, np.zeros(REACH, np.uint8)])
+        padded = np.concatenate([np.zeros(REACH - 1, np.uint8), raw])
         for at in range(0, len(raw), 256 * CELL):
             size = min(256 * CELL, len(raw) - at)
-            part = padded[at : at + size + REACH].astype(np.intp)
+            part = padded[at : at + size + REACH - 1].astype(np.intp)
             conv = tables[0].take(part[:size], axis=0)
             for k in range(1, REACH):
                 conv[:, n - tables[k].shape[1] :] += tables[k].take(part[k : k + size], axis=0)
@@ -125,8 +125,7 @@ class QualityCNN:
         first, last, many = chunk_starts(sizes)
         pieces = np.array([len(d) for d in docs])
         many = np.add.reduceat(many, np.cumsum(pieces) - pieces)  # chunks of a document
-        padded = np.concatenate([raw, np.zeros(REACH, np.uint8)])
-        near = np.lib.stride_tricks.sliding_window_view(padded, REACH)[: len(raw)]
+        near = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(REACH - 1, np.uint8), raw]), REACH)
         cols = p["e"][near].reshape(len(raw), -1)
         conv = (cols @ p["c"]).reshape(-1, CELL, n)
         place = conv.argmax(1) + (np.arange(len(conv)) * CELL)[:, None]  # position of each cell's maximum
