@@ -33,6 +33,8 @@ BLOCK = 1 << 19
 #: The bitmap of frequent keys has 2^24 bits (2 MB) at any size; fuller, it lets more rare triples through to the count.
 BITMAP = 24
 CELL_WORDS = 1024
+#: Pointers (28 bytes each) that may be broadcast to the documents; beyond them that join shuffles.
+BROADCAST_POINTERS = 500_000
 #: Texts that a task remembers to have read already; beyond them copies are read again, which changes no result.
 SEEN = 100_000
 UNKNOWN = "und"
@@ -263,34 +265,48 @@ def materialised(source: DataFrame, frequent: DataFrame, bits: int) -> DataFrame
 
     A pointer's hash may name several texts; only a text with the key and the check value at that position answers.
     """
-    sure = frequent.where("lo = hi").select("key", "n", "lo", F.shiftright("ptr", 30).alias("th"), F.col("ptr").bitwiseAND(F.lit((1 << 30) - 1)).alias("pos"))
-    asked = saved(sure.groupBy("th").agg(F.collect_list(F.struct("pos", "key", "lo", "n")).alias("asked")))
+    sure = saved(frequent.where("lo = hi").select(F.shiftright("ptr", 30).alias("th"), F.struct("ptr", "key", "lo", "n").alias("w")))
+    asked = sure.groupBy("th").agg(F.collect_list("w").alias("asked"))
+    if sure.count() <= BROADCAST_POINTERS:
+        asked = F.broadcast(asked)
+
+    def fresh(batch, seen):
+        for i, (raw, salt, th) in enumerate(_rows(batch)):
+            mark = hashlib.blake2b(raw, digest_size=16, salt=(salt & ALL).to_bytes(8, "big")).digest()
+            if mark not in seen:  # a copy has nothing to add
+                if len(seen) < SEEN:
+                    seen.add(mark)
+                yield raw, salt, th
 
     def work(batches):
         seen = set()
         with np.errstate(over="ignore"):
-            for pdf in batches:
-                for text, lang, salt, th, want in zip(pdf["text"], pdf["lang"], pdf["salt"], pdf["th"], pdf["asked"]):
-                    mark = (hashlib.blake2b(text.encode(), digest_size=16).digest(), lang)
-                    if mark in seen:  # a copy has nothing to add
-                        continue
-                    if len(seen) < SEEN:
-                        seen.add(mark)
-                    pos, key, check, n = (np.array([w[f] for w in want], np.int64) for f in ("pos", "key", "lo", "n"))
-                    for b in blocks([(text.encode(), salt, th)], bits):
-                        if not len(b.pos):
-                            continue
-                        first = int(b.pos[0])
+            for batch in batches:
+                want = batch.column("asked").flatten()
+                ptr, key, check, n = (want.field(c).to_numpy(zero_copy_only=False) for c in ("ptr", "key", "lo", "n"))
+                lang_of = {s & ALL: x for s, x in zip(batch.column("salt").to_pylist(), batch.column("lang").to_pylist())}
+                for b in blocks(fresh(batch, seen), bits):
+                    here = b.pointers(np.arange(len(b.start)))
+                    order = np.argsort(here)
+                    here = here[order]
+                    todo, at = np.arange(len(ptr)), np.searchsorted(here, ptr)
+                    while len(todo):  # texts that share a hash answer one after another
+                        on = at[todo] < len(here)
+                        todo = todo[on]
+                        todo = todo[here[at[todo]] == ptr[todo]]
                         for k in (1, 2, 3):
-                            q = np.flatnonzero((key & 3 == k) & (pos >= first) & (pos - first <= len(b.pos) - k))
-                            at = pos[q] - first
-                            q = q[(b.keys(k, at) == key[q]) & (b.checks(k, at) == check[q])] if len(q) else q
+                            q = todo[(key[todo] & 3 == k) & (order[at[todo]] + k <= len(here))]
+                            w = order[at[q]]
+                            ok = (b.keys(k, w) == key[q]) & (b.checks(k, w) == check[q])
+                            q, w = q[ok], w[ok]
                             if len(q):
-                                yield pd.DataFrame({"lang": lang, "k": k, "phrase": [b.text(int(pos[j]) - first, k) for j in q], "key": key[q], "n": n[q]})
+                                yield pa.RecordBatch.from_pydict({
+                                    "lang": [lang_of[s] for s in b.salt[w].tolist()], "k": np.full(len(q), k, np.int32),
+                                    "phrase": [b.text(j, k) for j in w.tolist()], "key": key[q], "n": n[q]})
+                        at[todo] += 1
 
-    named = source.join(small(asked), "th")
-    found = named.select("text", "lang", "salt", "th", "asked").mapInPandas(work, "lang string, k int, phrase string, key long, n long")
-    return found.dropDuplicates(["key"])
+    found = source.join(asked, "th").select("text", "lang", "salt", "th", "asked")
+    return found.mapInArrow(work, "lang string, k int, phrase string, key long, n long").dropDuplicates(["key"])
 
 
 def recounted(source: DataFrame, doubtful: DataFrame, least: int, bits: int) -> DataFrame:
@@ -368,6 +384,8 @@ def collocations(docs: DataFrame, least: int = 10, top: int = 2000, bits: int =
     inside = reduce(DataFrame.union, inside).groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
     kept = worst.join(inside, ["lang", "phrase"], "left").where("longer is null or 100 * longer < 50 * a").drop("longer")
     best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    some = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(8))).orderBy(F.desc("score"), F.desc("a"), "phrase")
+    first = kept.withColumn("rank", F.row_number().over(some)).where(F.col("rank") <= top)  # leaves the last window 8 * top rows
+    ranked = first.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
     return ranked.join(F.broadcast(total), "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", F.col("total").alias("n"), "score")

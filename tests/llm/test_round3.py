@@ -137,17 +137,18 @@ def prose():
     vocab = ["a", "B", "é", "the", "of", "x-y", "Ж", "long", "w1", "w2"]
     text = lambda: "".join(r.choice(vocab) + r.choice([" ", " ", "  ", "\t", ", ", ".", "\n"]) for _ in range(r.randrange(120)))
     rows = [(i, text(), r.choice(["en", "de", None, "und"]), 0, 0, None) for i in range(120)]
-    return rows + [x for x in EDGES if x[1] is not LONG] + [(7, "Copies of this text. " * 12, "en", 0, 0, None)] * 30
+    return rows + [x for x in EDGES if x[1] is not LONG] + [(7, "Copies of this text. " * 12, x, 0, 0, None) for x in ("en", "de", None) for _ in range(12)]
 
 
-@pytest.mark.parametrize("bits,block,top", [(62, phrases.BLOCK, 2000), (62, 40, 2000), (9, phrases.BLOCK, 2000), (62, 64, 7)])
-def test_phrases_against_brute_force(spark, prose, bits, block, top):
-    """Short fingerprints collide all over; small blocks cut every text."""
-    old, phrases.BLOCK = phrases.BLOCK, block
+@pytest.mark.parametrize("bits,block,top,send", [(62, phrases.BLOCK, 2000, 0), (62, 40, 2000, 10**6), (9, phrases.BLOCK, 2000, 10**6), (62, 64, 7, 0)])
+def test_phrases_against_brute_force(spark, prose, bits, block, top, send):
+    """Short fingerprints collide all over; small blocks cut every text; pointers are broadcast or shuffled."""
+    old = phrases.BLOCK, phrases.BROADCAST_POINTERS
+    phrases.BLOCK, phrases.BROADCAST_POINTERS = block, send
     try:
         got = phrases.collocations(spark.createDataFrame(prose, SCHEMA).repartition(5), least=10, top=top, bits=bits).collect()
     finally:
-        phrases.BLOCK = old
+        phrases.BLOCK, phrases.BROADCAST_POINTERS = old
     assert sorted(tuple(x) for x in got) == mined(prose, 10, top)
     assert got
 
