@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.keyed import u
 from .matching import f1_of
-from .scan import dense_index, uniform_rank
+from .scan import dense_index, sized_rank, uniform_rank
 
 
 def cells(arms: list[str], seeds: list[int]) -> list[str]:
@@ -49,23 +49,144 @@ def boot_cluster(wide: DataFrame, arms, seeds, reps: int, seed: int) -> DataFram
     return s.select("b", delta_of(arms, seeds).alias("delta"))
 
 
-def boot_nested(wide: DataFrame, arms, seeds, reps: int, seed: int) -> DataFrame:
-    """Sessions, then each drawn copy redraws its own chunks; sessions may be ragged."""
+def seed_weights(seeds: list[int], seed) -> list[Column]:
+    """How often each seed is taken in replicate ``b``, as columns."""
+    n = len(seeds)
+    slots = [F.floor(u(f"{seed}s", "b", F.lit(k)) * n) for k in range(n)]
+    return [sum((F.when(s == i, 1).otherwise(0) for s in slots[1:]), F.when(slots[0] == i, 1).otherwise(0)) for i in range(n)]
+
+
+def delta_weighted(arms: list[str], seeds: list[int], weights: list[Column], pre: str = "") -> Column:
+    """As ``delta_of`` over columns with prefix ``pre``, each seed as often as it was drawn."""
+    f1 = lambda a, s: f1_of(F.col(f"{pre}tp_{a}{s}"), F.col(f"{pre}fp_{a}{s}"), F.col(f"{pre}n_gt"))
+    d = [w * (f1(arms[1], s) - f1(arms[0], s)) for s, w in zip(seeds, weights)]
+    return sum(d[1:], d[0]) / len(seeds)
+
+
+def _delta(arms, seeds, seed, levels, pre: str = "") -> Column:
+    return delta_weighted(arms, seeds, seed_weights(seeds, seed) if "seed" in levels else [F.lit(1)] * len(seeds), pre)
+
+
+def weight_arrays(spark, reps: int, n: int, seed) -> DataFrame:
+    """(idx, w): how often unit idx is drawn in each replicate, as an array over replicates."""
+    d = draws(spark, reps, n, n, seed).groupBy("idx").agg(F.map_from_entries(F.collect_list(F.struct("b", "w"))).alias("__m"))
+    at = lambda b: F.coalesce(F.try_element_at("__m", b), F.lit(0).cast("long"))
+    return d.select("idx", F.transform(F.sequence(F.lit(0).cast("long"), F.lit(reps - 1).cast("long")), at).alias("w"))
+
+
+def boot_crossed(wide: DataFrame, arms, seeds, reps: int, seed: int, levels: tuple[str, ...] = ("session", "block", "seed")) -> DataFrame:
+    """Three-level bootstrap with one draw of block positions shared by all sessions; any subset of levels.
+
+    All sessions must have the same number of chunks (see ``truncate_balanced``); positions follow the chunk's order. A
+    chunk's weight is the product of its session's and its position's, both arrays over replicates that are joined to the
+    chunk; the products are summed before the shuffle, so no row is written for each replicate and chunk.
+    """
     cols = cells(arms, seeds)
     size = wide.groupBy("session").agg(F.count(F.lit(1)).alias("n"))
+    low, high, ns = size.agg(F.min("n"), F.max("n"), F.count(F.lit(1))).first()
+    if low != high:
+        raise ValueError(f"sessions of {low} to {high} chunks; the crossed bootstrap needs equal ones")
+    x = wide.select("session", "chunk", *cols)
+    if "session" in levels:
+        sidx = dense_index(size.select("session"), ["session"], u("idx", "session"), "idx")
+        ws = sidx.join(weight_arrays(wide.sparkSession, reps, ns, seed), "idx", "left").select("session", F.col("w").alias("__ws"))
+        x = x.join(ws, "session")
+    if "block" in levels:
+        pos = F.row_number().over(Window.partitionBy("session").orderBy("chunk")) - 1  # sessions are of one size, none is hot
+        wb = weight_arrays(wide.sparkSession, reps, low, f"{seed}b").select(F.col("idx").alias("__pos"), F.col("w").alias("__wb"))
+        x = x.withColumn("__pos", pos).join(wb, "__pos", "left")
+    one = F.array_repeat(F.lit(1).cast("long"), reps)
+    none = F.array_repeat(F.lit(0).cast("long"), reps)
+    s = F.coalesce("__ws", none) if "session" in levels else one
+    b = F.coalesce("__wb", none) if "block" in levels else one
+    x = x.select(*cols, F.posexplode(F.zip_with(s, b, lambda p, q: p * q)).alias("b", "w")).filter("w > 0")
+    out = x.groupBy(F.col("b").cast("long").alias("b")).agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in cols])
+    return out.select("b", _delta(arms, seeds, seed, levels).alias("delta"))
+
+
+def nested_weights(wide: DataFrame, reps: int, seed: int, levels: tuple[str, ...] = ("session", "block")) -> DataFrame:
+    """(b, session, pos, w): sessions are drawn, then each drawn copy redraws its own chunks; sessions may be ragged.
+
+    Without the session level every session is one copy; without the block level a copy takes each chunk once.
+    """
+    size = wide.groupBy("session").agg(F.count(F.lit(1)).alias("n"))
     ns = size.count()
     sidx = dense_index(size, ["session"], u("idx", "session"), "sidx")
-    spark = wide.sparkSession
-    d = spark.range(reps * ns).select(F.expr(f"id div {ns}").alias("b"), (F.col("id") % ns).alias("copy"))
-    d = d.withColumn("sidx", F.floor(u(seed, "b", "copy") * ns)).join(sidx, "sidx")
+    d = wide.sparkSession.range(reps * ns).select(F.expr(f"id div {ns}").alias("b"), (F.col("id") % ns).alias("copy"))
+    d = d.withColumn("sidx", F.floor(u(seed, "b", "copy") * ns) if "session" in levels else F.col("copy")).join(sidx, "sidx")
     d = d.withColumn("slot", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
-    d = d.select("b", "session", (F.floor(u(seed, "b", "copy", "slot") * F.col("n")) + 1).alias("pos"))
-    w = d.groupBy("b", "session", "pos").agg(F.count(F.lit(1)).alias("w"))
-    pos = uniform_rank(wide.select("session", "chunk", *cols).withColumn("__u", u("pos", "chunk")), ["session"], "__u", ["chunk"], "pos")
-    s = w.join(pos, ["session", "pos"]).groupBy("b").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in cols])
+    pos = F.floor(u(seed, "b", "copy", "slot") * F.col("n")) + 1 if "block" in levels else F.col("slot")
+    return d.select("b", "session", pos.alias("pos")).groupBy("b", "session", "pos").agg(F.count(F.lit(1)).alias("w"))
+
+
+def block_positions(wide: DataFrame, cols: list[str]) -> DataFrame:
+    """Chunks with their keyed position 1..n in the session."""
+    return uniform_rank(wide.select("session", "chunk", *cols).withColumn("__u", u("pos", "chunk")), ["session"], "__u", ["chunk"], "pos")
+
+
+def boot_nested(wide: DataFrame, arms, seeds, reps: int, seed: int, levels: tuple[str, ...] = ("session", "block")) -> DataFrame:
+    """Three-level bootstrap of the difference, nested; any subset of session, block and seed."""
+    cols = cells(arms, seeds)
+    w = nested_weights(wide, reps, seed, levels).join(block_positions(wide, cols), ["session", "pos"])
+    s = w.groupBy("b").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in cols])
+    return s.select("b", _delta(arms, seeds, seed, levels).alias("delta"))
+
+
+def boot_paired(wide: DataFrame, thin: Column, arms, seeds, reps: int, seed: int, levels: tuple[str, ...] = ("session", "block", "seed")) -> DataFrame:
+    """(b, full, thin, diff): the difference read on all chunks and on those that ``thin`` keeps, under one resample."""
+    cols = cells(arms, seeds)
+    pos = block_positions(wide.withColumn("__keep", thin.cast("long")), [*cols, "__keep"])
+    w = nested_weights(wide, reps, seed, levels).join(pos, ["session", "pos"])
+    s = w.groupBy("b").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in cols], *[F.sum(F.col("w") * F.col("__keep") * F.col(c)).alias(f"t_{c}") for c in cols])
+    d = s.select("b", _delta(arms, seeds, seed, levels).alias("full"), _delta(arms, seeds, seed, levels, "t_").alias("thin"))
+    return d.withColumn("diff", F.col("thin") - F.col("full"))
+
+
+def pooled_draws(boot: DataFrame) -> DataFrame:
+    """One row from (draw, b, diff): mean over draws, within and between variance and the SE of their sum."""
+    per = boot.groupBy("draw").agg(F.avg("diff").alias("m"), F.var_pop("diff").alias("v"))
+    g = per.agg(F.count(F.lit(1)).alias("draws"), F.avg("m").alias("mean"), F.avg("v").alias("within"), F.coalesce(F.var_samp("m"), F.lit(0.0)).alias("between"))
+    return g.withColumn("se", F.sqrt(F.col("within") + F.col("between")))
+
+
+def boot_stratified(wide: DataFrame, key: str, per: int, arms, seeds, reps: int, seed: int) -> DataFrame:
+    """``per`` chunks drawn from every key with replacement: the null model of one more set built the same way."""
+    cols = cells(arms, seeds)
+    size = wide.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    rep = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    d = size.select(key, "n", rep(reps).alias("b")).select("*", rep(per).alias("slot"))
+    d = d.select("b", key, (F.floor(u(seed, "b", key, "slot") * F.col("n")) + 1).alias("pos")).groupBy("b", key, "pos").agg(F.count(F.lit(1)).alias("w"))
+    x = wide.select(key, "chunk", *cols).join(size, key).withColumn("__u", u("pos", "chunk"))
+    pos = sized_rank(x, [key], "__u", ["chunk"], "n", "pos")
+    s = d.join(pos, [key, "pos"]).groupBy("b").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in cols])
     return s.select("b", delta_of(arms, seeds).alias("delta"))
 
 
+def boot_mc_error(wide: DataFrame, arms, seeds, reps: int, seed: int, times: int) -> DataFrame:
+    """SE of the session bootstrap in ``times`` independent runs of one draw table: the first, their mean and SD."""
+    boot = boot_cluster(wide, arms, seeds, reps * times, seed)
+    run = boot.groupBy(F.expr(f"b div {reps}").alias("run")).agg(F.stddev_samp("delta").alias("se"))
+    return run.agg(F.count(F.lit(1)).alias("runs"), F.min_by("se", "run").alias("se"), F.avg("se").alias("mean_se"), F.stddev_samp("se").alias("mc_sd"))
+
+
+def se_without_replacement(rounds: DataFrame, sizes: list[int], arms, seeds, reps: int, seed: int) -> DataFrame:
+    """SE of the difference over ``n`` of all rounds drawn without replacement, for each n of ``sizes``.
+
+    ``sigma`` takes the finite population out: sd / sqrt((R - n) / (n (R - 1))); null at n = R. One keyed order of the
+    rounds in a replicate serves all sizes, each taking its first n. A round is one row, so a replicate is R rows.
+    """
+    cols = cells(arms, seeds)
+    total = rounds.count()
+    d = rounds.select("round", *cols, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(reps - 1).cast("long"))).alias("b"))
+    d = d.withColumn("__u", u(seed, "b", "round")).withColumn("__r", F.lit(total))
+    d = sized_rank(d, ["b"], "__u", ["round"], "__r", "k")
+    d = d.select("b", "k", *cols, F.explode(F.array(*[F.lit(n).cast("long") for n in sizes])).alias("n")).filter("k <= n")
+    s = d.groupBy("n", "b").agg(*[F.sum(c).alias(c) for c in cols]).select("n", "b", delta_of(arms, seeds).alias("delta"))
+    g = s.groupBy("n").agg(F.avg("delta").alias("mean"), F.stddev_samp("delta").alias("sd"))
+    free = (F.lit(total) - F.col("n")) / (F.col("n") * (F.lit(total) - 1))
+    return g.select("n", F.lit(total).cast("long").alias("n_rounds"), "mean", "sd", F.when(free > 0, F.col("sd") / F.sqrt(free)).alias("sigma"))
+
+
 def summarise(boot: DataFrame) -> DataFrame:
     """Mean, SE, percentile interval and share above zero; one row per replicate comes in."""
     q = lambda p: F.percentile("delta", p)

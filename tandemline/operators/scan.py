@@ -101,6 +101,24 @@ def uniform_rank(df: DataFrame, by: list[str], rand: str, tie: list[str], name:
     )
 
 
+def sized_rank(df: DataFrame, by: list[str], rand: str, tie: list[str], size: str, name: str = "rn", per: int = 4096) -> DataFrame:
+    """row_number() over (partition by ``by`` order by ``rand``, ``tie``) for a uniform ``rand`` on [0, 1).
+
+    ``size`` is the group's row count: a group is cut into so many buckets that each holds about ``per`` rows. Only groups
+    with several buckets need their counts carried from bucket to bucket.
+    """
+    d = df.withColumn("__nb", F.ceil(F.col(size) / per)).withColumn("__b", F.floor(F.col(rand) * F.col("__nb")))
+    w = Window.partitionBy(*by, "__b").orderBy(rand, *tie)
+    local = d.withColumn(name, F.row_number().over(w).cast("long"))
+    below = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = (
+        d.filter("__nb > 1").groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__n"))
+        .select(*by, "__b", F.coalesce(F.sum("__n").over(below), F.lit(0)).alias("__c"))
+    )
+    out = local.join(carry, [*by, "__b"], "left").withColumn(name, F.col(name) + F.coalesce("__c", F.lit(0)))
+    return out.select(*df.columns, name)
+
+
 def dense_index(df: DataFrame, key: list[str], rand: Column, name: str = "idx", buckets: int = 64) -> DataFrame:
     """Positions 0..n-1 in the order of a keyed random number, without a global sort in one task."""
     ranked = uniform_rank(df.withColumn("__u", rand), [], "__u", key, name, buckets)
