@@ -101,7 +101,7 @@ def test_crossed_equals_cluster_when_only_sessions_are_drawn(spark):
     a = {x.b: x.delta for x in R.boot_crossed(w, ARMS, SEEDS, 15, 4, ("session",)).collect()}
     b = {x.b: x.delta for x in R.boot_cluster(w, ARMS, SEEDS, 15, 4).collect()}
     c = {x.b: x.delta for x in R.boot_nested(w, ARMS, SEEDS, 15, 4, ("session",)).collect()}
-    assert a == pytest.approx(b) == pytest.approx(c) and len(a) == 15
+    assert a == pytest.approx(b) and a == pytest.approx(c) and len(a) == 15
 
 
 def test_no_level_gives_the_plain_difference(spark):
