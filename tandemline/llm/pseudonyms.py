@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame
 ROUNDS = 10
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 
-EMAIL = re.compile(r"(?<![\w.+-])[\w.+-]{1,64}(?=@[\w-]{1,63}(?:\.[\w-]{1,63})+)")
+EMAIL = re.compile(r"(?<![\w.+-])[\w.+-]+(?=@[\w-]{1,63}(?:\.[\w-]{1,63})+)")
 NUMBER = re.compile(
     r"(?P<phone>(?:(?<![\w+])\+\d{1,3}[ .-]?)?\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w+])\+\d{1,3}[ .-]\d{3}[ .-]\d{3}[ .-]\d{4}(?!\w)"
     r"|(?<![\w.-])\d{3}([.-])\d{3}\2\d{4}(?![\w-]))"
     r"|(?P<ssn>(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<date>(?<![\w.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\w-]))"
+    r"|(?P<date>(?<![\w.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\w-])|(?<![\w.-])\d{4}-\d{2}-\d{2}(?=T\d{2}:\d{2}))"
     r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d))"
     r"|(?P<card>(?<!\w)(?:\d{4}([ -])\d{4}\7\d{4}\7\d{1,7}|\d{4}([ -])\d{6}\8\d{5}|\d{13,19})(?!\w))"
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?!\w))"
@@ -77,24 +77,30 @@ def ssn(text: str, key: bytes) -> str | None:
 
 
 def day(text: str, key: bytes) -> str | None:
+    """One permutation of the calendar's days serves all formats, so equal days stay equal: ``y-m-d``, ``d.m.y``, ``m/d/y``.
+
+    ``d/m/y`` is taken only where the second number cannot be a day of the first one's month, and moves among such dates.
+    A date with a field of one digit is written without leading zeros again, any other with them.
+    """
     parts = [int(x) for x in re.split(r"\D", text)]
-    orders = [(0, 1, 2)] if "-" in text else [(2, 1, 0)] if "." in text else [(2, 0, 1), (2, 1, 0)]
-    for order in orders:
+    for order in [(0, 1, 2)] if "-" in text else [(2, 1, 0)] if "." in text else [(2, 0, 1), (2, 1, 0)]:
         try:
             at = date(*(parts[i] for i in order)).toordinal()
         except ValueError:
             continue
-        if FIRST_DAY <= at <= LAST_DAY:
-            wide = [len(x) for x in re.split(r"\D", text)]
-            while True:  # a field of one digit stays one digit, so that the format is kept
-                at = FIRST_DAY + permuted(at - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "date")
-                new = date.fromordinal(at)
-                fields = dict(zip(order, (new.year, new.month, new.day)))
-                out = [str(fields[i]).zfill(wide[i]) for i in range(3)]
-                if all(len(o) == w for o, w in zip(out, wide)):
-                    break
-            seps = [c for c in text if not c.isdigit()]
-            return out[0] + seps[0] + out[1] + seps[1] + out[2]
+        if not FIRST_DAY <= at <= LAST_DAY:
+            return None
+        only = "/" in text and order == (2, 1, 0)
+        while True:
+            at = FIRST_DAY + permuted(at - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "date")
+            new = date.fromordinal(at)
+            if not only or new.day > 12:  # walks along the permutation back to a date that reads in this order alone
+                break
+        fields = dict(zip(order, (new.year, new.month, new.day)))
+        wide = 2 if all(len(x) > 1 for x in re.split(r"\D", text)) else 1
+        seps = [c for c in text if not c.isdigit()]
+        out = [str(fields[i]).zfill(wide) for i in range(3)]
+        return out[0] + seps[0] + out[1] + seps[1] + out[2]
     return None
 
 
@@ -169,7 +175,8 @@ def private(docs: DataFrame, key: bytes) -> DataFrame:
     addresses and the local parts of e-mail addresses become keyed pseudonyms of the same format.
 
     Equal values get equal pseudonyms in every document, and one key always gives the same ones; different values stay
-    different. Numbers that fail their check (Luhn sum, calendar, mod 97, octet range) are left as they are. Null texts
+    different. Days are equal across formats (see ``day`` for slashes). Not covered: IPv6, year/month/day with slashes, bank
+    addresses printed in groups, and phone numbers grouped otherwise than 3-3-4 or written without separators. Numbers that fail their check (Luhn sum, calendar, mod 97, octet range) are left as they are. Null texts
     stay null. Rows come back as often as given; other columns play no part.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()

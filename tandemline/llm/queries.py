@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import secrets
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,8 @@ from . import langid, lines, mixing, periods, phrases, pieces, pseudonyms, quali
 
 #: Production parameters.
 SHARD_BYTES = 1 << 20
-PSEUDONYM_KEY = b"replace by a secret of your own"
+#: Setting that holds the secret key of pseudonyms; without it every query takes a random one of its own.
+PSEUDONYM_KEY = "spark.tandemline.pseudonym.key"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,7 +64,8 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms.private(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+    key = spark.conf.get(PSEUDONYM_KEY, None)
+    return pseudonyms.private(table(spark, sf_dir, "documents"), key.encode()[:64] if key else secrets.token_bytes(32))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
