@@ -118,7 +118,9 @@ def sample_windows(docs: DataFrame, rows: int = SAMPLE_ROWS, each: int = SAMPLE_
     """Windows, class numbers and classes for training: at most ``rows`` documents, ``each`` windows of each, spread
     evenly, outside the held-out quarter and with a language and a letter in the text."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    ids = known.select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(rows)
+    known = known.select("doc_id", "lang", "text", F.xxhash64("text").alias("__th"))
+    same = ["doc_id", "lang", "__th"]  # rows that repeat all of these count once
+    ids = known.select(*same).distinct().orderBy(F.xxhash64("doc_id"), *same).limit(rows)
 
     def work(batches):
         for pdf in batches:
@@ -130,7 +132,7 @@ def sample_windows(docs: DataFrame, rows: int = SAMPLE_ROWS, each: int = SAMPLE_
                     pick = w[np.unique(np.linspace(0, len(w) - 1, each).astype(int))]
                     yield pd.DataFrame({"id": [str(i)] * len(pick), "lang": [lang] * len(pick), "w": [x.tobytes() for x in pick]}, dtype=object)
 
-    found = known.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).mapInPandas(work, "id string, lang string, w binary").toPandas()
+    found = known.join(F.broadcast(ids), same).dropDuplicates(same).select("doc_id", "lang", "text").mapInPandas(work, "id string, lang string, w binary").toPandas()
     found = found.sort_values(["id", "lang", "w"], ignore_index=True)
     classes = sorted(found["lang"].unique())
     x = np.frombuffer(b"".join(found["w"]), np.uint8).reshape(-1, WINDOW)
