@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
@@ -14,14 +14,29 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 200_000
 
 
+#: Tables of this process in the shared folder that nobody has released yet.
+_tables: list[str] = []
+
+
 def saved(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: short lineage that outlives lost executors."""
+    """Write ``df`` to the shared folder and read it back: short lineage that outlives lost executors.
+
+    ``release`` deletes the tables once the results that read them are written.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete all tables that ``saved`` has written so far; nothing that reads them may run after this."""
+    while _tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_tables.pop())
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the quarter of the documents that no model learns from; a null id is never held out."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))

@@ -254,3 +254,62 @@ def test_quality_network_takes_edge_rows(spark, empty):
     if not empty:
         assert {x.score for x in quality_cnn.judged(docs, labels.limit(0)).collect()} == {0.5}
         assert {x.score for x in quality_cnn.judged(docs, spark.createDataFrame([(i, 1) for i in range(7)], labels.schema)).collect()} == {1.0}
+
+
+# ---- mends of earlier operators
+
+
+def test_days_are_one_to_one_and_equal_across_formats():
+    from datetime import date, timedelta
+
+    from tandemline.llm import pseudonyms
+
+    key, first = b"k", date(1900, 1, 1)
+    days = [first + timedelta(n) for n in range(0, (date(2100, 1, 1) - first).days, 5)]
+    shapes = {"iso": lambda d: f"{d:%Y-%m-%d}", "dot": lambda d: f"{d:%d.%m.%Y}", "slash": lambda d: f"{d:%m/%d/%Y}",
+              "short dot": lambda d: f"{d.day}.{d.month}.{d.year}", "short slash": lambda d: f"{d.month}/{d.day}/{d.year}"}
+    read = {"iso": lambda s: date.fromisoformat(s), "dot": lambda s: date(*map(int, s.split(".")[::-1])),
+            "slash": lambda s: (lambda m, d, y: date(y, m, d))(*map(int, s.split("/")))}
+    new = {n: [read[n.split()[-1]](pseudonyms.day(f(d), key)) for d in days] for n, f in shapes.items()}
+    assert all(v == new["iso"] for v in new.values())
+    assert len(set(new["iso"])) == len(days) and sum(a == b for a, b in zip(days, new["iso"])) < 5
+    late = [d for d in days if d.day > 12]
+    texts = [pseudonyms.day(f"{d:%d/%m/%Y}", key) for d in late]
+    assert len(set(texts)) == len(late) and all(int(t[:2]) > 12 for t in texts)
+    assert not set(texts) & {pseudonyms.day(shapes["slash"](d), key) for d in days}
+    for text in ("2024-02-30", "31.4.2024", "13/13/2024", "01/01/1899"):
+        assert pseudonyms.day(text, key) is None
+    out, found = pseudonyms.pseudonymised("at 2024-02-29T10:00, " + "x" * 90 + "@mail.example.com", key)
+    assert "2024-02-29" not in out and "x" * 90 not in out and found[0] == found[3] == 1
+
+
+def test_rows_that_repeat_count_once_in_the_language_sample(spark):
+    from tandemline.llm import langid
+
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2][:3]
+    rows = [(ids[0], "a b c " * 60, "en")] * 300 + [(ids[1], "d e f " * 60, "de")] * 2 + [(ids[2], None, "de")]
+    x, y, classes = langid.sample_windows(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert classes == ["de", "en"] and len(x) == len(y) <= 6
+
+
+def test_line_dedup_stage_keeps_columns_of_any_name(spark):
+    import corpus_pipeline
+
+    rows = [(1, "same line here\nother", "en", "s", 0, 7, "a", "b"), (2, "same line here\nmore", None, None, 5, 8, "c", "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n_lines long, n_removed string, __did string")
+    got = corpus_pipeline.line_dedup(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(tuple(x) for x in got.collect()) == [(1, "same line here\nother", "en", "s", 20, 7, "a", "b"), (2, "more", None, None, 4, 8, "c", "d")]
+
+
+def test_released_tables_are_gone(spark):
+    import os
+
+    from tandemline.llm import common
+
+    common.release(spark)
+    df = common.saved(spark.range(3))
+    path = common._tables[0]
+    assert df.count() == 3 and os.path.isdir(path)
+    common.release(spark)
+    assert not os.path.exists(path) and not common._tables
