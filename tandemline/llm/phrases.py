@@ -33,8 +33,6 @@ BLOCK = 1 << 19
 #: The bitmap of frequent keys has 2^24 bits (2 MB) at any size; fuller, it lets more rare triples through to the count.
 BITMAP = 24
 CELL_WORDS = 1024
-#: Pointers (28 bytes each) that may be broadcast to the documents; beyond them that join shuffles.
-BROADCAST_POINTERS = 500_000
 #: Texts that a task remembers to have read already; beyond them copies are read again, which changes no result.
 SEEN = 100_000
 UNKNOWN = "und"
@@ -265,10 +263,8 @@ def materialised(source: DataFrame, frequent: DataFrame, bits: int) -> DataFrame
 
     A pointer's hash may name several texts; only a text with the key and the check value at that position answers.
     """
-    sure = saved(frequent.where("lo = hi").select(F.shiftright("ptr", 30).alias("th"), F.struct("ptr", "key", "lo", "n").alias("w")))
+    sure = frequent.where("lo = hi").select(F.shiftright("ptr", 30).alias("th"), F.struct("ptr", "key", "lo", "n").alias("w"))
     asked = sure.groupBy("th").agg(F.collect_list("w").alias("asked"))
-    if sure.count() <= BROADCAST_POINTERS:
-        asked = F.broadcast(asked)
 
     def fresh(batch, seen):
         for i, (raw, salt, th) in enumerate(_rows(batch)):
