@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+# The shapes that files of these kinds have.
 LINE = r"^\s*(\d+\.?\d*)\s+(\d+\.?\d*)\s+([AB])\s*:\s*(.*)$"
 FRAMES = "channels map<string, struct<frames: array<array<string>>, transcript: string>>"
 VOTES = "example_id string, history array<struct<content: string, boundaries: array<struct<total_count: long, counts: map<string, long>>>>>"

@@ -103,9 +103,9 @@ def test_votes_and_results_of_odd_documents(spark):
     got = [tuple(x) for x in P.vote_slots(spark.createDataFrame([(x,) for x in docs], "value string"), ["a", "b"]).collect()]
     assert got == [("e", 0, 0, 3, 3, 0), ("e", 0, 1, 0, 0, 0)]
     doc = '{"per_chunk":{"k":{"tp":1,"fp":0,"n_gt":2,"n_pred":1,"pred_times":[0.5],"wins":[[0.0,1.0]]}}}'
-    rows = [("/p/g1_eval_own10_s3_e4x.json", doc), ("/p/g1_eval_mixnorm_c.json", doc), ("/p/other.json", doc)]
+    rows = [("/p/g1_eval_left10_s3_e4x.json", doc), ("/p/g1_eval_right_c.json", doc), ("/p/other.json", doc)]
     got = {(x.arm, x.seed, x.set, x.chunk, x.tp) for x in P.eval_results(spark.createDataFrame(rows, "path string, value string")).collect()}
-    assert got == {("own10", 3, "e4x", "k", 1), ("mixnorm", 42, "c", "k", 1)}
+    assert got == {("left10", 3, "e4x", "k", 1), ("right", 42, "c", "k", 1)}
 
 
 def paths(o, prefix=""):
