@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .scan import running, uniform_rank
 
@@ -72,6 +72,44 @@ def raise_prevalence(df: DataFrame, positive: Column, current: float, target: fl
     return df.filter(positive | (rand < q))
 
 
+def first_by(df: DataFrame, n: int, rand: Column, tie: list[str]) -> DataFrame:
+    """The first ``n`` rows in keyed-random order: each task keeps its own first n, nothing is ranked as a whole."""
+    return df.withColumn("__u", rand).orderBy("__u", *tie).limit(n).drop("__u")
+
+
+def select_balanced(df: DataFrame, cls: str, n: int, rand: Column, tie: list[str]) -> DataFrame:
+    """A sixth backchannel and half speak, at most what there is of them and at least one row's quota; listen fills up to ``n``."""
+    part = lambda name, k: first_by(df.filter(F.col(cls) == name), k, rand, tie)
+    bc, speak = part("backchannel", max(1, n // 6)), part("speak", max(1, n // 2))
+    left = n - bc.count() - speak.count()  # two numbers of at most n
+    return bc.unionByName(speak).unionByName(part("listen", max(1, left)))
+
+
+def stratified_sample(df: DataFrame, positive: Column, per: int, n: int, rand: Column, again: Column, tie: list[str]) -> DataFrame:
+    """Up to ``per`` rows of each stratum, shuffled together, the first ``n`` of them. A null truth belongs to neither."""
+    both = first_by(df.filter(positive), per, rand, tie).unionByName(first_by(df.filter(~positive), per, rand, tie))
+    return first_by(both, n, again, tie)
+
+
+def extend_set(frozen: DataFrame, pool: DataFrame, used: DataFrame, key: str, pos: str, total: int, rand: Column) -> DataFrame:
+    """(key, pos): the frozen ids at their positions, then ids of the pool in keyed order that are neither frozen nor used,
+    up to ``total``. A frozen set of ``total`` ids or more is cut to its first."""
+    have = frozen.count()
+    if have >= total:
+        return frozen.select(key, pos).orderBy(pos).limit(total)
+    new = pool.select(key).join(frozen.select(key), key, "left_anti").join(used.select(key), key, "left_anti")
+    new = new.withColumn("__u", rand).orderBy("__u", key).limit(total - have)
+    w = Window.orderBy("__u", key)  # at most ``total`` rows
+    return frozen.select(key, pos).unionByName(new.select(key, (F.row_number().over(w) + have - 1).cast("long").alias(pos)))
+
+
+def next_sessions(sessions: DataFrame, used: DataFrame, key: str, n: int) -> DataFrame:
+    """The ``n`` sessions that follow the last used one in sorted order; none of them is used."""
+    last = used.agg(F.max(key).alias("__last"))  # one row
+    after = sessions.select(key).distinct().crossJoin(F.broadcast(last)).filter(F.col("__last").isNull() | (F.col(key) > F.col("__last")))
+    return after.select(key).orderBy(key).limit(n)
+
+
 def dedup_first(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """First row per key in the given order, as a map-side combined aggregate rather than a window."""
     rest = [c for c in df.columns if c not in key]
