@@ -18,23 +18,42 @@ BROADCAST_ROWS = 200_000
 _tables: list[str] = []
 
 
+#: Lets Spark delete the shuffle files of a query when it ends; those of a written table are never read again.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: short lineage that outlives lost executors.
 
-    ``release`` deletes the tables once the results that read them are written.
+    Its shuffle files go once it is written. ``release`` deletes the tables once the results that read them are written.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.select("*").write.parquet(path)  # a query takes the setting when it is built
+    finally:
+        spark.conf.set(CLEANUP, before)
     _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all tables that ``saved`` has written so far; nothing that reads them may run after this."""
-    while _tables:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_tables.pop())
+def release(spark: SparkSession, since: int = 0, last: int = 0) -> None:
+    """Delete the tables that ``saved`` has written, but for the first ``since`` and the ``last`` ones.
+
+    Nothing that reads them may run after this.
+    """
+    stop = len(_tables) - last
+    for name in _tables[since:stop]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    del _tables[since:stop]
+
+
+def written() -> int:
+    """Number of tables that ``saved`` has written and nobody has deleted, for ``release(since=...)``."""
+    return len(_tables)
 
 
 def held_out(doc_id: Column) -> Column:

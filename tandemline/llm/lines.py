@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved
+from .common import release, saved, written
 
 #: Jaccard threshold as a fraction, so that all bounds are whole numbers.
 NUM, DEN = 4, 5
@@ -89,12 +89,11 @@ def _rarity(docs: DataFrame) -> Callable[[Column], Column]:
     table = bytearray(COUNTERS)  # sixty-four thousand counters, whatever the input
     top = math.log(max(2, found["n"].max() if len(found) else 2))
     for k, n in zip(found["k"], found["n"]):
-        table[k] = round(126 * math.log(n) / top)  # below 128: each byte reads as one character
-    literal = F.lit(bytes(table))
+        table[k] = round(126 * math.log(n) / top)
+    classes = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")  # folded into one literal
 
     def place(h: Column) -> Column:
-        at = h.bitwiseAND(F.lit(COUNTERS - 1)).cast("int") + 1
-        return F.shiftleft(F.ascii(F.substring(literal, at, F.lit(1)).cast("string")).cast("long"), 32).bitwiseOR(F.shiftrightunsigned(h, 32))
+        return F.shiftleft(F.get(classes, h.bitwiseAND(F.lit(COUNTERS - 1)).cast("int")), 32).bitwiseOR(F.shiftrightunsigned(h, 32))
 
     return place
 
@@ -145,7 +144,8 @@ def _pairs(rows: DataFrame, keys: list[str], probes: DataFrame | None = None, pl
 
 
 def _verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(xd, xp) of the pairs whose lines really reach the threshold."""
+    """(xd, xp) of the pairs whose lines really reach the threshold, as a saved table; the others it needs are deleted."""
+    since = written()
     # wide parities first, so that only lines of pairs that are nearly sure are split again
     wide = lines.where("w is not null").select("did", "pos", "n", "w")
 
@@ -163,7 +163,9 @@ def _verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame) -> DataFrame:
     x, y = (sets.select(F.col("d").alias(s + "d"), F.col("p").alias(s + "p"), F.col("t").alias(s + "t")) for s in "xy")
     both = pairs.join(x, ["xd", "xp"]).join(y, ["yd", "yp"])
     both = both.select("xd", "xp", F.size("xt").alias("nx"), F.size("yt").alias("ny"), F.size(F.array_intersect("xt", "yt")).alias("both"))
-    return both.where(DEN * F.col("both") >= NUM * (F.col("nx") + F.col("ny") - F.col("both"))).select("xd", "xp").distinct()
+    found = saved(both.where(DEN * F.col("both") >= NUM * (F.col("nx") + F.col("ny") - F.col("both"))).select("xd", "xp").distinct())
+    release(docs.sparkSession, since, last=1)
+    return found
 
 
 def _matched(docs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -173,8 +175,9 @@ def _matched(docs: DataFrame, lines: DataFrame) -> DataFrame:
     only, which settles families of similar lines in linear work; what is left there is compared with the token's lines.
     Under a very frequent token it is compared under pairs of tokens: two lines of two words or more that reach the
     threshold and meet under a token share another one in prefixes longer by one. A line of one word only matches lines
-    of the same word alone, so the earliest of these settles all later ones.
+    of the same word alone, so the earliest of these settles all later ones. Of its tables only the result's stays.
     """
+    since = written()
     width = F.col("n") - F.ceil(F.col("n") * NUM / F.lit(DEN)).cast("int") + 1  # ``pre`` has one more where there is one
     rows = lines.select("did", "pos", "n", "sig", "w", F.posexplode(F.slice("pre", F.lit(1), width)).alias("i", "tok"))
     rows = rows.withColumn("lead", F.col("i") <= F.col("n") - F.ceil(F.col("n") * (2 * NUM) / F.lit(NUM + DEN)))
@@ -194,7 +197,7 @@ def _matched(docs: DataFrame, lines: DataFrame) -> DataFrame:
     pairs = saved(_pairs(few, ["tok"]).union(led).distinct())
     # the earliest candidate of a line is nearly always a match; the rest are checked only where it is not
     best = saved(pairs.groupBy("xd", "xp").agg(F.min(F.struct("yd", "yp")).alias("y")).select("xd", "xp", "y.yd", "y.yp"))
-    found = saved(_verified(docs, lines, best))
+    found = _verified(docs, lines, best)
     rest = pairs.join(found, ["xd", "xp"], "left_anti").join(best, ["xd", "xp", "yd", "yp"], "left_anti")
     if many:
         settled = found.select(F.col("xd").alias("did"), F.col("xp").alias("pos"))
@@ -211,7 +214,9 @@ def _matched(docs: DataFrame, lines: DataFrame) -> DataFrame:
             # two words may share a token; their lines alone are few here, as the earliest settled the others
             one = met.where("n = 1").select("did", "pos", "n", "sig", "tok")
             rest = rest.union(_pairs(one, ["tok"], one.join(left, ["tok", "did", "pos"], "left_semi"), placed=False))
-    return saved(found.union(_verified(docs, lines, rest.distinct())))
+    matched = saved(found.union(_verified(docs, lines, rest.distinct())))
+    release(docs.sparkSession, since, last=1)
+    return matched
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
