@@ -279,11 +279,13 @@ def d19(t: Tables):
 
 
 def clips(t: Tables):
+    """Every vector with its successor as the partner; one without a successor has a silent partner."""
     e = t.table("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("own"))
-    return e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("own").alias("part")), "vec_id")
+    pairs = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("own").alias("part")), "vec_id", "left")
+    return pairs.withColumn("part", F.coalesce("part", F.array_repeat(F.lit(0.0), F.size("own"))))
 
 
-CLIPS_SQL = "clips AS (SELECT a.vec_id, CAST(a.embedding AS DOUBLE[]) AS own, CAST(b.embedding AS DOUBLE[]) AS part FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"
+CLIPS_SQL = "clips AS (SELECT a.vec_id, CAST(a.embedding AS DOUBLE[]) AS own, coalesce(CAST(b.embedding AS DOUBLE[]), list_transform(CAST(a.embedding AS DOUBLE[]), lambda x: CAST(0 AS DOUBLE))) AS part FROM embeddings a LEFT JOIN embeddings b ON b.vec_id = a.vec_id + 1)"
 
 
 @query(
@@ -307,7 +309,7 @@ def d20(t: Tables):
     f"""WITH {CLIPS_SQL}, z AS (SELECT vec_id, list_transform(own, lambda x: CASE WHEN abs(x) < 0.05 THEN 0.0::DOUBLE ELSE x END) AS l, list_transform(part, lambda x: CASE WHEN abs(x) < 0.05 THEN 0.0::DOUBLE ELSE x END) AS r FROM clips),
  x AS (SELECT vec_id, unnest(l) AS l, unnest(r) AS r FROM z) SELECT vec_id, round(avg(CASE WHEN l = 0 THEN 1.0 ELSE 0 END), 6) AS l_zero, round(avg(CASE WHEN r = 0 THEN 1.0 ELSE 0 END), 6) AS r_zero,
  round(avg(CASE WHEN l = 0 AND r = 0 THEN 1.0 ELSE 0 END), 6) AS both_zero, round(avg(CASE WHEN l <> 0 AND r <> 0 THEN 1.0 ELSE 0 END), 6) AS overlap,
- round(coalesce(least(min(abs(l)) FILTER (l <> 0), min(abs(r)) FILTER (r <> 0)), 0), 6) AS min_abs_nonzero, 0.0::DOUBLE AS frac_quiet, round(corr(l, r), 5) AS corr FROM x GROUP BY 1""",
+ round(coalesce(least(min(abs(l)) FILTER (l <> 0), min(abs(r)) FILTER (r <> 0)), 0), 6) AS min_abs_nonzero, 0.0::DOUBLE AS frac_quiet, CASE WHEN var_pop(l) > 1e-18 AND var_pop(r) > 1e-18 THEN round(corr(l, r), 5) END AS corr FROM x GROUP BY 1""",
 )
 def d20b(t: Tables):
     gate = lambda c: F.transform(c, lambda x: F.when(F.abs(x) < 0.05, 0.0).otherwise(x)).alias(c)
@@ -385,16 +387,15 @@ def d25(t: Tables):
 @query(
     "d26_mix_check", "",
     f"""WITH {MIX_SQL}, pj AS (SELECT vec_id, sum(m * o) / (sum(o * o) + 1e-8) AS proj FROM mixed GROUP BY 1),
- q AS (SELECT vec_id, max(proj) AS proj, avg(pow(m - proj * o, 2)) / (avg(m * m) + 1e-8) AS res_share, corr(m - proj * o, p) AS corr_res_part, corr(m, o) AS cmo FROM mixed JOIN pj USING (vec_id) GROUP BY 1)
+ q AS (SELECT vec_id, max(proj) AS proj, avg(pow(m - proj * o, 2)) / (avg(m * m) + 1e-8) AS res_share, CASE WHEN var_pop(m - proj * o) > 1e-18 AND var_pop(p) > 1e-18 THEN corr(m - proj * o, p) END AS corr_res_part, corr(m, o) AS cmo FROM mixed JOIN pj USING (vec_id) GROUP BY 1)
  SELECT count(*) AS n, round(quantile_cont(proj, 0.5), 5) AS proj_med, round(quantile_cont(res_share, 0.5), 5) AS res_med, round(quantile_cont(res_share, 0.1), 5) AS res_p10, round(quantile_cont(res_share, 0.9), 5) AS res_p90, round(quantile_cont(corr_res_part, 0.5), 5) AS corr_med, round(quantile_cont(cmo, 0.5), 5) AS own_med, count(*) FILTER (res_share < 0.01) AS n_dead FROM q""",
 )
 def d26(t: Tables):
     m = OS.mix_check(OS.mix(clips(t), "own", "part", "mixnorm"), "own", "part", "mixed").select("vec_id", "proj", "res_share", "corr_res_part", "corr_mix_own")
     n = m.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("res_share") < 0.01).alias("n_dead"))
-    parts = [
-        exact_quantiles(m, [], "proj", {"proj_med": 0.5}), exact_quantiles(m, [], "res_share", {"res_med": 0.5, "res_p10": 0.1, "res_p90": 0.9}),
-        exact_quantiles(m, [], "corr_res_part", {"corr_med": 0.5}), exact_quantiles(m, [], "corr_mix_own", {"own_med": 0.5}),
-    ]
-    for p in parts:  # each is one row
-        n = n.crossJoin(p)
+    names = {"proj": "proj", "res_share": "res", "corr_res_part": "corr", "corr_mix_own": "own"}
+    long = m.select(F.explode(F.array(*[F.struct(F.lit(v).alias("what"), F.col(k).alias("v")) for k, v in names.items()])).alias("x")).select("x.*")
+    q = exact_quantiles(long.where("v is not null"), ["what"], "v", {"p10": 0.1, "med": 0.5, "p90": 0.9})
+    of = lambda what, c: F.max(F.when(F.col("what") == what, F.col(c))).alias(f"{what}_{c}")
+    n = n.crossJoin(q.agg(*[of(w, "med") for w in names.values()], of("res", "p10"), of("res", "p90")))  # one row each
     return n.select("n", "n_dead", *[F.round(c, 5).alias(c) for c in ("proj_med", "res_med", "res_p10", "res_p90", "corr_med", "own_med")])
