@@ -1,15 +1,15 @@
 """Timed-event matching and the scores built on matched counts.
 
-Greedy rules depend on order, so each is a fold over an array with the used positions as state.  Arrays
-are cut where matches cannot reach (a chunk, or an island of touching reach), never per session.
+Greedy rules depend on order: inside a chunk they are a fold over an array with the used positions as state,
+along a whole key they run in blocks (``greedy``).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .intervals import interval_join, label_islands
-from .scan import ranked_values
+from .greedy import collar_rule, cover_rule, greedy_match
+from .intervals import interval_join
 
 
 def fold_match(preds: Column, wins: Column, ok) -> Column:
@@ -23,18 +23,6 @@ def fold_match(preds: Column, wins: Column, ok) -> Column:
     return F.aggregate(preds, F.array().cast("array<int>"), step)
 
 
-def fold_best(items: Column, cands: Column, value, floor: float) -> Column:
-    """Position of the unused candidate with the largest ``value`` (first on ties), if it reaches ``floor``."""
-    pos = F.when(F.size(cands) > 0, F.sequence(F.lit(1), F.size(cands))).otherwise(F.array().cast("array<int>"))
-
-    def step(acc, t):
-        free = F.filter(pos, lambda j: ~F.array_contains(acc, j))
-        best = F.array_max(F.transform(free, lambda j: F.struct(value(t, F.get(cands, j - 1)).alias("v"), (-j).alias("j"))))
-        return F.array_append(acc, F.when(best.v >= floor, -best.j).otherwise(0))
-
-    return F.aggregate(items, F.array().cast("array<int>"), step)
-
-
 def n_matched(pos: Column) -> Column:
     return F.size(F.filter(pos, lambda j: j > 0)).cast("long")
 
@@ -61,44 +49,28 @@ def hit_any(preds: DataFrame, windows: DataFrame, keys: list[str], pid: str, tol
     return preds.join(hit.select(pid).distinct(), pid, "left_semi")
 
 
-def _sides(a: DataFrame, b: DataFrame, keys: list[str], pad: float, span: float) -> DataFrame:
-    """Both sides with the island of touching reach they belong to."""
-    x = a.select(*keys, F.col("s"), F.col("e"), F.lit(0).alias("side"), "id").unionByName(
-        b.select(*keys, (F.col("s") - pad).alias("s"), (F.col("e") + pad).alias("e"), F.lit(1).alias("side"), "id")
-    )
-    lab = label_islands(x, keys, 1e-9, span)
-    orig = lambda c, sign: F.when(F.col("side") == 1, F.col(c) + sign * pad).otherwise(F.col(c))
-    items = lab.select(*keys, "island", "side", F.struct(orig("s", 1.0).alias("s"), orig("e", -1.0).alias("e"), "id").alias("x"))
-    pick = lambda k: F.array_sort(F.collect_list(F.when(F.col("side") == k, F.col("x"))))
-    return items.groupBy(*keys, "island").agg(pick(0).alias("xs"), pick(1).alias("ys"))
-
-
-def match_by_cover(events: DataFrame, windows: DataFrame, keys: list[str], span: float, share: float = 0.5) -> DataFrame:
+def match_by_cover(events: DataFrame, windows: DataFrame, keys: list[str], width: float, share: float = 0.5, per: int = 512) -> DataFrame:
     """Greedy match by the share of the event inside a window, each window once; counts per key.
 
-    An event of no length has the share 0.
+    Events go in the order (s, e, id) and ties to the first window of that order. ``share`` is above 0; an event of no
+    length has the share 0. Rows without a start or an end count in n_pred and n_gt and match nothing.
     """
-    inside = lambda e, w: F.greatest(F.lit(0.0), F.least(e.e, w.e) - F.greatest(e.s, w.s))
-    frac = lambda e, w: F.when(e.e > e.s, inside(e, w) / F.nullif(e.e - e.s, F.lit(0.0))).otherwise(0.0)
-    g = _sides(events, windows, keys, 0.0, span).withColumn("m", n_matched(fold_best(F.col("xs"), F.col("ys"), frac, share)))
-    out = g.groupBy(*keys).agg(F.sum("m").alias("matched"), F.sum(F.size("xs")).cast("long").alias("n_pred"), F.sum(F.size("ys")).cast("long").alias("n_gt"))
+    m = greedy_match(events, windows, keys, cover_rule(share), 0.0, width, per).select(*keys, n_matched(F.col("took")).alias("matched"))
+    one = lambda df, name: df.select(*keys, F.lit(0).cast("long").alias("matched"), *[F.lit(int(name == c)).cast("long").alias(c) for c in ("n_pred", "n_gt")])
+    rows = one(events, "n_pred").unionByName(one(windows, "n_gt")).unionByName(m, allowMissingColumns=True)
+    out = rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("matched", "n_pred", "n_gt")])
     rate = lambda n, d: F.when(F.col(d) > 0, F.col(n) / F.col(d)).otherwise(0.0)
     p, r = rate("matched", "n_pred"), rate("matched", "n_gt")
     return out.select("*", p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"))
 
 
-def match_collar(ref: DataFrame, hyp: DataFrame, keys: list[str], collar: float, span: float) -> DataFrame:
+def match_collar(ref: DataFrame, hyp: DataFrame, keys: list[str], collar: float, width: float, per: int = 512) -> DataFrame:
     """Each reference point in order takes the nearest unused hypothesis within the collar; signed errors."""
-    r = ref.select(*keys, "id", F.col("t").alias("s"), F.col("t").alias("e"))
-    h = hyp.select(*keys, "id", F.col("t").alias("s"), F.col("t").alias("e"))
-    g = _sides(r, h, keys, collar, span)
-    near = lambda x, y: -F.abs(x.s - y.s)
-    g = g.withColumn("m", fold_best(F.col("xs"), F.col("ys"), near, -collar - 1e-12))
-    pairs = g.select(*keys, F.explode(F.arrays_zip("xs", "m")).alias("z"), "ys").filter("z.m > 0")
-    return pairs.select(
-        *keys, F.col("z.xs.id").alias("ref_id"), F.get("ys", F.col("z.m") - 1)["id"].alias("hyp_id"),
-        (F.get("ys", F.col("z.m") - 1)["s"] - F.col("z.xs.s")).alias("err"),
-    )
+    point = lambda df: df.select(*keys, "id", F.col("t").alias("s"), F.col("t").alias("e"))
+    g = greedy_match(point(ref), point(hyp), keys, collar_rule(collar), collar, width, per)
+    z = g.select(*keys, "y_id", "y_s", F.explode(F.arrays_zip("x_id", "x_s", "took")).alias("z")).filter("z.took > 0")
+    hyp_at = lambda c: F.get(c, F.col("z.took") - 1)
+    return z.select(*keys, F.col("z.x_id").alias("ref_id"), hyp_at("y_id").alias("hyp_id"), (hyp_at("y_s") - F.col("z.x_s")).alias("err"))
 
 
 def iou(a_s: Column, a_e: Column, b_s: Column, b_e: Column) -> Column:

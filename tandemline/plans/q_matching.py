@@ -52,14 +52,35 @@ def e02(t: Tables):
     return M.hit_any(t.preds, t.windows, SC, "pid", 0.5, WIDTH).select("pid", "score")
 
 
-@query("e03_match_by_cover")
+#: Fold of the items of a key over its candidates: ``value`` of item x and candidate y, where at least ``floor``.
+_GREEDY = lambda value, floor: f"""st AS (SELECT *, 0 AS i, CAST([] AS BIGINT[]) AS used FROM ls
+ UNION ALL SELECT * EXCLUDE (i, used), i + 1 AS i, list_append(used, coalesce(list_reverse_sort(list_filter(list_transform(list_filter(range(1, len(ys) + 1), lambda j: NOT list_contains(used, -j)),
+ lambda j: {{'v': {value('xs[i + 1]', 'ys[j]')}, 'j': -j}}), lambda z: z.v >= {floor}))[1].j, 0)) AS used FROM st WHERE i < len(xs))"""
+
+
+@query(
+    "e03_match_by_cover", "seg windows",
+    f"""WITH RECURSIVE el AS (SELECT session, list({{'s': s, 'e': e}} ORDER BY s, e, event_id) AS xs FROM seg WHERE cls = 'Int' GROUP BY 1), wl AS (SELECT session, list({{'s': a, 'e': b}} ORDER BY a, b, wid) AS ys FROM windows GROUP BY 1),
+ ls AS (SELECT coalesce(el.session, wl.session) AS session, coalesce(xs, []) AS xs, coalesce(ys, []) AS ys FROM el FULL JOIN wl ON el.session = wl.session),
+ {_GREEDY(lambda x, y: f"CASE WHEN {x}.e > {x}.s THEN greatest(0, least({x}.e, {y}.e) - greatest({x}.s, {y}.s)) / ({x}.e - {x}.s) ELSE 0 END", "0.5")},
+ c AS (SELECT session, CAST(len(list_filter(used, lambda j: j <> 0)) AS BIGINT) AS matched, CAST(len(xs) AS BIGINT) AS n_pred, CAST(len(ys) AS BIGINT) AS n_gt FROM st WHERE i = len(xs)),
+ r AS (SELECT *, CASE WHEN n_pred > 0 THEN matched / n_pred ELSE 0 END AS p, CASE WHEN n_gt > 0 THEN matched / n_gt ELSE 0 END AS r FROM c)
+ SELECT session, matched, n_pred, n_gt, round(p, 6) AS "precision", round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM r""",
+)
 def e03(t: Tables):
     ev = t.seg.filter("cls = 'Int'").select("session", F.col("event_id").alias("id"), "s", "e")
     w = t.windows.select("session", F.col("wid").alias("id"), F.col("a").alias("s"), F.col("b").alias("e"))
     return r6(M.match_by_cover(ev, w, ["session"], DAY), "precision", "recall", "f1")
 
 
-@query("e04_match_collar")
+@query(
+    "e04_match_collar", "windows preds",
+    f"""WITH RECURSIVE wl AS (SELECT session, ch, list({{'t': a, 'id': wid}} ORDER BY a, wid) AS xs FROM windows GROUP BY ALL), pl AS (SELECT session, ch, list({{'t': t, 'id': pid}} ORDER BY t, pid) AS ys FROM preds GROUP BY ALL),
+ ls AS (SELECT wl.session, wl.ch, xs, ys FROM wl JOIN pl ON wl.session = pl.session AND wl.ch = pl.ch),
+ {_GREEDY(lambda x, y: f"CASE WHEN {y}.t >= {x}.t - 1.5 AND {y}.t <= {x}.t + 1.5 THEN -abs({y}.t - {x}.t) ELSE -9 END", "-2")},
+ m AS (SELECT session, ch, unnest(xs) AS x, unnest(used) AS j, ys FROM st WHERE i = len(xs))
+ SELECT session, ch, x.id AS ref_id, ys[-j].id AS hyp_id, round(ys[-j].t - x.t, 6) AS err FROM m WHERE j <> 0""",
+)
 def e04(t: Tables):
     w = t.windows.select("session", "ch", F.col("wid").alias("id"), F.col("a").alias("t"))
     return r6(M.match_collar(w, t.preds.select("session", "ch", F.col("pid").alias("id"), "t"), SC, 1.5, DAY), "err")
