@@ -12,13 +12,21 @@ from .scan import average_rank, uniform_rank
 
 #: Normal quantile of 97.5 %.
 Z975 = 1.959963984540054
-#: Student's t quantiles of 97.5 % for 1 to 30 degrees of freedom; beyond them the normal quantile.
+#: Student's t quantiles of 97.5 % for 1 to 30 degrees of freedom; beyond them ``t975`` expands in 1 / k.
 T975 = [
     12.706, 4.303, 3.182, 2.776, 2.571, 2.447, 2.365, 2.306, 2.262, 2.228, 2.201, 2.179, 2.160, 2.145, 2.131,
     2.120, 2.110, 2.101, 2.093, 2.086, 2.080, 2.074, 2.069, 2.064, 2.060, 2.056, 2.052, 2.048, 2.045, 2.042,
 ]
 
 
+def t975(k: Column) -> Column:
+    """Student's t quantile of 97.5 % at ``k`` degrees of freedom: the table, then the normal quantile's expansion in 1 / k."""
+    z = Z975
+    more = (z**3 + z) / 4 / k + (5 * z**5 + 16 * z**3 + 3 * z) / 96 / k**2 + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384 / k**3
+    more = more + (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160 / k**4
+    return F.when(k > 0, F.coalesce(F.get(F.array(*[F.lit(x) for x in T975]), (k - 1).cast("int")), z + more))
+
+
 def corr_report(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """Pearson, Spearman (ties share their mean rank), least-squares line and log-log slope of complete pairs."""
     d = df.select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter("x is not null and y is not null")
@@ -55,19 +63,22 @@ def cohens_d(df: DataFrame, by: list[str], group: Column, features: list[str]) -
 
 
 def sign_test(df: DataFrame, by: list[str], d: str) -> DataFrame:
-    """One-sided binomial tail of the number of negative differences.
+    """One-sided binomial tail of the number of negative differences; 1 without a difference.
 
-    The tail is folded in logarithms, one step for each difference of a group: meant for runs or sessions.
+    Counts up to 1,000 are summed as whole numbers, more by the incomplete beta function, which is the same tail.
     """
-    g = df.filter(F.col(d).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(d) < 0).alias("n_neg"))
-    weight = lambda lc: F.exp(lc - F.col("n") * F.lit(math.log(2.0)))
-    start = F.struct(F.lit(0.0).alias("lc"), F.when(F.col("n_neg") == 0, weight(F.lit(0.0))).otherwise(0.0).alias("p"))
 
-    def step(a: Column, k: Column) -> Column:
-        lc = a["lc"] + F.log((F.col("n") - k + 1) / k)
-        return F.struct(lc.alias("lc"), (a["p"] + F.when(k >= F.col("n_neg"), weight(lc)).otherwise(0.0)).alias("p"))
+    @F.pandas_udf("double")
+    def tail(n: pd.Series, k: pd.Series) -> pd.Series:
+        def one(n: int, k: int) -> float:
+            if k == 0:
+                return 1.0
+            return sum(math.comb(n, i) for i in range(k, n + 1)) / 2**n if n <= 1000 else _beta_share(0.5, k, n - k + 1)
+
+        return pd.Series([one(int(a), int(b)) for a, b in zip(n, k)], dtype="float64")
 
-    return g.select(*by, "n", "n_neg", F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("n")), start, step, lambda a: a["p"]).alias("p"))
+    g = df.filter(F.col(d).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(d) < 0).alias("n_neg"))
+    return g.select(*by, "n", "n_neg", tail("n", "n_neg").alias("p"))
 
 
 def variance_ratio_perm(df: DataFrame, value: str, second: Column, key: list[str], n: int, seed: int) -> DataFrame:
@@ -91,12 +102,14 @@ def _chi2(k: Column, z: float) -> Column:
 
 
 def sd_ci(df: DataFrame, by: list[str], col: str) -> DataFrame:
-    """SD with its 95 % interval, and the 95 % interval in which a new run is expected."""
-    g = df.groupBy(*by).agg(F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("sd")).filter("n > 1")
-    k = F.col("n") - 1
-    t = F.coalesce(F.get(F.array(*[F.lit(x) for x in T975]), (k - 1).cast("int")), F.lit(Z975))
+    """SD with its 95 % interval, and the 95 % interval in which a new run is expected.
+
+    A group of one value keeps its mean; its SD and bounds are null, as are all figures of a group without a value.
+    """
+    g = df.groupBy(*by).agg(F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("sd"))
+    k = F.when(F.col("n") > 1, F.col("n") - 1)
     bound = lambda z: F.col("sd") * F.sqrt(k / _chi2(k, z))
-    half = t * F.col("sd") * F.sqrt(1 + 1 / F.col("n"))
+    half = t975(k) * F.col("sd") * F.sqrt(1 + 1 / F.col("n"))
     return g.select(
         *by, "n", "mean", "sd", bound(Z975).alias("sd_lo"), bound(-Z975).alias("sd_hi"), (F.col("mean") - half).alias("new_lo"), (F.col("mean") + half).alias("new_hi"),
     )
@@ -137,9 +150,56 @@ def _poisson_sf(k: Column, h: Column) -> Column:
 
 
 def fisher_combined(df: DataFrame, by: list[str], p: str) -> DataFrame:
-    """Fisher's combination of independent p values; the tail is closed as the degrees of freedom are even."""
-    g = df.filter(F.col(p) > 0).groupBy(*by).agg(F.count(F.lit(1)).alias("k"), (-F.sum(F.log(p))).alias("h"))
-    return g.select(*by, "k", (2 * F.col("h")).alias("chi2"), _poisson_sf(F.col("k"), F.col("h")).alias("p"))
+    """Fisher's combination of independent p values; the tail is closed as the degrees of freedom are even.
+
+    A value of 0 makes the combined p 0 and chi2 infinite. Null and NaN are left out; a value outside 0 to 1 ends the job.
+    """
+    value = F.nanvl(F.col(p).cast("double"), F.lit(None).cast("double"))
+    sound = F.when((value < 0) | (value > 1), F.raise_error(F.concat(F.lit("not a p value: "), value.cast("string"))).cast("double")).otherwise(value)
+    d = df.select(*by, sound.alias("__p")).filter("__p is not null")
+    g = d.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("k"), F.count_if(F.col("__p") == 0).alias("zero"),
+        F.coalesce(-F.sum(F.when(F.col("__p") > 0, F.log("__p"))), F.lit(0.0)).alias("h"))
+    chi2 = F.when(F.col("zero") > 0, F.lit(float("inf"))).otherwise(2 * F.col("h"))
+    return g.select(*by, "k", chi2.alias("chi2"), F.when(F.col("zero") > 0, 0.0).otherwise(_poisson_sf(F.col("k"), F.col("h"))).alias("p"))
+
+
+def _beta_share(x: float, a: float, b: float) -> float:
+    """Regularised incomplete beta function by its continued fraction, on the side where that converges fast."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1.0 - _beta_share(1 - x, b, a)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    below = lambda v: v if abs(v) > 1e-300 else 1e-300
+    c, d = 1.0, 1 / below(1 - (a + b) * x / (a + 1))
+    total, i, change = d, 0, 0.0
+    while abs(change - 1) > 1e-15 and i < 100_000:
+        i += 1
+        for term in (i * (b - i) * x / ((a + 2 * i - 1) * (a + 2 * i)), -(a + i) * (a + b + i) * x / ((a + 2 * i) * (a + 2 * i + 1))):
+            d, c = 1 / below(1 + term * d), below(1 + term / c)
+            change = c * d
+            total *= change
+    return front * total
+
+
+def f_ratio(df: DataFrame, by: list[str], value: str, second: Column) -> DataFrame:
+    """Variance of the ``second`` group over that of the first, and its two-sided p under normal values.
+
+    Null where a group has fewer than two values or the first does not vary.
+    """
+
+    @F.pandas_udf("double")
+    def tail(f: pd.Series, ka: pd.Series, kb: pd.Series) -> pd.Series:
+        one = lambda r, a, b: 2 * min(q := _beta_share(a * r / (a * r + b), a / 2, b / 2), 1 - q)
+        return pd.Series([min(1.0, one(r, a, b)) if r >= 0 else None for r, a, b in zip(f, ka, kb)], dtype="float64")
+
+    v = F.col(value).cast("double")
+    part = lambda s: F.when(second if s else ~second, v)
+    g = df.groupBy(*by).agg(
+        F.count(part(0)).alias("n_first"), F.count(part(1)).alias("n_second"), F.var_samp(part(0)).alias("var_first"), F.var_samp(part(1)).alias("var_second"))
+    g = g.withColumn("f", F.col("var_second") / F.nullif(F.col("var_first"), F.lit(0.0)))
+    return g.withColumn("p", F.nullif(tail("f", F.col("n_second") - 1, F.col("n_first") - 1), F.lit(float("nan"))))
 
 
 def zscore(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:

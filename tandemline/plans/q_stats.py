@@ -91,6 +91,18 @@ def f07(t: Tables):
     return r6(S.sd_ci(runs(t), ["arm"], "f1"), "mean", "sd", "sd_lo", "sd_hi", "new_lo", "new_hi")
 
 
+@query(
+    "f07_f_ratio", "counts",
+    f"""WITH {RUNS}, s AS (SELECT count(*) FILTER (arm = 'F') AS n_first, count(*) FILTER (arm = 'O') AS n_second, var_samp(f1) FILTER (arm = 'F') AS va, var_samp(f1) FILTER (arm = 'O') AS vb FROM ru),
+ x AS (SELECT *, vb / va AS f, vb / (vb + va) AS x FROM s), q AS (SELECT *, (SELECT sum(factorial(5)::DOUBLE / factorial(j::INT) / factorial((5 - j)::INT) * pow(x, j) * pow(1 - x, 5 - j)) FROM range(3, 6) r(j)) AS q FROM x)
+ SELECT n_first, n_second, round(va, 8) AS var_first, round(vb, 8) AS var_second, round(f, 6) AS f, round(2 * least(q, 1 - q), 6) AS p FROM q""",
+)
+def f07_f_ratio(t: Tables):
+    """Seven runs in each arm: six degrees of freedom, where the tail is a binomial sum."""
+    d = S.f_ratio(runs(t), [], "f1", F.col("arm") == "O")
+    return r6(d, "f", "p").withColumns({c: F.round(c, 8) for c in ("var_first", "var_second")})
+
+
 @query(
     "f07_fisher_combined", "",
     """WITH p AS (SELECT l_suppkey AS grp, exp(-l_tax::DOUBLE - 0.001) AS p FROM lineitem), g AS (SELECT grp, count(*) AS k, -sum(ln(p)) AS h FROM p GROUP BY 1)

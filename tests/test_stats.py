@@ -1,5 +1,8 @@
 """Literal values of the small-sample statistics, with groups too small for them."""
 
+import math
+
+import pytest
 from pyspark.sql import functions as F
 
 from tandemline.operators import stats as S
@@ -65,3 +68,46 @@ def test_fisher_of_large_groups(spark):
     assert abs(got[20_000, 20_000.0] - 0.5) < 0.01 and abs(got[1_000_000, 1_000_000.0] - 0.5) < 0.001
     rows = spark.range(20_000).select(F.lit("a").alias("g"), F.exp(F.lit(-0.041)).alias("p"))
     assert S.fisher_combined(rows, ["g"], "p").first().p == 1.0
+
+
+def test_t_quantiles_beyond_the_table(spark):
+    want = {1: 12.706, 30: 2.042, 31: 2.039513, 60: 2.000298, 120: 1.979930, 100_000: 1.959988}
+    rows = spark.createDataFrame([(k,) for k in [0, *want]], "k long")
+    got = {r.k: r.t for r in rows.select("k", S.t975(F.col("k")).alias("t")).collect()}
+    assert got.pop(0) is None and all(abs(got[k] - t) < 1e-6 for k, t in want.items())
+
+
+def test_groups_of_one_value_stay(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 2.0), ("c", None)], "g string, v double")
+    got = {r.g: (r.n, r["mean"], r.sd, r.sd_lo, r.new_hi) for r in S.sd_ci(df, ["g"], "v").collect()}
+    assert got["b"] == (1, 2.0, None, None, None) and got["c"] == (0, None, None, None, None) and got["a"][2] == 2**0.5
+
+
+def test_fisher_with_zero_and_odd_values(spark):
+    df = spark.createDataFrame([("a", 0.0), ("a", 0.5), ("b", 0.5), ("b", None), ("b", float("nan"))], "g string, p double")
+    got = {r.g: (r.k, r.chi2, round(r.p, 9)) for r in S.fisher_combined(df, ["g"], "p").collect()}
+    assert got["a"] == (2, float("inf"), 0.0) and got["b"][::2] == (1, 0.5)
+    with pytest.raises(Exception, match="not a p value"):
+        S.fisher_combined(df.withColumn("p", F.lit(1.5)), ["g"], "p").collect()
+
+
+def test_no_difference_is_no_evidence(spark):
+    assert tuple(S.sign_test(spark.createDataFrame([], "d double"), [], "d").first()) == (0, 0, 1.0)
+
+
+def test_f_ratio_against_closed_tails(spark):
+    # with 2 and 2 degrees of freedom the upper tail at f is 1 / (1 + f); with 2 and 4 it is (1 + f / 2) ** -2
+    rows = [(0, v) for v in (-1.0, 0.0, 1.0)] + [(1, v) for v in (-3.0, 0.0, 3.0)]
+    r = S.f_ratio(spark.createDataFrame(rows, "g int, v double"), [], "v", F.col("g") == 1).first()
+    assert (r.n_first, r.n_second, r.f) == (3, 3, 9.0) and abs(r.p - 0.2) < 1e-12
+    rows = [(0, v) for v in (-2.0, -1.0, 0.0, 1.0, 2.0)] + rows[3:]
+    r = S.f_ratio(spark.createDataFrame(rows, "g int, v double"), [], "v", F.col("g") == 1).first()
+    assert abs(r.p - 2 * (1 + 3.6 / 2) ** -2) < 1e-12
+    assert S.f_ratio(spark.createDataFrame(rows[:6], "g int, v double"), [], "v", F.col("g") == 1).first().p is None
+
+
+def test_sign_tail_of_many_differences(spark):
+    n, k = 1200, 640
+    df = spark.range(n).select(F.when(F.col("id") < k, -1.0).otherwise(1.0).alias("d"))
+    exact = sum(math.comb(n, i) for i in range(k, n + 1)) / 2**n
+    assert abs(S.sign_test(df, [], "d").first().p / exact - 1) < 1e-9
