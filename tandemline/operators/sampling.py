@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import cut_lineage
 from .scan import running, uniform_rank
 
 
@@ -77,6 +78,35 @@ def first_by(df: DataFrame, n: int, rand: Column, tie: list[str]) -> DataFrame:
     return df.withColumn("__u", rand).orderBy("__u", *tie).limit(n).drop("__u")
 
 
+def select_train(df: DataFrame, pos: Column, hard: Column, n: int, rand: Column, tie: list[str], per: int = 4096) -> DataFrame:
+    """Rows in keyed-random order with their class: 3/4 positive, 1/8 hard negative, plain negatives for the rest.
+
+    The order is read up to the first row at which the positive quota is full and the negatives of both kinds are a quarter
+    of ``n``; later rows count for nothing. The plain quota is a quarter less all hard negatives read, also those beyond
+    their own quota. A row that is both counts as positive. Rows are counted in cells of about ``per`` first, so only cells
+    up to the one that holds the stop are put in order.
+    """
+    cls = F.when(pos, "positive").when(hard, "hard").otherwise("plain")
+    d = cut_lineage(df.withColumn("cls", cls).withColumn("__u", rand))  # read four times below
+    cells = max(1, -(-d.count() // per))
+    one = lambda c: F.col("cls").isin(*c).cast("long")
+    d = d.withColumn("__c", F.floor(F.col("__u") * cells))
+    kinds = {"__p": ("positive",), "__h": ("hard",), "__n": ("plain",)}
+    hist = d.groupBy("__c").agg(*[F.sum(one(c)).alias(k) for k, c in kinds.items()])
+    upto = Window.orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
+    below = hist.select("__c", *[F.coalesce(F.sum(k).over(upto), F.lit(0)).alias(f"{k}0") for k in kinds])  # a row a cell
+    full = lambda tag="": (F.col(f"__p{tag}") >= n * 3 // 4) & (F.col(f"__h{tag}") + F.col(f"__n{tag}") >= n // 4)
+    need = d.join(below.filter(~full("0")), "__c")
+    w = Window.partitionBy("__c").orderBy("__u", *tie).rowsBetween(Window.unboundedPreceding, 0)
+    run = need.select(*df.columns, "cls", "__u", *[(F.col(f"{k}0") + F.sum(one(c)).over(w)).alias(k) for k, c in kinds.items()])
+    read = F.coalesce(F.min(F.when(full(), F.col("__p") + F.col("__h") + F.col("__n"))), F.max(F.col("__p") + F.col("__h") + F.col("__n")))
+    stop = run.agg(read.alias("__stop"))
+    seen = run.crossJoin(F.broadcast(stop)).filter("__p + __h + __n <= __stop")  # one row
+    left = seen.agg(F.greatest(F.lit(0), n // 4 - F.coalesce(F.max("__h"), F.lit(0))).alias("__left"))
+    keep = F.when(F.col("cls") == "positive", F.col("__p") <= n * 3 // 4).when(F.col("cls") == "hard", F.col("__h") <= n // 8).otherwise(F.col("__n") <= F.col("__left"))
+    return seen.crossJoin(F.broadcast(left)).filter(keep).select(*df.columns, "cls")
+
+
 def select_balanced(df: DataFrame, cls: str, n: int, rand: Column, tie: list[str]) -> DataFrame:
     """A sixth backchannel and half speak, at most what there is of them and at least one row's quota; listen fills up to ``n``."""
     part = lambda name, k: first_by(df.filter(F.col(cls) == name), k, rand, tie)

@@ -80,3 +80,35 @@ def containment(needles: DataFrame, texts: DataFrame, nid: str, tid: str, needle
     held = x.select(tid, F.explode(F.concat(*keys)).alias("__g")).select(tid, "__g.__k", "__g.__key").join(n.select("__k", "__key").distinct(), ["__k", "__key"], "left_semi")
     pairs = held.join(n, ["__k", "__key"]).select(nid, tid, "__head")
     return pairs.join(x.select(tid, "__text"), tid).filter(F.contains("__text", "__head")).select(nid, tid)
+
+
+def text_agreement(df: DataFrame, by: list[str], ref: str, hyp: str) -> DataFrame:
+    """Share of pairs whose texts are equal, and the mean and least similarity of the others; per group.
+
+    Both columns are normalised; a null counts as empty. Similarity is 1 - edits / length of the longer text, by
+    characters, not the share of matching blocks. Meant for utterances: the edit table grows with the product of the lengths.
+    """
+    a, b = F.coalesce(ref, F.lit("")), F.coalesce(hyp, F.lit(""))
+    sim = F.when(a != b, 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)))
+    return df.select(*by, (a == b).alias("__same"), sim.alias("__sim")).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("__same").alias("n_equal"), F.avg(F.col("__same").cast("double")).alias("share_equal"),
+        F.avg("__sim").alias("mean_similarity"), F.min("__sim").alias("least_similarity"))
+
+
+def provenance(a: DataFrame, b: DataFrame, by: list[str], key: str, turn: str, text: str) -> DataFrame:
+    """Per group of ``a``'s dialogues: how many ids ``b`` has, and of those with as many turns, all turns or the first turn equal.
+
+    Turns are compared by their own text (null as empty) in one full join on (id, turn); a dialogue is never put together.
+    A first turn is the lowest number that the dialogue has in ``a``.
+    """
+    x = a.select(*by, key, turn, F.coalesce(text, F.lit("")).alias("__x"))
+    y = b.select(key, turn, F.coalesce(text, F.lit("")).alias("__y"))
+    j = x.join(y, [key, turn], "full")
+    same = F.coalesce(F.col("__x") == F.col("__y"), F.lit(False))
+    d = j.groupBy(key).agg(
+        *[F.max(c).alias(c) for c in by], F.count("__x").alias("na"), F.count("__y").alias("nb"), F.count_if(same).alias("same"),
+        F.min_by(same, F.when(F.col("__x").isNotNull(), F.col(turn))).alias("first")).filter("na > 0")
+    yes = lambda c: F.count_if(F.expr(c))
+    return d.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), yes("nb > 0").alias("found"), yes("na = nb").alias("same_turns"),
+        yes("na = nb and same = na").alias("all_equal"), yes("nb > 0 and first").alias("first_equal"))

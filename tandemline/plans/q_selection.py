@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.keyed import u, u_sql
-from ..operators import sampling as G
+from ..operators import frames as D, intervals as I, matching as M, sampling as G
 from .catalog import query
-from .fixtures import Tables
+from .fixtures import WIDTH, Tables
+from .q_frames import SC
 
 _CLS = "CASE cls WHEN 'BC' THEN 'backchannel' WHEN 'Int' THEN 'speak' ELSE 'listen' END"
 
@@ -44,3 +45,24 @@ def g12(t: Tables):
 def g14(t: Tables):
     s = t.table("orders").select(F.col("o_custkey").alias("session"))
     return G.next_sessions(s, s.filter("session < 500 AND session % 3 = 0"), "session", 100)
+
+
+@query(
+    "g01_select_train", "chunks windows preds",
+    f"""WITH pe AS (SELECT * FROM preds p WHERE EXISTS (SELECT 1 FROM windows w WHERE w.session = p.session AND w.ch = p.ch AND p.t >= w.a AND p.t <= w.b AND w.realized <> 'None')),
+ cl AS (SELECT chunk, {u_sql(1, 'chunk')} AS uu, CASE WHEN EXISTS (SELECT 1 FROM pe WHERE pe.session = c.session AND pe.ch = c.ch AND pe.t >= c.t0 AND pe.t < c.t0 + 10) THEN 'positive'
+  WHEN EXISTS (SELECT 1 FROM windows w WHERE w.session = c.session AND w.ch = c.ch AND w.b > c.t0 AND w.a < c.t0 + 10 AND w.realized = 'None') THEN 'hard' ELSE 'plain' END AS cls FROM chunks c WHERE n_frames >= 7 AND {u_sql('used', 'chunk')} >= 0.1),
+ r AS (SELECT *, row_number() OVER o AS i, count(*) FILTER (cls = 'positive') OVER o AS p, count(*) FILTER (cls = 'hard') OVER o AS h, count(*) FILTER (cls = 'plain') OVER o AS n FROM cl WINDOW o AS (ORDER BY uu, chunk)),
+ s AS (SELECT * FROM r WHERE i <= coalesce((SELECT min(i) FROM r WHERE p >= 150 AND h + n >= 50), (SELECT max(i) FROM r)))
+ SELECT chunk, cls FROM s WHERE CASE cls WHEN 'positive' THEN p <= 150 WHEN 'hard' THEN h <= 25 ELSE n <= greatest(0, 50 - (SELECT max(h) FROM s)) END""",
+)
+def g01(t: Tables):
+    """Chunks with enough frames that are in no used set (here: a tenth of them), 200 of them."""
+    c = t.chunks.filter("n_frames >= 7").join(t.chunks.filter(u("used", "chunk") < 0.1).select("chunk"), "chunk", "left_anti")
+    inside = M.hit_any(t.preds, t.windows.filter("realized <> 'None'"), SC, "pid", 0.0, WIDTH).withColumn("t0x", F.col("t"))
+    at = D.attach_frames(inside, 10.0, 5.0, "t0x").select(*SC, F.col("c0").cast("long").alias("t0")).distinct().withColumn("pos", F.lit(True))
+    span = c.select("chunk", *SC, F.col("t0").cast("double").alias("a_s"), (F.col("t0") + 10).cast("double").alias("a_e"))
+    none = t.windows.filter("realized = 'None'").select(*SC, F.col("a").alias("b_s"), F.col("b").alias("b_e"))
+    hard = I.interval_join(span, none, SC, WIDTH, on=(F.col("b_e") > F.col("a_s")) & (F.col("b_s") < F.col("a_e"))).select("chunk").distinct().withColumn("hard", F.lit(True))
+    d = c.join(at, [*SC, "t0"], "left").join(hard, "chunk", "left").select("chunk", *[F.coalesce(k, F.lit(False)).alias(k) for k in ("pos", "hard")])
+    return G.select_train(d, F.col("pos"), F.col("hard"), 200, u(1, "chunk"), ["chunk"]).select("chunk", "cls")

@@ -176,3 +176,39 @@ def a13(t: Tables):
 @query("a14_positions", "", "SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) % 7 AS shard FROM orders")
 def a14_positions(t: Tables):
     return W.positions(t.table("orders").select("o_orderkey"), ["o_orderkey"]).select("o_orderkey", (F.col("pos") % 7).alias("shard"))
+
+
+#: DuckDB counts edits in bytes, so its twin writes each letter of Latin-1 beyond ASCII as one sign that texts no longer hold.
+_LATIN = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþß", "ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%&"
+_ALNUM = lambda c: f"translate(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}]', '', 'g'), '{_LATIN[0]}', '{_LATIN[1]}')"
+
+
+@query(
+    "h04_text_agreement", "utts words",
+    f"""WITH h AS (SELECT conv_id, turn, string_agg(word, ' ' ORDER BY pos) AS hyp FROM words GROUP BY 1, 2), p AS (SELECT speaker, {_ALNUM('text')} AS a, coalesce({_ALNUM('hyp')}, '') AS b FROM utts LEFT JOIN h USING (conv_id, turn)),
+ s AS (SELECT speaker, a = b AS eq, CASE WHEN a <> b THEN 1 - levenshtein(a, b) / greatest(length(a), length(b)) END AS sim FROM p)
+ SELECT speaker, count(*) AS n, count(*) FILTER (eq) AS n_equal, round(avg(eq::INT), 6) AS share_equal, round(avg(sim), 6) AS mean_similarity, round(min(sim), 6) AS least_similarity FROM s GROUP BY 1""",
+)
+def h04(t: Tables):
+    """Each turn's text against its words as heard."""
+    said = F.array_sort(F.collect_list(F.struct("pos", "word")))  # words of one turn
+    h = t.words.groupBy("conv_id", "turn").agg(F.array_join(F.transform(said, lambda r: r.word), " ").alias("hyp"))
+    d = t.utts.join(h, ["conv_id", "turn"], "left").select("speaker", X.norm_alnum(F.col("text")).alias("a"), X.norm_alnum(F.col("hyp")).alias("b"))
+    return r6(T.text_agreement(d, ["speaker"], "a", "b"), "share_equal", "mean_similarity", "least_similarity")
+
+
+@query(
+    "h03_provenance", "utts",
+    f"""WITH a AS (SELECT conv_id, turn, conv_id % 3 AS scenario, CASE WHEN conv_id % 5 = 0 THEN 'test' ELSE 'train' END AS split, {_DLG('text')} AS x FROM utts),
+ b AS (SELECT conv_id, turn, CASE WHEN conv_id % 4 = 1 AND turn % 3 = 2 THEN x || ' again' WHEN conv_id % 6 = 2 AND turn < 2 THEN '' ELSE x END AS y FROM a WHERE conv_id % 7 <> 3 AND NOT (conv_id % 8 = 5 AND turn > 3)),
+ na AS (SELECT conv_id, any_value(scenario) AS scenario, any_value(split) AS split, count(*) AS na, min(turn) AS t0 FROM a GROUP BY 1), nb AS (SELECT conv_id, count(*) AS nb FROM b GROUP BY 1),
+ sm AS (SELECT a.conv_id, count(*) AS same, min(a.turn) AS s0 FROM a JOIN b ON a.conv_id = b.conv_id AND a.turn = b.turn AND x = y GROUP BY 1)
+ SELECT scenario, split, count(*) AS n, count(nb) AS found, count(*) FILTER (na = nb) AS same_turns, count(*) FILTER (na = nb AND same = na) AS all_equal, count(*) FILTER (s0 = t0) AS first_equal FROM na LEFT JOIN nb USING (conv_id) LEFT JOIN sm USING (conv_id) GROUP BY 1, 2""",
+)
+def h03(t: Tables):
+    """Dialogues against a copy that lacks some, cuts some short and rewrites turns of others."""
+    c, k = F.col("conv_id"), F.col("turn")
+    a = t.utts.select("conv_id", "turn", (c % 3).alias("scenario"), F.when(c % 5 == 0, "test").otherwise("train").alias("split"), X.norm_dialogue(F.col("text")).alias("x"))
+    y = F.when((c % 4 == 1) & (k % 3 == 2), F.concat("x", F.lit(" again"))).when((c % 6 == 2) & (k < 2), "").otherwise(F.col("x"))
+    b = a.filter((c % 7 != 3) & ~((c % 8 == 5) & (k > 3))).select("conv_id", "turn", y.alias("x"))
+    return T.provenance(a, b, ["scenario", "split"], "conv_id", "turn", "x")

@@ -31,3 +31,34 @@ def test_a_frozen_set_keeps_its_ids_and_positions(spark):
 def test_next_sessions_follow_the_last_used_one(spark):
     s = spark.createDataFrame([(x,) for x in ("a", "b", "b", "d", "e", "c")], "s string")
     assert sorted(x.s for x in G.next_sessions(s, s.filter("s in ('a', 'c')"), "s", 5).collect()) == ["d", "e"]
+
+
+def _walk(rows, n):
+    """The plain scan: rows of (id, class) in order."""
+    got = {"positive": [], "hard": [], "plain": []}
+    for i, c in rows:
+        got[c].append(i)
+        if len(got["positive"]) >= n * 3 // 4 and len(got["hard"]) + len(got["plain"]) >= n // 4:
+            break
+    return {*got["positive"][: n * 3 // 4], *got["hard"][: n // 8], *got["plain"][: max(0, n // 4 - len(got["hard"]))]}
+
+
+def test_training_rows_stop_early_and_count_all_hard_ones(spark):
+    # 24 of them: 18 positive, 3 hard, plain ones fill a quarter less every hard row read
+    df = spark.range(400).select("id", F.floor(F.pmod(F.xxhash64("id"), F.lit(9))).alias("k")).withColumn("r", u(5, "id"))
+    pos, hard = F.col("k") < 4, F.col("k") < 6
+    rows = df.select("id", F.when(pos, "positive").when(hard, "hard").otherwise("plain").alias("c"), "r").collect()
+    want = _walk([(r.id, r.c) for r in sorted(rows, key=lambda r: (r.r, r.id))], 24)
+    for per in (3, 50, 4096):
+        assert {r.id for r in G.select_train(df.select("id", "k"), pos, hard, 24, u(5, "id"), ["id"], per).collect()} == want
+    # hard rows beyond their quota still take the place of plain ones
+    many = spark.range(60).select("id", F.when(F.col("id") < 20, 0).when(F.col("id") < 50, 4).otherwise(8).alias("k"))
+    order = F.col("id") / 60
+    got = G.select_train(many, pos, hard, 24, order, ["id"], 7).groupBy("cls").count().collect()
+    assert {r.cls: r["count"] for r in got} == {"positive": 18, "hard": 3}
+
+
+def test_training_rows_of_a_short_pool(spark):
+    df = spark.range(10).select("id", (F.col("id") % 9).alias("k"))
+    got = G.select_train(df, F.col("k") < 4, F.col("k") < 6, 80, u(1, "id"), ["id"]).count()
+    assert got == 10 and G.select_train(df.limit(0), F.col("k") < 4, F.col("k") < 6, 80, u(1, "id"), ["id"]).count() == 0
