@@ -79,6 +79,23 @@ FINAL = {"aimed insult": 0, "insult": 1, "negated insult": 2, "reported insult":
 WORDS = re.compile(r"\w+(?:['’]\w+)?|[.!?;|]+(?=\s|$)|\n")
 
 
+#: Words after which the machine has forgotten a trigger: the longest countdown of the grammar.
+REACH = 8
+
+
+def _enter(low: str, start: int) -> int:
+    """Where the ``REACH`` words before ``start`` begin, however long they are."""
+    size = 256
+    while True:
+        at = max(0, start - size)
+        begins = [w.start() for w in WORDS.finditer(low, at, start)]
+        if len(begins) > REACH:  # the first may be the rest of a word
+            return begins[-REACH]
+        if at == 0:
+            return 0
+        size *= 4
+
+
 class Matcher:
     """Counts of the readings that the grammar finds in the clauses of a text."""
 
@@ -90,7 +107,6 @@ class Matcher:
         heads = [re.escape(x) for x in sorted({*INSULTS, *THREATS})]
         tails = [re.escape(x) + r"\w*" for x in self.stems]
         self.find = re.compile(r"\b(?:" + "|".join([*tails, *(h + r"s?\b" for h in heads)]) + ")")
-        self.reach = 400  # characters of a clause looked at on either side of a match
 
     def kind(self, word: str) -> str:
         known = self.kinds.get(word) or (self.kinds.get(word[:-1]) if word[-1:] == "s" else None)
@@ -102,21 +118,18 @@ class Matcher:
         for m in self.find.finditer(low):
             if m.start() < done:
                 continue
-            # the machine forgets everything within some words, so a long clause is entered shortly before the match
-            state, at = 0, max(0, m.start() - self.reach)
-            for w in WORDS.finditer(low, at):
+            state = 0  # as triggers reach no further than the words before the match, an earlier start would lead here too
+            for w in WORDS.finditer(low, _enter(low, m.start())):
                 word = w[0]
+                if w.start() >= m.end():
+                    break
                 if not (word[0].isalnum() or word[0] == "_"):
                     state = 0
-                    if w.start() >= m.end():
-                        break
                     continue
                 state, said = self.machine.step(state, self.kind(word))
                 if w.start() >= max(done, m.start()) and said in FINAL:
                     out[FINAL[said]] += 1
                 done = max(done, w.end())
-                if w.start() > m.end() + self.reach:
-                    break
         return out
 
 

@@ -312,3 +312,18 @@ def test_released_tables_are_gone(spark):
     assert df.count() == 3 and os.path.isdir(path)
     common.release(spark)
     assert not os.path.exists(path) and not common._tables
+
+
+def test_triggers_reach_by_words_of_any_length():
+    from tandemline.llm.toxicity import READINGS, Matcher
+
+    read = lambda text: {r: n for r, n in zip(READINGS, Matcher([])(text)) if n}
+    for word in ("w", "w" * 90, "w" * 5000):
+        between = " ".join([word] * 5)
+        assert read(f"she said {between} idiot") == {"reported insult": 1}
+        assert read(f"he is not {word} {word} idiot") == {"negated insult": 1}
+        assert read(f"she said {between} {between} idiot") == {"bare insult": 1}
+        assert read(f"she said. {word} idiot") == {"bare insult": 1}
+    assert read("idiot idiot idiot") == {"bare insult": 3} and read("you idiot, you idiot") == {"aimed insult": 2}
+    # a match late in a long clause is read with the words right before it
+    assert read("idiot " + "a b c " * 2000 + "she said he is an idiot") == {"bare insult": 1, "reported insult": 1}
