@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.keyed import u_sql
+from ..functions.keyed import u, u_sql
 from ..operators import batches as B
+from ..operators.resample import delta_of
+from ..operators.scan import sized_rank
 from .catalog import query
 from .fixtures import ARMS, SEEDS, Tables
 from .q_levels import EVEN, FOLD, MULT, even
 from .q_matching import r6
 from .q_resample import COLS, DELTA_SQL, PLAIN, SUMS
-from .q_stats import RUNS, runs
+from .q_stats import runs
 
 _POS = "(n_gt > 0)::INT"
 
@@ -58,10 +60,6 @@ def f44(t: Tables):
  SELECT (SELECT count(*) FROM x) AS n, round(r_trend, 6) AS r_trend, round(r_lag1, 6) AS r_lag1, round(avg((abs(trend) >= abs(r_trend) - 1e-12)::INT), 6) AS p_trend, round(avg((abs(lag1) >= abs(r_lag1) - 1e-12)::INT), 6) AS p_lag1 FROM r, o WHERE b >= 0 GROUP BY r_trend, r_lag1""",
 )
 def f20(t: Tables):
-    from ..operators.resample import delta_of
-    from ..operators.scan import sized_rank
-    from ..functions.keyed import u
-
     x = even(t)
     n = x.groupBy("session").agg(F.count(F.lit(1)).alias("n"))
     r = sized_rank(x.join(n, "session").withColumn("__u", u(74, "chunk")), ["session"], "__u", ["chunk"], "n", "round")
