@@ -10,7 +10,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 _SUM_LIKE = {"sum", "count"}
 
@@ -125,13 +125,18 @@ def dense_index(df: DataFrame, key: list[str], rand: Column, name: str = "idx",
     return ranked.withColumn(name, F.col(name) - 1).drop("__u")
 
 
+def n_parts(spark: SparkSession) -> int:
+    """Partitions or buckets into which large rows are dealt."""
+    return min(4096, max(16, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def value_bucket(df: DataFrame, col: str, name: str = "__vb", buckets: int | None = None) -> DataFrame:
     """Add a monotone bucket of a numeric column with about equal row counts.
 
     The cut points are a fixed number of quantiles read once to the driver and then constant in the
     plan, so a lost executor recomputes the same buckets.  They affect balance only, never results.
     """
-    n = buckets or min(4096, max(16, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    n = buckets or n_parts(df.sparkSession)
     probs = [i / n for i in range(1, n)]
     cuts = sorted(set(df.approxQuantile(col, probs, 0.25 / n)))
     if not cuts:
