@@ -7,20 +7,30 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.keyed import u
-from .scan import ranked_values, uniform_rank
+from .scan import in_cells, n_parts, uniform_rank, value_cuts
 
 
 def auc(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
     """Exact rank-sum AUC with average ranks on ties; null when a class is missing.
 
-    Scores are collapsed to distinct values first; negatives below a value come from a two-level scan.
+    Rows are ranked inside value cells and the cells' counts are carried on, so a row is shuffled once at most; scores that
+    repeat much are collapsed to distinct values first.
     """
     by = by or []
-    pos, neg = F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)
-    v = ranked_values(df, by, score, {"np": pos, "nn": neg})
-    g = v.groupBy(*by).agg(
-        F.sum("np").alias("n_pos"), F.sum("nn").alias("n_neg"), F.sum(F.col("np") * (F.col("nn_below") + F.col("nn") / 2)).alias("__w")
+    one = lambda k: F.count_if(F.col("__y") == k).alias("__p" if k else "__n")
+    d = df.filter(F.col(score).isNotNull()).select(
+        *by, F.col(score).cast("double").alias("__v"), F.when(F.col(label) == 1, 1).when(F.col(label) == 0, 0).cast("tinyint").alias("__y")
     )
+    cuts = value_cuts(d, "__v")
+    if by or cuts != sorted(set(cuts)):
+        v = in_cells(d.groupBy(*by, "__v").agg(one(1), one(0)), "__v", cuts, "__c")
+    else:
+        v = in_cells(d, "__v", cuts, "__c").repartition(n_parts(df.sparkSession), "__c").groupBy("__c", "__v").agg(one(1), one(0))
+    before = lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    v = v.withColumn("__w", F.col("__p") * (before(Window.partitionBy(*by, "__c").orderBy("__v")) + F.col("__n") / 2))
+    c = v.groupBy(*by, "__c").agg(*[F.sum(x).alias(x) for x in ("__p", "__n", "__w")])
+    c = c.withColumn("__w", F.col("__w") + F.col("__p") * before(Window.partitionBy(*by).orderBy("__c")))  # a row per cell
+    g = c.groupBy(*by).agg(F.sum("__p").alias("n_pos"), F.sum("__n").alias("n_neg"), F.sum("__w").alias("__w"))
     ok = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
     return g.select(*by, "n_pos", "n_neg", F.when(ok, F.col("__w") / (F.col("n_pos") * F.col("n_neg"))).alias("auc"))
 

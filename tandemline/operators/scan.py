@@ -130,21 +130,30 @@ def n_parts(spark: SparkSession) -> int:
     return min(4096, max(16, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def value_bucket(df: DataFrame, col: str, name: str = "__vb", buckets: int | None = None) -> DataFrame:
-    """Add a monotone bucket of a numeric column with about equal row counts.
+def value_cuts(df: DataFrame, col: str, buckets: int | None = None) -> list[float]:
+    """Cut points of a numeric column with about equal row counts between them; a value that repeats much comes twice.
 
     The cut points are a fixed number of quantiles read once to the driver and then constant in the
     plan, so a lost executor recomputes the same buckets.  They affect balance only, never results.
     """
     n = buckets or n_parts(df.sparkSession)
-    probs = [i / n for i in range(1, n)]
-    cuts = sorted(set(df.approxQuantile(col, probs, 0.25 / n)))
+    return sorted(df.approxQuantile(col, [i / n for i in range(1, n)], 0.25 / n))
+
+
+def in_cells(df: DataFrame, col: str, cuts: list[float], name: str) -> DataFrame:
+    """Add the monotone cell of a numeric column among ``cuts``; NaN comes last."""
+    cuts = sorted(set(cuts))
     if not cuts:
         return df.withColumn(name, F.lit(0.0))
     splits = [float("-inf"), *cuts, float("inf")]
     return Bucketizer(splits=splits, inputCol=col, outputCol=name, handleInvalid="keep").transform(df)
 
 
+def value_bucket(df: DataFrame, col: str, name: str = "__vb", buckets: int | None = None) -> DataFrame:
+    """Add a monotone bucket of a numeric column with about equal row counts."""
+    return in_cells(df, col, value_cuts(df, col, buckets), name)
+
+
 def ranked_values(df: DataFrame, by: list[str], col: str, sums: dict[str, Column]) -> DataFrame:
     """One row per (by, value) with ``sums`` and their running totals below that value (``name_below``)."""
     pre = (

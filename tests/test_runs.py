@@ -44,3 +44,36 @@ def test_onsets_need_no_join_of_frames(spark):
     assert [(r[1], round(r[3] * 3)) for r in want] == [(i, sum(i + d in spk for d in (2, 3, 4))) for i in (1, 5, 8, 15, 23)]
     assert sorted(tuple(r) for r in D.outcome_labels(f, w, "k", 2, 4, ["yes"], span=8).collect()) == want
     assert len([x for x in above_cache(query(spark, "d25_outcome_labels")) if "Join" in x]) == 1  # the words
+
+
+def test_windows_meet_runs(spark):
+    runs = spark.createDataFrame([(1, 3, 9), (1, 12, 30), (2, 0, 5)], "k long, s long, e long")
+    wins = [(1, 0, 2.5, 4.0), (2, 1, 8.5, 13.5), (3, 2, 7.0, 9.0), (4, 1, 29.0, 29.0)]
+    w = spark.createDataFrame([(1 if k else 1, i, a, b) if k != 2 else (2, i, a, b) for i, k, a, b in wins], "k long, wid long, a double, b double")
+    p = (F.col("idx") / 100).alias("p")
+    frames = {(k, i) for k, s, e in ((1, 3, 9), (1, 12, 30), (2, 0, 5)) for i in range(s, e + 1)}
+    rows = [tuple(r) for r in w.collect()]
+    for late in (0, 2):
+        want = {(wid, i) for k, wid, a, b in rows for kk, i in frames if k == kk and i + late < b and i + 1 + late > a}
+        got = D.window_frames(w, runs, ["k"], "wid", 4.0, p, late).select("wid", "idx").collect()
+        assert sorted(tuple(r) for r in got) == sorted(want)
+    for rule, on in (("midpoint", lambda i, a, b: a <= i + 0.5 <= b), ("overlap", lambda i, a, b: i < b and i + 1 > a)):
+        got = D.marked_frames(runs, w, ["k"], 4, p, rule, 10.0).select("k", "idx", "inside").collect()
+        assert sorted(tuple(r) for r in got) == sorted((k, i, int(any(k == r[0] and on(i, r[2], r[3]) for r in rows))) for k, i in frames)
+
+
+def test_long_runs_go_on_over_blocks(spark):
+    on = {*range(2, 19), 25, 26, 40}
+    f = spark.createDataFrame([(7, i, i in on) for i in range(50)], "k long, idx long, x boolean")
+    r = D.realized_from_frames(f, ["k"], F.col("x"), 1.0, span=4).collect()[0]
+    assert (r.frac, r.max_span) == (len(on) / 50, 17.0)
+
+
+def test_auc_of_repeated_and_distinct_scores(spark):
+    from tandemline.operators.agreement import auc
+
+    for rows in ([(i * 7 % 97 / 97, i % 3 % 2) for i in range(97)], [(i % 4 / 4, i % 3 % 2) for i in range(97)]):
+        pos, neg = [v for v, y in rows if y], [v for v, y in rows if not y]
+        want = sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg))
+        got = auc(spark.createDataFrame(rows, "v double, y int"), "v", "y").collect()[0]
+        assert (got.n_pos, got.n_neg) == (len(pos), len(neg)) and abs(got.auc - want) < 1e-12
