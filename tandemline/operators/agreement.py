@@ -35,6 +35,15 @@ def auc(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> D
     return g.select(*by, "n_pos", "n_neg", F.when(ok, F.col("__w") / (F.col("n_pos") * F.col("n_neg"))).alias("auc"))
 
 
+def array_auc(scores: Column, labels: Column) -> Column:
+    """AUC of one row's short arrays of scores and labels (0/1), ties counted half; null when a class is missing."""
+    z = F.arrays_zip(scores.alias("v"), labels.alias("y"))
+    of = lambda k: F.transform(F.filter(z, lambda x: x["y"] == k), lambda x: x["v"])
+    add = lambda a, v: F.aggregate(a, F.lit(0.0), lambda s, x: s + v(x))
+    won = add(of(1), lambda p: add(of(0), lambda n: F.when(p > n, 1.0).when(p == n, 0.5).otherwise(0.0)))
+    return won / F.nullif(F.size(of(1)) * F.size(of(0)), F.lit(0))
+
+
 def response_and_alignment(df: DataFrame, tau: float, by: list[str]) -> DataFrame:
     """Share of windows with wscore >= tau, and AUC of wscore against realized."""
     d = df.withColumn("__y", (F.col("realized") != "None").cast("int"))

@@ -77,3 +77,33 @@ def test_auc_of_repeated_and_distinct_scores(spark):
         want = sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg))
         got = auc(spark.createDataFrame(rows, "v double, y int"), "v", "y").collect()[0]
         assert (got.n_pos, got.n_neg) == (len(pos), len(neg)) and abs(got.auc - want) < 1e-12
+
+
+def test_chunks_need_one_grouping(spark):
+    from tandemline.operators.agreement import array_auc
+
+    f = spark.createDataFrame([(1, i, float(i), i + 1.0, i % 7 / 7) for i in range(20) if i != 11], "k long, idx long, t0 double, t1 double, p double")
+    w = spark.createDataFrame([(1, 3.5, 4.5), (1, 12.0, 14.0), (1, 70.0, 71.0)], "k long, a double, b double")
+    got = {r.c0: (list(r.curve), list(r["mask"]), r.n_frames) for r in D.block_truth(f, w, ["k"], 5, 2.0, 5.0).collect()}
+    have = {i: i % 7 / 7 for i in range(20) if i != 11}
+    assert set(got) == {-5.0, 0.0, 5.0, 10.0, 15.0}
+    for c0, (curve, mask, n) in got.items():
+        lo = [int(c0) + 2 * k for k in range(5)]
+        assert curve == [max([have[i] for i in (x, x + 1) if i in have], default=0.0) for x in lo]
+        assert mask == [int(any(x < b and x + 2 > a for a, b in ((3.5, 4.5), (12.0, 14.0)))) for x in lo]
+        assert n == sum(c0 <= i < c0 + 10 for i in have)
+    a = spark.sql("select array(0.5D, 0.2D, 0.5D, 0.9D) s, array(1, 0, 0, 1) y").select(array_auc(F.col("s"), F.col("y")).alias("a"))
+    assert a.collect()[0].a == 3.5 / 4
+    for name in ("d10_block_curve", "d12_state_words", "e15_behavior_metrics", "e17_peak_decision", "e19_sequence_scores"):
+        assert len([x for x in above_cache(query(spark, name)) if "hashpartitioning(session" in x and "REPARTITION" not in x]) == 0, name
+
+
+def test_lag_sums_of_far_positions(spark):
+    a = [(1, i, i * 0.37 % 1) for i in [*range(0, 40), *range(200, 230)]]
+    b = [(1, i, i * 0.71 % 1) for i in [*range(5, 50), *range(190, 220)]]
+    df = lambda r: spark.createDataFrame(r, "k long, idx long, v double")
+    x, y = {i: v for _, i, v in a}, {i: v for _, i, v in b}
+    for block in (16, 65536):
+        for r in D.lag_sums(df(a), df(b), ["k"], 3, block).collect():
+            pairs = [(x[i + r.lag], v) for i, v in y.items() if i + r.lag in x]
+            assert r.n == len(pairs) and abs(r.sxy - sum(p * q for p, q in pairs)) < 1e-9
