@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, saved
+from .common import saved
 from .components import components
 
 SEED = 42
@@ -18,8 +18,10 @@ NUM, DEN = 4, 5
 PAIR_BUCKET = 32
 #: Hubs that the sets under a frequent shingle meet before the rest of them are compared with all.
 HUBS = 3
-#: One text in so many is counted for the order of the shingles; any common order gives the same result.
-SAMPLE = 16
+#: One text in so many is counted for the order of the shingles: every one. Any common order gives the same result.
+SAMPLE = 1
+#: Counters to which the shingles of all texts are dealt for that order.
+COUNTERS = 1 << 18
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -44,36 +46,31 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def frequent(docs: DataFrame, width: int) -> np.ndarray:
-    """Shingles met four times or more in a sample of the distinct texts, rarest first; only the order comes from them."""
-    texts = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).dropDuplicates(["text"])
+def frequencies(docs: DataFrame, width: int) -> np.ndarray:
+    """How many shingles of the texts fall to each of a fixed number of counters, whatever the input; only the order comes from them."""
+    texts = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
 
     def work(batches):
+        table = np.zeros(COUNTERS, np.int64)
         for pdf in batches:
             for t in pdf["text"]:
-                yield pd.DataFrame({"s": np.unique(shingles(t, width)).view(np.int64)})
+                np.add.at(table, (np.unique(shingles(t, width)) % np.uint64(COUNTERS)).astype(np.int64), 1)
+        at = np.flatnonzero(table)
+        yield pd.DataFrame({"c": at, "n": table[at]})
 
-    counts = texts.mapInPandas(work, "s long").groupBy("s").agg(F.count("*").alias("n")).where("n > 3")
-    found = counts.orderBy(F.desc("n"), "s").limit(BROADCAST_ROWS).toPandas()
-    return found["s"].to_numpy(np.int64)[::-1].view(np.uint64)
+    found = texts.mapInPandas(work, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).toPandas()
+    table = np.zeros(COUNTERS, np.int64)
+    table[found["c"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    return table
 
 
 def with_sets(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, th, fp, sh, n, pre): as ``with_fingerprints``, a hash of the set of shingles, its size and its prefix."""
-    common = frequent(docs, width)
-    by_value = np.argsort(common)
-    values = common[by_value]
+    count = frequencies(docs, width)
 
     def prefix(s: np.ndarray) -> np.ndarray:
         k = len(s) - -(-len(s) * NUM // DEN) + 1
-        if not len(values):
-            return s[:k]
-        at = np.minimum(np.searchsorted(values, s), len(values) - 1)
-        hit = values[at] == s
-        rare = s[~hit]
-        if len(rare) < k:
-            rare = np.concatenate([rare, s[hit][np.argsort(by_value[at[hit]])]])
-        return rare[:k]
+        return s[np.lexsort((s, count[(s % np.uint64(COUNTERS)).astype(np.int64)]))[:k]]
 
     def work(batches):
         for pdf in batches:
