@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.keyed import u
-from .scan import sized_rank
+from .scan import n_parts, sized_rank
 
 #: Votes of a slot that are drawn together; a larger slot is drawn in parts, as (1 - p)^m would vanish.
 DRAW = 512
 
+#: Votes of a dialogue that is shuffled inside its task; the votes of a larger one are ranked by shuffles.
+WHOLE = 1024
+
 
 def single_votes(slots: DataFrame, cats: list[str]) -> DataFrame:
     """(dialogue, slot, m, j, cat, n): every vote of every slot with its category's name; n votes in the dialogue."""
@@ -35,6 +42,57 @@ def permuted_votes(slots: DataFrame, cats: list[str], reps: int, seed: int) -> D
     return ranks.join(places, ["dialogue", "place"]).groupBy("rep", "dialogue", "slot", "m", "cat").agg(F.count(F.lit(1)).alias("c"))
 
 
+def _in_task(n_cats: int, reps: int, seed, at_once: int = 100_000):
+    """Shuffles whole dialogues, a row each with its slots and their votes of each category, and sums c^2 / m."""
+
+    def drawn(prefix: str, votes: list[bytes]) -> np.ndarray:
+        head = f"{prefix}|".encode()
+        return np.frombuffer(b"".join([hashlib.md5(head + v).digest() for v in votes]), ">u8")[::2] >> 12  # as ``u``
+
+    def run(batches):
+        q = np.zeros((reps, n_cats))
+        for batch in batches:
+            size, ends = batch.column("n").to_numpy(), np.cumsum(batch.column("k").to_numpy())
+            names = batch.column("slot").flatten().to_pylist()
+            votes = np.stack([batch.column(f"c{i}").flatten().to_numpy() for i in range(n_cats)], 1)
+            part = (np.cumsum(size) - size) // at_once
+            for rows in np.split(np.arange(len(size)), np.flatnonzero(np.diff(part)) + 1) if len(size) else []:
+                lo, hi = ends[rows[0] - 1] if rows[0] else 0, ends[rows[-1]]
+                c = votes[lo:hi]
+                m = c.sum(1)
+                slot, cat = np.repeat(np.arange(hi - lo), m), np.repeat(np.tile(np.arange(n_cats), hi - lo), c.ravel())
+                j = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                ids = [f"{names[lo + s]}|{i}".encode() for s, i in zip(slot.tolist(), j.tolist())]
+                d = np.repeat(np.arange(len(rows)), size[rows])
+                place = slot[np.lexsort((drawn("place", ids), d))] * n_cats  # the sort is stable: ties by slot and vote
+                for rep in range(reps):
+                    moved = np.bincount(place + cat[np.lexsort((drawn(f"{seed}|{rep}", ids), d))], minlength=c.size).reshape(c.shape)
+                    q[rep] += (moved * moved / m[:, None]).sum(0)
+        r, k = np.divmod(np.arange(q.size), n_cats)
+        yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(k), pa.array(q.ravel())], ["rep", "k", "q"])
+
+    return run
+
+
+def permuted_squares(slots: DataFrame, cats: list[str], reps: int, seed: int, whole: int = WHOLE) -> DataFrame:
+    """(rep, cat, q): sum of c^2 / m over the slots after the votes of each dialogue are shuffled as by ``permuted_votes``.
+
+    A dialogue of at most ``whole`` votes is one row and is shuffled in its task for all replicates, so no row is written
+    for a replicate and vote. Larger dialogues go through the ranks of ``permuted_votes``.
+    """
+    m = sum((F.col(c) for c in cats[1:]), F.col(cats[0]))
+    s = slots.select("dialogue", "slot", *cats).filter(m > 0)
+    sizes = s.groupBy("dialogue").agg(F.sum(m).alias("n"))
+    rows = s.join(sizes.filter(F.col("n") <= whole), "dialogue").groupBy("dialogue", "n").agg(F.array_sort(F.collect_list(F.struct("slot", *cats))).alias("x"))
+    rows = rows.repartition(n_parts(slots.sparkSession), "dialogue")  # little to read and much to do
+    rows = rows.select("n", F.size("x").cast("long").alias("k"), F.col("x.slot").cast("array<string>").alias("slot"), *[F.col(f"x.{c}").cast("array<bigint>").alias(f"c{i}") for i, c in enumerate(cats)])
+    names = F.array(*[F.lit(c) for c in cats])
+    small = rows.mapInArrow(_in_task(len(cats), reps, seed), "rep long, k long, q double").select("rep", F.get(names, F.col("k").cast("int")).alias("cat"), "q")
+    large = permuted_votes(s.join(sizes.filter(F.col("n") > whole).select("dialogue"), "dialogue"), cats, reps, seed)
+    large = large.groupBy("rep", "cat").agg(F.sum(F.col("c") * F.col("c") / F.col("m")).alias("q"))
+    return small.unionByName(large).groupBy("rep", "cat").agg(F.sum("q").alias("q"))
+
+
 def _dispersion(squares: Column, c: Column, m: Column, n: Column) -> Column:
     """Mean of (c - m p)^2 / (m p (1 - p)) over n slots from the sum of c^2 / m, with p = c / m from the totals."""
     p = c / m
@@ -56,7 +114,7 @@ def permutation_test(slots: DataFrame, cats: list[str], reps: int, seed: int) ->
         F.sum(F.col("c") * F.col("c") / F.col("__m")).alias("__s"),
     )
     total = total.withColumn("observed", _dispersion(F.col("__s"), F.col("c"), F.col("m"), F.col("n_slots")))
-    moved = permuted_votes(s, cats, reps, seed).groupBy("rep", "cat").agg(F.sum(F.col("c") * F.col("c") / F.col("m")).alias("__q"))
+    moved = permuted_squares(s, cats, reps, seed).withColumnRenamed("q", "__q")
     null = moved.join(F.broadcast(total), "cat")  # a row per category
     null = null.withColumn("s", _dispersion(F.col("__q"), F.col("c"), F.col("m"), F.col("n_slots")))
     g = null.groupBy("cat").agg(
