@@ -130,33 +130,40 @@ def permutation_test(slots: DataFrame, cats: list[str], reps: int, seed: int) ->
 
 def binomial(m: Column, p: Column, draw: Column) -> Column:
     """Inverse of the binomial distribution function at ``draw``: how many of 0..m-1 have a cumulative chance up to it."""
-    step = lambda a, k: F.struct(
-        (a.cum + a.pmf * (m - k) / (k + 1) * (p / (1 - p))).alias("cum"), (a.pmf * (m - k) / (k + 1) * (p / (1 - p))).alias("pmf"),
-        (a.c + F.when(draw >= a.cum, 1).otherwise(0)).alias("c"),
-    )
-    first = F.pow(1 - p, m)
-    start = F.struct(first.alias("cum"), first.alias("pmf"), F.lit(0).alias("c"))
+    def step(a, k):
+        more = a.pmf * (m - k) / (k + 1) * a.odds
+        return F.struct(
+            (a.cum + more).alias("cum"), more.alias("pmf"), (a.c + F.when(a.draw >= a.cum, 1).otherwise(0)).alias("c"), a.odds.alias("odds"), a.draw.alias("draw"))
+
+    first = F.pow(1 - p, m)  # odds and draw are in the state, as they would be evaluated in each step otherwise
+    start = F.struct(first.alias("cum"), first.alias("pmf"), F.lit(0).alias("c"), (p / (1 - p)).alias("odds"), draw.alias("draw"))
     steps = F.when(m > 0, F.sequence(F.lit(0).cast("long"), m - 1)).otherwise(F.array().cast("array<bigint>"))
     count = F.aggregate(steps, start, step, lambda a: a.c).cast("long")
     return F.when(p <= 0, 0).when(p >= 1, m).otherwise(count).cast("long")
 
 
-def redrawn(slots: DataFrame, cats: list[str], reps: int, seed: int) -> DataFrame:
-    """(rep, slot, m, cats..., r_cats...): each slot's votes drawn anew from its own shares.
+def redrawn(slots: DataFrame, cats: list[str], reps: int, seed: int, by: list[str] | None = None) -> DataFrame:
+    """(rep, slot, m, cats..., by..., r_cats...): each slot's votes drawn anew from its own shares.
 
-    The categories are drawn one after another as binomial counts of what is left, so votes are never written out.
+    The categories are drawn one after another as binomial counts of what is left, so votes are never written out. A slot
+    is one row of the input; one drawn in a single part is not shuffled, only the parts of larger ones are summed.
     """
     m = sum((F.col(c) for c in cats[1:]), F.col(cats[0]))
-    parts = F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / DRAW))
-    d = slots.select("slot", m.alias("m"), *cats).filter("m > 0")
-    d = d.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(reps - 1).cast("long"))).alias("rep"), parts.alias("__parts"))
-    d = d.select("*", F.explode("__parts").alias("part")).drop("__parts")
+    keys = ["rep", "slot", "m", *cats, *[c for c in by or [] if c not in ("slot", "m", *cats)]]
+    d = slots.select("slot", m.alias("m"), *cats, *keys[3 + len(cats):]).filter("m > 0").repartition(n_parts(slots.sparkSession), "slot")  # few rows and many draws
+    each = lambda d, part: _redraw(d.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(reps - 1).cast("long")))).withColumn("part", part), cats, seed)
+    one = each(d.filter(F.col("m") <= DRAW), F.lit(0).cast("long")).select(*keys, *[f"r_{c}" for c in cats])
+    many = each(d.filter(F.col("m") > DRAW), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / DRAW))))
+    return one.unionByName(many.groupBy(*keys).agg(*[F.sum(f"r_{c}").alias(f"r_{c}") for c in cats]))
+
+
+def _redraw(d: DataFrame, cats: list[str], seed: int) -> DataFrame:
+    """Adds r_cats, the votes drawn in (rep, slot, part)."""
     d = d.withColumn("__left", F.least(F.lit(DRAW).cast("long"), F.col("m") - F.col("part") * DRAW)).withColumn("__rest", F.col("m"))
     for k, c in enumerate(cats[:-1]):
         d = d.withColumn(f"r_{c}", binomial(F.col("__left"), F.when(F.col("__rest") > 0, F.col(c) / F.col("__rest")).otherwise(0.0), u(seed, "rep", "slot", "part", F.lit(k))))
         d = d.withColumn("__left", F.col("__left") - F.col(f"r_{c}")).withColumn("__rest", F.col("__rest") - F.col(c))
-    d = d.withColumn(f"r_{cats[-1]}", F.col("__left"))
-    return d.groupBy("rep", "slot", "m", *cats).agg(*[F.sum(f"r_{c}").alias(f"r_{c}") for c in cats])
+    return d.withColumn(f"r_{cats[-1]}", F.col("__left"))
 
 
 def noise_floor(slots: DataFrame, cats: list[str], reps: int, seed: int, by: list[str] | None = None) -> DataFrame:
@@ -165,9 +172,7 @@ def noise_floor(slots: DataFrame, cats: list[str], reps: int, seed: int, by: lis
     A slot whose votes agree, as one of a single vote does, adds zero.
     """
     by = by or []
-    d = redrawn(slots, cats, reps, seed)
-    if by:
-        d = d.join(slots.select("slot", *by), "slot")
+    d = redrawn(slots, cats, reps, seed, by)
     h = lambda c: F.col(f"r_{c}") / F.col("m")
     terms = [F.when(F.col(f"r_{c}") > 0, h(c) * F.log(h(c) / (F.col(c) / F.col("m")))).otherwise(0.0) for c in cats]
     mean = d.groupBy(*by, "rep").agg(F.avg(sum(terms[1:], terms[0])).alias("kl"), F.count(F.lit(1)).alias("n_slots"))
