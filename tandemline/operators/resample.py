@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.keyed import u
 from .matching import f1_of
-from .scan import dense_index, sized_rank, uniform_rank
+from .scan import dense_index, n_parts, sized_rank, uniform_rank
 
 
 def cells(arms: list[str], seeds: list[int]) -> list[str]:
@@ -104,19 +106,42 @@ def boot_crossed(wide: DataFrame, arms, seeds, reps: int, seed: int, levels: tup
     return out.select("b", _delta(arms, seeds, seed, levels).alias("delta"))
 
 
-def nested_weights(wide: DataFrame, reps: int, seed: int, levels: tuple[str, ...] = ("session", "block")) -> DataFrame:
-    """(b, session, pos, w): sessions are drawn, then each drawn copy redraws its own chunks; sessions may be ragged.
+#: Draws of a copy that are made in one row.
+BLOCK = 65536
+
+
+def nested_draws(wide: DataFrame, reps: int, seeds: list, levels: tuple[str, ...] = ("session", "block")) -> DataFrame:
+    """(draw, b, session, pos), a row for each chunk drawn: sessions are drawn, then each drawn copy redraws its own chunks;
+    sessions may be ragged. ``draw`` counts ``seeds``, each a resample of its own.
 
-    Without the session level every session is one copy; without the block level a copy takes each chunk once.
+    Without the session level every session is one copy; without the block level a copy takes each chunk once. Draws are
+    made in blocks that are dealt over the tasks, so a long session is not drawn in one.
     """
     size = wide.groupBy("session").agg(F.count(F.lit(1)).alias("n"))
     ns = size.count()
     sidx = dense_index(size, ["session"], u("idx", "session"), "sidx")
-    d = wide.sparkSession.range(reps * ns).select(F.expr(f"id div {ns}").alias("b"), (F.col("id") % ns).alias("copy"))
-    d = d.withColumn("sidx", F.floor(u(seed, "b", "copy") * ns) if "session" in levels else F.col("copy")).join(sidx, "sidx")
-    d = d.withColumn("slot", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
-    pos = F.floor(u(seed, "b", "copy", "slot") * F.col("n")) + 1 if "block" in levels else F.col("slot")
-    return d.select("b", "session", pos.alias("pos")).groupBy("b", "session", "pos").agg(F.count(F.lit(1)).alias("w"))
+    d = wide.sparkSession.range(len(seeds) * reps * ns).select(
+        F.expr(f"id div {reps * ns}").alias("draw"), F.expr(f"id div {ns} % {reps}").alias("b"), (F.col("id") % ns).alias("copy"))
+    named = F.get(F.array(*[F.lit(str(s)) for s in seeds]), F.col("draw").cast("int"))
+    d = d.withColumn("sidx", F.floor(u(named, "b", "copy") * ns) if "session" in levels else F.col("copy")).join(sidx, "sidx")
+    d = d.select("draw", "b", "copy", "session", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / BLOCK))).alias("__k"))
+    d = d.repartition(n_parts(wide.sparkSession), "draw", "b", "copy", "__k")
+    slots = F.sequence(F.col("__k") * BLOCK + 1, F.least("n", (F.col("__k") + 1) * BLOCK))
+    d = d.select("draw", "b", "copy", "session", "n", F.explode(slots).alias("slot"))
+    pos = F.floor(u(named, "b", "copy", "slot") * F.col("n")) + 1 if "block" in levels else F.col("slot")
+    return d.select("draw", "b", "session", pos.alias("pos"))
+
+
+def drawn_sums(wide: DataFrame, reps: int, seeds: list, levels: tuple[str, ...], cols: list[str], sums) -> DataFrame:
+    """Sums over the drawn chunks of each (draw, b).
+
+    Every draw is a narrow row that meets its chunk by (session, pos) in one of many hashed parts; the chunks, fewer and
+    wide, are the side in memory, and neither side is sorted or grouped.
+    """
+    n = n_parts(wide.sparkSession)
+    at = block_positions(wide, cols).repartition(n, "session", "pos")
+    d = nested_draws(wide, reps, seeds, levels).repartition(n, "session", "pos")
+    return d.join(at.hint("shuffle_hash"), ["session", "pos"]).groupBy("draw", "b").agg(*sums)
 
 
 def block_positions(wide: DataFrame, cols: list[str]) -> DataFrame:
@@ -127,18 +152,23 @@ def block_positions(wide: DataFrame, cols: list[str]) -> DataFrame:
 def boot_nested(wide: DataFrame, arms, seeds, reps: int, seed: int, levels: tuple[str, ...] = ("session", "block")) -> DataFrame:
     """Three-level bootstrap of the difference, nested; any subset of session, block and seed."""
     cols = cells(arms, seeds)
-    w = nested_weights(wide, reps, seed, levels).join(block_positions(wide, cols), ["session", "pos"])
-    s = w.groupBy("b").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in cols])
+    s = drawn_sums(wide, reps, [seed], levels, cols, [F.sum(c).alias(c) for c in cols])
     return s.select("b", _delta(arms, seeds, seed, levels).alias("delta"))
 
 
 def boot_paired(wide: DataFrame, thin: Column, arms, seeds, reps: int, seed: int, levels: tuple[str, ...] = ("session", "block", "seed")) -> DataFrame:
     """(b, full, thin, diff): the difference read on all chunks and on those that ``thin`` keeps, under one resample."""
+    return boot_paired_draws(wide, [thin], arms, seeds, reps, [seed], levels).drop("draw")
+
+
+def boot_paired_draws(wide: DataFrame, thins: list[Column], arms, seeds, reps: int, draw_seeds: list, levels: tuple[str, ...] = ("session", "block", "seed")) -> DataFrame:
+    """(draw, b, full, thin, diff): ``boot_paired`` for each thinning with its own seed, in one pass over the chunks."""
     cols = cells(arms, seeds)
-    pos = block_positions(wide.withColumn("__keep", thin.cast("long")), [*cols, "__keep"])
-    w = nested_weights(wide, reps, seed, levels).join(pos, ["session", "pos"])
-    s = w.groupBy("b").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in cols], *[F.sum(F.col("w") * F.col("__keep") * F.col(c)).alias(f"t_{c}") for c in cols])
-    d = s.select("b", _delta(arms, seeds, seed, levels).alias("full"), _delta(arms, seeds, seed, levels, "t_").alias("thin"))
+    keep = F.get("__keep", F.col("draw").cast("int"))
+    sums = [*[F.sum(c).alias(c) for c in cols], *[F.sum(F.when(keep, F.col(c)).otherwise(0)).alias(f"t_{c}") for c in cols]]
+    s = drawn_sums(wide.withColumn("__keep", F.array(*thins)), reps, draw_seeds, levels, [*cols, "__keep"], sums)
+    of = lambda pre: reduce(lambda e, k: e.when(F.col("draw") == k, _delta(arms, seeds, draw_seeds[k], levels, pre)), range(1, len(thins)), F.when(F.col("draw") == 0, _delta(arms, seeds, draw_seeds[0], levels, pre)))
+    d = s.select("draw", "b", of("").alias("full"), of("t_").alias("thin"))
     return d.withColumn("diff", F.col("thin") - F.col("full"))
 
 

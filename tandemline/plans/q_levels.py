@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.keyed import u, u_sql
@@ -82,8 +80,7 @@ _CP = lambda k: f"""cp{k} AS (SELECT b, sidx AS copy, CAST(floor({u_sql(140 + k,
  SELECT count(*) AS draws, round(avg(m), 6) AS mean, round(avg(v), 8) AS within, round(var_samp(m), 8) AS between, round(sqrt(avg(v) + var_samp(m)), 6) AS se FROM p""".replace("AS between", 'AS "between"'),
 )
 def f14_pooled(t: Tables):
-    boots = [R.boot_paired(folded(t), THINNED(k), ARMS, SEEDS, 10, 140 + k).withColumn("draw", F.lit(k)) for k in range(3)]
-    g = R.pooled_draws(reduce(DataFrame.union, boots))
+    g = R.pooled_draws(R.boot_paired_draws(folded(t), [THINNED(k) for k in range(3)], ARMS, SEEDS, 10, [140 + k for k in range(3)]))
     return r6(g.withColumn("within", F.round("within", 8)).withColumn("between", F.round("between", 8)), "mean", "se")
 
 
