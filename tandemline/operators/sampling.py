@@ -8,8 +8,8 @@ from ..session import cut_lineage
 from .scan import running, uniform_rank
 
 
-def near_used(cands: DataFrame, used: DataFrame, keys: list[str], t: str, length: float, apart: bool = False) -> DataFrame:
-    """Candidates with a used chunk of the same key closer than ``length``: an equi-join on time cells.
+def near_used(cands: DataFrame, used: DataFrame, keys: list[str], t: str, length: float, apart: bool = False, how: str = "left_semi") -> DataFrame:
+    """Candidates with a used chunk of the same key closer than ``length`` (without, if ``how`` says so): an equi-join on time cells.
 
     ``apart`` leaves out used chunks at the very same time. Chunks that just touch are not closer, whatever the rounding.
     """
@@ -19,12 +19,12 @@ def near_used(cands: DataFrame, used: DataFrame, keys: list[str], t: str, length
     dist = F.abs(F.col(f"a.{t}") - F.col("__ut"))
     near = (dist < length - 1e-9) & (dist > 0) if apart else dist < length - 1e-9
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*keys, "__k"]]
-    return a.alias("a").join(b.alias("b"), [*same, near], "left_semi").drop("__k")
+    return a.alias("a").join(b.alias("b"), [*same, near], how).drop("__k")
 
 
 def exclude_overlapping(cands: DataFrame, used: DataFrame, keys: list[str], cid: str, t: str, length: float) -> DataFrame:
-    hit = near_used(cands, used, keys, t, length).select(cid)
-    return cands.join(used.select(cid), cid, "left_anti").join(hit, cid, "left_anti")
+    """Candidates that are neither used nor closer than ``length`` to a used chunk of the same key. Ids are unique."""
+    return near_used(cands.join(used.select(cid), cid, "left_anti"), used, keys, t, length, how="left_anti")
 
 
 def flag_adjacent(cands: DataFrame, used: DataFrame, keys: list[str], t: str, length: float) -> DataFrame:
@@ -124,13 +124,29 @@ def stratified_sample(df: DataFrame, positive: Column, per: int, n: int, rand: C
 def extend_set(frozen: DataFrame, pool: DataFrame, used: DataFrame, key: str, pos: str, total: int, rand: Column) -> DataFrame:
     """(key, pos): the frozen ids at their positions, then ids of the pool in keyed order that are neither frozen nor used,
     up to ``total``. A frozen set of ``total`` ids or more is cut to its first."""
+    frozen = cut_lineage(frozen.select(key, pos))  # a set of about ``total`` rows, read several times
     have = frozen.count()
     if have >= total:
-        return frozen.select(key, pos).orderBy(pos).limit(total)
-    new = pool.select(key).join(frozen.select(key), key, "left_anti").join(used.select(key), key, "left_anti")
-    new = new.withColumn("__u", rand).orderBy("__u", key).limit(total - have)
+        return frozen.orderBy(pos).limit(total)
+    new = first_unused(pool.select(key), frozen.select(key).unionByName(used.select(key)), key, total - have, rand)
     w = Window.orderBy("__u", key)  # at most ``total`` rows
-    return frozen.select(key, pos).unionByName(new.select(key, (F.row_number().over(w) + have - 1).cast("long").alias(pos)))
+    return frozen.unionByName(new.select(key, (F.row_number().over(w) + have - 1).cast("long").alias(pos)))
+
+
+def first_unused(pool: DataFrame, used: DataFrame, key: str, n: int, rand: Column) -> DataFrame:
+    """(key, __u): the first ``n`` rows of the pool in keyed order whose key is not used.
+
+    Only the first rows are compared with the used ones. If too few of them are left, four times as many are read, up to
+    the whole pool.
+    """
+    pool, read = pool.withColumn("__u", rand), 4 * n
+    while True:
+        head = cut_lineage(pool.orderBy("__u", key).limit(read))
+        hit = used.join(F.broadcast(head.select(key)) if read <= 100_000 else head.select(key), key, "left_semi").distinct()
+        left = cut_lineage(head.join(hit, key, "left_anti").orderBy("__u", key).limit(n))
+        if left.count() == n or head.count() < read:
+            return left
+        read *= 4
 
 
 def next_sessions(sessions: DataFrame, used: DataFrame, key: str, n: int) -> DataFrame:
