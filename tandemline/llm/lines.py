@@ -14,17 +14,23 @@ from .common import release, saved, written
 #: Jaccard threshold as a fraction, so that all bounds are whole numbers.
 NUM, DEN = 4, 5
 #: Counters that token frequencies are summed into; two tokens may share one, which only makes the order less sharp.
-COUNTERS = 1 << 16
-#: Lines under one prefix token that are compared pair by pair; beyond it a second shared token is asked for.
+COUNTERS = 1 << 18
+#: Lines under one prefix token beyond which each line meets the token's earliest lines before it meets the others.
 PAIR_BUCKET = 32
-#: Lines under one token that a line left unsettled is compared with directly; beyond it, under pairs of tokens.
+#: Number of these earliest lines.
+HEADS = 8
+#: Lines under one token that are compared with each other; beyond it they are compared under pairs of tokens.
 PROBE_BUCKET = 2048
+#: A line's number is its document's, shifted by so many bits, and its place in the text.
+PLACE_BITS = 28
 #: Lines of so many tokens or more carry a wider parity, as 64 bits tell them apart no longer.
-LONG_LINE = 104
+LONG_LINE = 48
 #: Frequent prefix tokens that may be broadcast (a number each).
 BROADCAST_TOKENS = 1_000_000
 #: Kept lines whose positions may be broadcast to the documents (32 MB); beyond it that join shuffles.
 BROADCAST_LINES = 4_000_000
+#: A document's number must be below this, so that twice a line's number fits 63 bits.
+DOCUMENTS = 1 << 33
 
 
 def plain(text: Column) -> Column:
@@ -58,19 +64,14 @@ def _apart(x: str, y: str) -> Column:
     return sum((F.bit_count(F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k)))) for k in range(4)), F.lit(0))
 
 
-def _need(a: Column, b: Column) -> Column:
-    """Shared tokens two sets of these sizes must have at least."""
-    return F.ceil((NUM * (a + b)) / F.lit(NUM + DEN))
-
-
 def _numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
     """``docs`` with ``__n``, which orders the documents by doc_id (null last), then by a hash of the text.
 
-    It is the id itself where that is a whole number, never null and never repeated; otherwise the distinct
-    (doc_id, text) are numbered, and rows that repeat both are one document. Then true comes with it: numbers may repeat.
+    It is the id itself where that is a whole number below ``DOCUMENTS``, never null and never repeated; otherwise the
+    distinct (doc_id, text) are numbered, and rows that repeat both are one document. Then true comes with it: numbers may repeat.
     """
     whole = isinstance(docs.schema["doc_id"].dataType, (T.LongType, T.IntegerType, T.ShortType))
-    if whole and docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+    if whole and docs.groupBy("doc_id").count().where(f"count > 1 or doc_id is null or doc_id < 0 or doc_id >= {DOCUMENTS}").isEmpty():
         return docs.withColumn("__n", F.col("doc_id").cast("long")), False
     keys = docs.select(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("th")).distinct()
     parts = saved(keys.repartitionByRange("none", "id", "th").withColumn("part", F.spark_partition_id()))
@@ -86,135 +87,137 @@ def _rarity(docs: DataFrame) -> Callable[[Column], Column]:
     """Hash of a token -> its place in the common order: frequency class, then bits of the hash."""
     words = docs.select(F.explode(F.split(plain(F.col("text")), " ")).alias("t")).where("t <> ''")
     found = words.groupBy(F.xxhash64("t").bitwiseAND(F.lit(COUNTERS - 1)).alias("k")).agg(F.count("*").alias("n")).toPandas()
-    table = bytearray(COUNTERS)  # sixty-four thousand counters, whatever the input
+    table = bytearray(COUNTERS)  # a quarter of a million counters, whatever the input
     top = math.log(max(2, found["n"].max() if len(found) else 2))
     for k, n in zip(found["k"], found["n"]):
         table[k] = round(126 * math.log(n) / top)
-    classes = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")  # folded into one literal
+    classes = F.split(F.lit(",".join(map(str, table))), ",").cast("array<tinyint>")  # folded into one literal
 
     def place(h: Column) -> Column:
-        return F.shiftleft(F.get(classes, h.bitwiseAND(F.lit(COUNTERS - 1)).cast("int")), 32).bitwiseOR(F.shiftrightunsigned(h, 32))
+        return F.shiftleft(F.get(classes, h.bitwiseAND(F.lit(COUNTERS - 1)).cast("int")).cast("long"), 32).bitwiseOR(F.shiftrightunsigned(h, 32))
 
     return place
 
 
 def _classes(docs: DataFrame) -> DataFrame:
-    """One row for each distinct line with a word: first place (did, pos), size n, parity signature, rarest tokens."""
+    """One row for each distinct line with a word: number ``at`` of its first place, size n, parities, rarest tokens."""
     place = _rarity(docs)
     lines = docs.select("did", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = lines.select("did", "pos", plain(F.col("line")).alias("low"))
+    lines = lines.select(F.shiftleft("did", PLACE_BITS).bitwiseOR(F.col("pos").cast("long")).alias("at"), plain(F.col("line")).alias("low"))
     low = F.col("low")
-    lines = lines.select("did", "pos", F.xxhash64(F.lit(1), low).alias("k2"), F.xxhash64(low).alias("k3"), F.sort_array(F.transform(hashes(low), place)).alias("t"))
+    lines = lines.select("at", F.xxhash64(F.lit(1), low).alias("k2"), F.xxhash64(low).alias("k3"), F.sort_array(F.transform(hashes(low), place)).alias("t"))
     n = F.size("t")
     prefix = n - F.ceil(n * NUM / F.lit(DEN)).cast("int") + 1
     lines = lines.select(
-        "did", "pos", "k2", "k3", n.alias("n"), F.aggregate("t", F.lit(0).cast("long"), lambda a, v: a.bitwiseXOR(_bit(v))).alias("sig"), F.when(n >= LONG_LINE, _wide("t")).alias("w"),
+        "at", "k2", "k3", n.alias("n"), F.aggregate("t", F.lit(0).cast("long"), lambda a, v: a.bitwiseXOR(_bit(v))).alias("sig"), F.when(n >= LONG_LINE, _wide("t")).alias("w"),
         F.transform(F.slice("t", F.lit(1), prefix + 1), lambda v: v.bitwiseAND(F.lit(0xFFFFFFFF))).cast("array<long>").alias("pre"))
-    first = F.min(F.struct("did", "pos")).alias("f")
-    grouped = lines.groupBy("k2", "k3").agg(first, F.any_value("n").alias("n"), F.any_value("sig").alias("sig"), F.any_value("w").alias("w"), F.any_value("pre").alias("pre"))
+    grouped = lines.groupBy("k2", "k3").agg(F.min("at").alias("at"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig"), F.any_value("w").alias("w"), F.any_value("pre").alias("pre"))
     grouped = grouped.where("n > 0")  # only here: a filter on the lines would be pushed down and hash every word twice
-    return grouped.select("f.did", "f.pos", "n", "sig", "w", F.transform("pre", lambda v: (v - F.when(v >= 1 << 31, F.lit(1 << 32)).otherwise(0)).cast("int")).alias("pre"))
-
-
-def _could_match(x: str, y: str, placed: bool) -> Column:
-    """y is earlier than x, and sizes, parities and, if ``placed``, positions allow the threshold."""
-    c = lambda side, name: F.col(f"{side}.{name}")
-    nx, ny = c(x, "n"), c(y, "n")
-    earlier = (c(y, "did") < c(x, "did")) | ((c(y, "did") == c(x, "did")) & (c(y, "pos") < c(x, "pos")))
-    long_enough = (DEN * F.least(nx, ny)) >= (NUM * F.greatest(nx, ny))
-    alike = F.bit_count(c(x, "sig").bitwiseXOR(c(y, "sig"))) <= nx + ny - 2 * _need(nx, ny)
-    if not placed:
-        return earlier & long_enough & alike
-    i, j = c(x, "i"), c(y, "i")
-    return earlier & long_enough & (F.least(i, j) + 1 + F.least(nx - i - 1, ny - j - 1) >= _need(nx, ny)) & alike
-
-
-def _pairs(rows: DataFrame, keys: list[str], probes: DataFrame | None = None, placed: bool = True) -> DataFrame:
-    """Candidates: (xd, xp) and an earlier (yd, yp) under the same key."""
-    x, y = (rows if probes is None else probes).alias("x"), rows.alias("y")
-    same = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys]
-    test = _could_match("x", "y", placed)
-    if placed:  # the shorter line has a shared token among its first (1 - 2t / (1 + t)) n + 1
-        test = F.when(F.col("y.n") <= F.col("x.n"), F.col("y.lead")).otherwise(F.col("x.lead")) & test
-    for s in same:
-        test = s & test
-    if "w" in rows.columns:
-        test &= F.coalesce(_apart("x.w", "y.w") <= F.col("x.n") + F.col("y.n") - 2 * _need(F.col("x.n"), F.col("y.n")), F.lit(True))
-    return x.join(y, test).select(F.col("x.did").alias("xd"), F.col("x.pos").alias("xp"), F.col("y.did").alias("yd"), F.col("y.pos").alias("yp"))
-
-
-def _verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(xd, xp) of the pairs whose lines really reach the threshold, as a saved table; the others it needs are deleted."""
-    since = written()
-    # wide parities first, so that only lines of pairs that are nearly sure are split again
-    wide = lines.where("w is not null").select("did", "pos", "n", "w")
+    return grouped.select("at", "n", "sig", "w", F.transform("pre", lambda v: (v - F.when(v >= 1 << 31, F.lit(1 << 32)).otherwise(0)).cast("int")).alias("pre"))
+
+
+def _document() -> Column:
+    return F.shiftright("at", PLACE_BITS)
+
+
+def _place() -> Column:
+    return F.col("at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
+
+
+def _marked(lines: DataFrame, found: DataFrame) -> DataFrame:
+    """``a``, twice the line's number, is odd where the line has its match."""
+    had = found.select("x", F.lit(1).alias("had"))
+    had = F.broadcast(had) if found.count() <= BROADCAST_LINES // 4 else had
+    return lines.join(had, F.col("at") == F.col("x"), "left").withColumn("a", F.col("at") * 2 + F.coalesce("had", F.lit(0))).drop("x", "had", "at")
+
+
+def _rows(lines: DataFrame, *more: str) -> DataFrame:
+    """(tok, i, a, n, sig, w): a row for each token of a line's prefix, rarest first."""
+    width = F.col("n") - F.ceil(F.col("n") * NUM / F.lit(DEN)).cast("int") + 1  # ``pre`` has one more where there is one
+    rows = lines.select("a", "n", "sig", "w", *more, F.posexplode(F.slice("pre", F.lit(1), width)).alias("i", "tok"))
+    # a join adds these tests to one side or the other; with them on both, the two sides share one shuffle
+    return rows.where("a is not null and n is not null and sig is not null and i is not null and tok is not null")
+
+
+def _rest_parity(lines: DataFrame) -> DataFrame:
+    """Rows as ``_rows``; ``sig`` leaves out the tokens before the row's own."""
+    rows = _rows(lines, "pre")
+    before = F.aggregate(F.slice("pre", F.lit(1), F.col("i")), F.lit(0).cast("long"), lambda a, v: a.bitwiseXOR(_bit(v.cast("long"))))
+    return rows.withColumn("sig", F.col("sig").bitwiseXOR(before))
+
+
+def _alike(x: str, y: str, before: Column | int = 0) -> Column:
+    """Parities and sizes allow the threshold, besides ``before`` tokens that differ; all bounds are multiplied out."""
+    nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
+    apart = F.bit_count(F.col(f"{x}.sig").bitwiseXOR(F.col(f"{y}.sig"))) + before
+    wide = (NUM + DEN) * _apart(f"{x}.w", f"{y}.w") <= (DEN - NUM) * (nx + ny)
+    return ((NUM + DEN) * apart <= (DEN - NUM) * (nx + ny)) & (DEN * nx >= NUM * ny) & (DEN * ny >= NUM * nx) & F.coalesce(wide, F.lit(True))
+
 
-    def parity(s: str) -> DataFrame:
-        return wide.select(F.col("did").alias(s + "d"), F.col("pos").alias(s + "p"), F.col("n").alias(s + "n"), F.col("w").alias(s + "w"))
+def _pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Candidates (x, y): a line without a match and an earlier line, under the first token that they share.
 
-    marked = pairs.join(parity("x"), ["xd", "xp"], "left").join(parity("y"), ["yd", "yp"], "left")
-    close = _apart("xw", "yw") <= F.col("xn") + F.col("yn") - 2 * _need(F.col("xn"), F.col("yn"))
-    pairs = saved(marked.where(F.coalesce(close, F.lit(True))).select("xd", "xp", "yd", "yp"))
-    ends = pairs.select(F.col("xd").alias("d"), F.col("xp").alias("p")).union(pairs.select("yd", "yp")).groupBy("d").agg(F.collect_set("p").alias("ps"))
-    ends = saved(ends)  # at most a document's own lines in a row
+    All tokens before that one are in one line only, so they count as differences besides those of the later tokens.
+    """
+    x, y = rows.alias("x"), rows.alias("y")
+    test = _alike("x", "y", F.col("x.i") + F.col("y.i")) & (F.col("y.a") < F.when(F.col("x.a") % 2 == 0, F.col("x.a")).otherwise(-1))
+    for k in keys:
+        test = (F.col(f"x.{k}") == F.col(f"y.{k}")) & test
+    return x.join(y, test).select(F.shiftright("x.a", 1).alias("x"), F.shiftright("y.a", 1).alias("y"))
+
+
+def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(x) of the pairs whose lines really reach the threshold, as a saved table; the others it needs are deleted."""
+    since = written()
+    pairs = saved(pairs.distinct())
+    ends = pairs.select(F.col("x").alias("at")).union(pairs.select("y"))
+    ends = saved(ends.groupBy(_document().alias("d")).agg(F.collect_set(_place()).alias("ps")))  # at most a document's own lines in a row
     wanted = F.broadcast(ends) if pairs.count() <= BROADCAST_LINES // 4 else ends
     parts = docs.join(wanted, docs["did"] == F.col("d")).select("d", F.split("text", "\n").alias("lines"), F.explode("ps").alias("p"))
-    sets = saved(parts.select("d", "p", hashes(plain(F.get("lines", F.col("p")))).alias("t")))
-    x, y = (sets.select(F.col("d").alias(s + "d"), F.col("p").alias(s + "p"), F.col("t").alias(s + "t")) for s in "xy")
-    both = pairs.join(x, ["xd", "xp"]).join(y, ["yd", "yp"])
-    both = both.select("xd", "xp", F.size("xt").alias("nx"), F.size("yt").alias("ny"), F.size(F.array_intersect("xt", "yt")).alias("both"))
-    found = saved(both.where(DEN * F.col("both") >= NUM * (F.col("nx") + F.col("ny") - F.col("both"))).select("xd", "xp").distinct())
+    sets = saved(parts.select(F.shiftleft("d", PLACE_BITS).bitwiseOR(F.col("p").cast("long")).alias("at"), hashes(plain(F.get("lines", F.col("p")))).alias("t")))
+    x, y = (sets.select(F.col("at").alias(s), F.col("t").alias("t" + s)) for s in "xy")
+    both = pairs.join(x, "x").join(y, "y")
+    both = both.select("x", F.size("tx").alias("nx"), F.size("ty").alias("ny"), F.size(F.array_intersect("tx", "ty")).alias("both"))
+    found = saved(both.where(DEN * F.col("both") >= NUM * (F.col("nx") + F.col("ny") - F.col("both"))).select("x").distinct())
     release(docs.sparkSession, since, last=1)
     return found
 
 
 def _matched(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(xd, xp) of the distinct lines that an earlier distinct line matches.
+    """(x) of the distinct lines that an earlier distinct line matches.
 
-    Under a token with few lines all pairs are candidates. Under a frequent one each line first meets the earliest line
-    only, which settles families of similar lines in linear work; what is left there is compared with the token's lines.
-    Under a very frequent token it is compared under pairs of tokens: two lines of two words or more that reach the
-    threshold and meet under a token share another one in prefixes longer by one. A line of one word only matches lines
-    of the same word alone, so the earliest of these settles all later ones. Of its tables only the result's stays.
+    Under a token with many lines each first meets the earliest ones, which settles families of similar lines in linear
+    work. A line that is not settled is then compared with the earlier lines under its prefix tokens; under a very
+    frequent token, under that and a later token: two lines of two words or more that reach the threshold share the
+    second of their common tokens in prefixes longer by one. A line of one word only matches lines of the same word
+    alone, so the earliest of these settles all later ones. Of its tables only the result's stays.
     """
     since = written()
-    width = F.col("n") - F.ceil(F.col("n") * NUM / F.lit(DEN)).cast("int") + 1  # ``pre`` has one more where there is one
-    rows = lines.select("did", "pos", "n", "sig", "w", F.posexplode(F.slice("pre", F.lit(1), width)).alias("i", "tok"))
-    rows = rows.withColumn("lead", F.col("i") <= F.col("n") - F.ceil(F.col("n") * (2 * NUM) / F.lit(NUM + DEN)))
-    hot = saved(rows.groupBy("tok").agg(F.count("*").alias("m")).where(F.col("m") > PAIR_BUCKET))
+    group = Window.partitionBy("tok")
+    whole = group.orderBy("a").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    line = F.struct("a", "n", "sig", "w")
+    firsts = [F.nth_value(line, k + 1).over(whole).alias(f"v{k}") for k in range(HEADS)]
+    met = _rows(lines.withColumn("a", F.col("at") * 2)).select("tok", line.alias("u"), F.count("*").over(whole).alias("m"), *firsts)
+    met = met.where(F.col("m") > PAIR_BUCKET).select("tok", "u", "m", F.explode(F.array(*[f"v{k}" for k in range(HEADS)])).alias("v"))
+    first = (F.col("u.a") == F.col("v.a")) & (F.col("m") > PROBE_BUCKET)  # of these one row a line: the token is frequent
+    heads = met.where(first | ((F.col("v.a") < F.col("u.a")) & _alike("u", "v")))
+    heads = saved(heads.select(F.when(first, F.col("tok")).alias("tok"), F.shiftright("u.a", 1).alias("x"), F.shiftright("v.a", 1).alias("y")))
+    alone = lines.where("n = 1").select(F.get("pre", F.lit(0)).alias("tok"), "at")
+    sole = alone.select(F.col("at").alias("x"), F.min("at").over(group).alias("y")).where("x <> y")
+    found = _verified(docs, heads.where("tok is null").select("x", "y").union(sole))
+    hot = saved(heads.where("tok is not null").select("tok").distinct())
     many = hot.count()
     hot = F.broadcast(hot) if many <= BROADCAST_TOKENS else hot
-    few = rows.drop("w").join(hot, "tok", "left_anti")
-    hot_rows = saved(rows.join(hot, "tok"))
-    x = F.struct("did", "pos", "n", "sig", "i")
-    heads = saved(hot_rows.groupBy("tok").agg(F.min(x).alias("y")))
-    led = hot_rows.select("tok", x.alias("x")).join(F.broadcast(heads) if many <= BROADCAST_TOKENS // 4 else heads, "tok")
-    led = led.where(_could_match("x", "y", True)).select("x.did", "x.pos", "y.did", "y.pos")
-    alone = hot_rows.where("n = 1").select("tok", "did", "pos")
-    sole = alone.groupBy("tok").agg(F.min(F.struct("did", "pos")).alias("y"))
-    sole = alone.join(F.broadcast(sole) if many <= BROADCAST_TOKENS // 4 else sole, "tok").where(F.struct("did", "pos") > F.col("y"))
-    led = led.union(sole.select("did", "pos", "y.did", "y.pos"))
-    pairs = saved(_pairs(few, ["tok"]).union(led).distinct())
-    # the earliest candidate of a line is nearly always a match; the rest are checked only where it is not
-    best = saved(pairs.groupBy("xd", "xp").agg(F.min(F.struct("yd", "yp")).alias("y")).select("xd", "xp", "y.yd", "y.yp"))
-    found = _verified(docs, lines, best)
-    rest = pairs.join(found, ["xd", "xp"], "left_anti").join(best, ["xd", "xp", "yd", "yp"], "left_anti")
+    rows = _rest_parity(_marked(lines, found))
+    rest = saved(_pairs((rows.join(hot, "tok", "left_anti") if many else rows).drop("pre"), ["tok"]).distinct())
     if many:
-        settled = found.select(F.col("xd").alias("did"), F.col("xp").alias("pos"))
-        firsts = heads.select("tok", "y.did", "y.pos")
-        left = saved(hot_rows.join(settled, ["did", "pos"], "left_anti").join(firsts, ["tok", "did", "pos"], "left_anti"))
-        near = left.where(F.col("m") <= PROBE_BUCKET)
-        rest = rest.union(_pairs(hot_rows.where(F.col("m") <= PROBE_BUCKET), ["tok"], near))
-        left = left.where(F.col("m") > PROBE_BUCKET).select("tok", "did", "pos")
-        if not left.isEmpty():
-            met = hot_rows.join(left.select("tok").distinct(), "tok", "left_semi").select("tok", "did", "pos").join(lines, ["did", "pos"])
-            two = saved(met.select("did", "pos", "n", "sig", "w", "tok", F.explode(F.array_distinct("pre")).alias("tok2")).where("tok <> tok2"))
-            probes = two.join(left, ["tok", "did", "pos"], "left_semi")
-            rest = rest.union(_pairs(two, ["tok", "tok2"], probes, placed=False))
-            # two words may share a token; their lines alone are few here, as the earliest settled the others
-            one = met.where("n = 1").select("did", "pos", "n", "sig", "tok")
-            rest = rest.union(_pairs(one, ["tok"], one.join(left, ["tok", "did", "pos"], "left_semi"), placed=False))
-    matched = saved(found.union(_verified(docs, lines, rest.distinct())))
+        under = rows.join(hot, "tok")
+        later = F.array_distinct(F.slice("pre", F.col("i") + 2, F.size("pre")))
+        two = under.select("a", "n", "sig", "w", "i", "tok", F.explode(later).alias("tok2")).where("tok <> tok2")
+        rest = rest.union(saved(_pairs(two, ["tok", "tok2"]).distinct()))
+        # two words may share a token; their lines alone are few here, as the earliest settled the others
+        rest = rest.union(_pairs(under.where("n = 1").drop("pre"), ["tok"]))
+    matched = saved(found.union(_verified(docs, rest)))
     release(docs.sparkSession, since, last=1)
     return matched
 
@@ -232,7 +235,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     numbered = named.select(F.col("__n").alias("did"), "text").dropDuplicates(["did"]) if repeated else named.select(F.col("__n").alias("did"), "text")
     lines = saved(_classes(numbered))
     matched = _matched(numbered, lines)
-    first = lines.select("did", "pos").join(matched, (F.col("did") == F.col("xd")) & (F.col("pos") == F.col("xp")), "left_anti")
+    first = lines.select("at").join(matched, F.col("at") == F.col("x"), "left_anti").select(_document().alias("did"), _place().alias("pos"))
     kept = saved(first.groupBy("did").agg(F.sort_array(F.collect_set("pos")).alias("kept")))
     gap = lambda p, i: F.concat(F.repeat(F.lit("0"), p - F.when(i == 0, -1).otherwise(F.get("kept", i - 1)) - 1), F.lit("1"))
     mask = kept.select(F.col("did").alias("__did"), F.array_join(F.transform("kept", gap), "").cast("binary").alias("__mask"))
