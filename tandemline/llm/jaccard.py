@@ -5,10 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import release, saved, written
 from .components import components
 
 SEED = 42
@@ -22,6 +22,8 @@ HUBS = 3
 SAMPLE = 1
 #: Counters to which the shingles of all texts are dealt for that order.
 COUNTERS = 1 << 18
+#: 64-bit words of a set's parities; two sets differ in at least as many shingles as parities.
+WORDS = 16
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -65,13 +67,17 @@ def frequencies(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def with_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, th, fp, sh, n, pre): as ``with_fingerprints``, a hash of the set of shingles, its size and its prefix."""
+    """(doc_id, th, fp, sh, n, sk, pre): as ``with_fingerprints``, a hash of the set of shingles, its size, parities and prefix."""
     count = frequencies(docs, width)
 
     def prefix(s: np.ndarray) -> np.ndarray:
         k = len(s) - -(-len(s) * NUM // DEN) + 1
         return s[np.lexsort((s, count[(s % np.uint64(COUNTERS)).astype(np.int64)]))[:k]]
 
+    def parities(s: np.ndarray) -> np.ndarray:
+        odd = np.bincount((s % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
+        return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
     def work(batches):
         for pdf in batches:
             rows = []
@@ -79,25 +85,33 @@ def with_sets(docs: DataFrame, width: int) -> DataFrame:
                 hashes = shingles(t, width)
                 s = np.unique(hashes)
                 pre = prefix(s) if len(s) else s
-                rows.append((majority(hashes), xxhash.xxh64_intdigest(s.tobytes(), SEED), len(s), pre.view(np.int64)))
-            fp, sh, n, pre = zip(*rows) if rows else ((), (), (), ())
+                rows.append((majority(hashes), xxhash.xxh64_intdigest(s.tobytes(), SEED), len(s), parities(s), pre.view(np.int64)))
+            fp, sh, n, sk, pre = zip(*rows) if rows else ((), (), (), (), ())
             signed = lambda v: np.array(v, np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "th": pdf["th"].array, "fp": signed(fp), "sh": signed(sh), "n": np.array(n, np.int64), "pre": pd.Series(pre, dtype=object)})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "th": pdf["th"].array, "fp": signed(fp), "sh": signed(sh), "n": np.array(n, np.int64), "sk": pd.Series(sk, dtype=object), "pre": pd.Series(pre, dtype=object)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shape = f"doc_id {kind}, th long, fp long, sh long, n long, pre array<long>"
+    shape = f"doc_id {kind}, th long, fp long, sh long, n long, sk array<long>, pre array<long>"
     return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInPandas(work, shape)
 
 
 def _could_match(x: str, y: str) -> Column:
-    """Sizes and the positions of the shared shingle allow the threshold."""
+    """Sizes allow the threshold, and the positions of the shared shingle as the first that the two sets share.
+
+    Each pair that reaches it meets under that one; all shingles before it are in one set only.
+    """
     nx, ny, i, j = (F.col(c) for c in (f"{x}.n", f"{y}.n", f"{x}.i", f"{y}.i"))
-    need = F.ceil((NUM * (nx + ny)) / F.lit(NUM + DEN))
-    return (DEN * F.least(nx, ny) >= NUM * F.greatest(nx, ny)) & (F.least(i, j) + 1 + F.least(nx - i - 1, ny - j - 1) >= need)
+    return (DEN * F.least(nx, ny) >= NUM * F.greatest(nx, ny)) & ((NUM + DEN) * (i + j + F.abs((nx - i) - (ny - j))) <= (DEN - NUM) * (nx + ny))
 
 
 def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """The pairs (a, b) of sets that really reach the threshold."""
+    """The pairs (a, b) of sets that really reach the threshold, as a saved table; the others it needs are deleted."""
+    since = written()
+    # parities first: a set is many times as wide, and is shipped once for every pair that is left
+    x, y = (sets.select(F.col("sh").alias(c), F.col("n").alias(f"n{c}"), F.col("sk").alias(f"s{c}")) for c in "ab")
+    apart = sum((F.bit_count(F.get("sa", F.lit(k)).bitwiseXOR(F.get("sb", F.lit(k)))) for k in range(WORDS)), F.lit(0))
+    near = (NUM + DEN) * apart <= (DEN - NUM) * (F.col("na") + F.col("nb"))
+    pairs = saved(pairs.join(x, "a").join(y, "b").where(near).select("a", "b"))
     ends = pairs.select(F.col("a").alias("sh")).union(pairs.select("b")).distinct()
     wanted = saved(sets.select("sh", "th").join(ends, "sh").select("sh", F.col("th").alias("__th")))
 
@@ -109,7 +123,9 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, width: int) ->
     full = saved(texts.mapInPandas(work, "sh long, t array<long>").dropDuplicates(["sh"]))
     x, y = (full.select(F.col("sh").alias(c), F.col("t").alias(f"t{c}")) for c in "ab")
     both = pairs.join(x, "a").join(y, "b").select("a", "b", F.size("ta").alias("na"), F.size("tb").alias("nb"), F.size(F.array_intersect("ta", "tb")).alias("both"))
-    return saved(both.where(DEN * F.col("both") >= NUM * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"))
+    found = saved(both.where(DEN * F.col("both") >= NUM * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"))
+    release(docs.sparkSession, since, last=1)
+    return found
 
 
 def links(docs: DataFrame, marked: DataFrame, width: int) -> DataFrame:
@@ -120,12 +136,11 @@ def links(docs: DataFrame, marked: DataFrame, width: int) -> DataFrame:
     apart from the largest part of a shingle's sets is compared with all of them.
     """
     held = marked.where("n > 0")
-    sets = saved(held.groupBy("sh").agg(F.min("fp").alias("fp"), F.min("th").alias("th"), F.any_value("n").alias("n"), F.any_value("pre").alias("pre")))
+    sets = saved(held.groupBy("sh").agg(F.min("fp").alias("fp"), F.min("th").alias("th"), F.any_value("n").alias("n"), F.any_value("sk").alias("sk"), F.any_value("pre").alias("pre")))
     low = sets.select("sh", F.col("fp").alias("a"))
     same = held.select("sh", F.col("fp").alias("b")).distinct().join(low, "sh").where("a <> b").select("a", "b")
     rows = sets.select("sh", "n", F.posexplode("pre").alias("i", "tok"))
-    sizes = rows.groupBy("tok").agg(F.count("*").alias("m")).where("m > 1")
-    rows = saved(rows.join(sizes, "tok"))
+    rows = saved(rows.withColumn("m", F.count("*").over(Window.partitionBy("tok"))).where("m > 1"))
 
     def pairs(x: DataFrame, y: DataFrame) -> DataFrame:
         x, y = x.alias("x"), y.alias("y")
