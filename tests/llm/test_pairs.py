@@ -11,7 +11,7 @@ def test_candidates_in_a_family_of_lines_stay_few(spark, monkeypatch):
     rows = []
     for i in range(400):
         w = list(base)
-        for k in r.sample(range(58), 9):  # most pairs differ in too many words
+        for k in r.sample(range(58), 5):  # most pairs differ in too many words
             w[k] = f"e{r.randrange(10**6)}"
         rows.append((i, " ".join(w)))
     made, pairs = [], lines._pairs
