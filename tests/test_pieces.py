@@ -55,3 +55,12 @@ def test_run_lag_sums_equals_lag_sums_of_frames(spark, block, most):
     for (session, ch, _), r in got.items():
         w = tot[session, ch]
         assert (r.nb, r.minb, r.maxb) == (w.n, w.lo, w.hi) and abs(r.tb - w.t) < 1e-9
+
+
+def test_best_lag_makes_the_sums_once(spark):
+    from tandemline.plans import q_frames
+    from tandemline.plans.fixtures import Tables
+
+    plan = q_frames.d16(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("== Initial Plan ==")[-1]
+    assert plan.count("MapInArrow") + plan.count("FlatMapGroupsIn") == 1
