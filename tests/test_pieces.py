@@ -64,3 +64,26 @@ def test_best_lag_makes_the_sums_once(spark):
     plan = q_frames.d16(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
     plan = plan.split("== Initial Plan ==")[-1]
     assert plan.count("MapInArrow") + plan.count("FlatMapGroupsIn") == 1
+
+
+@pytest.mark.parametrize("block, most", [(65536, 1 << 19), (16, 20)])
+def test_window_percentile_equals_every_frame(spark, block, most):
+    def score(keys, first, count):
+        return keyed_runs(7, keys, first, count) / 2.0**52
+
+    runs, f = frames_of(spark)
+    rows = [(i, 0, 0, float(a), float(a + n)) for i, (a, n) in enumerate([(0.5, 3.0), (70.0, 3.0), (71.0, 1.5), (0.0, 200.0), (85.25, 40.0), (90.0, 0.0), (90.5, 0.0)])]
+    rows += [(10, 0, 1, -41.5, -39.0), (11, 0, 1, -10.0, 61.0), (12, 7, 1, 9_999_999.5, 10_000_002.5), (13, 8, 0, 0.0, 5.0), (14, None, 0, 0.0, 5.0)]
+    w = spark.createDataFrame(rows, "wid long, session long, ch long, a double, b double")
+    all_p = {}
+    for r in f.collect():
+        all_p.setdefault((r.session, r.ch), []).append((r.idx, r.p))
+    want = {}
+    for wid, session, ch, a, b in rows:
+        series = all_p.get((session, ch), [])
+        v = [p for i, p in series if i < b and i + 1 > a]
+        if v:
+            want[wid] = (np.median(v), sum(p < np.median(v) for _, p in series) / len(series))
+    got = {r.wid: (r.med, r.share_below) for r in S.window_percentile(w, runs, ["session", "ch"], "wid", score, block, most).collect()}
+    assert got.keys() == want.keys() and len(got) == 8
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
