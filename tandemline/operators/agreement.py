@@ -28,8 +28,13 @@ def auc(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> D
         v = in_cells(d, "__v", cuts, "__c").repartition(n_parts(df.sparkSession), "__c").groupBy("__c", "__v").agg(one(1), one(0))
     before = lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     v = v.withColumn("__w", F.col("__p") * (before(Window.partitionBy(*by, "__c").orderBy("__v")) + F.col("__n") / 2))
-    c = v.groupBy(*by, "__c").agg(*[F.sum(x).alias(x) for x in ("__p", "__n", "__w")])
-    c = c.withColumn("__w", F.col("__w") + F.col("__p") * before(Window.partitionBy(*by).orderBy("__c")))  # a row per cell
+    return auc_of_cells(v.groupBy(*by, "__c").agg(*[F.sum(x).alias(x) for x in ("__p", "__n", "__w")]), by)
+
+
+def auc_of_cells(cells: DataFrame, by: list[str]) -> DataFrame:
+    """AUC from a row per cell of values __c: positives __p, negatives __n, and the pairs of the cell won by positives __w."""
+    below = F.sum("__n").over(Window.partitionBy(*by).orderBy("__c").rowsBetween(Window.unboundedPreceding, -1))
+    c = cells.withColumn("__w", F.col("__w") + F.col("__p") * F.coalesce(below, F.lit(0)))
     g = c.groupBy(*by).agg(F.sum("__p").alias("n_pos"), F.sum("__n").alias("n_neg"), F.sum("__w").alias("__w"))
     ok = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
     return g.select(*by, "n_pos", "n_neg", F.when(ok, F.col("__w") / (F.col("n_pos") * F.col("n_neg"))).alias("auc"))

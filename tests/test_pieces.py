@@ -87,3 +87,29 @@ def test_window_percentile_equals_every_frame(spark, block, most):
     got = {r.wid: (r.med, r.share_below) for r in S.window_percentile(w, runs, ["session", "ch"], "wid", score, block, most).collect()}
     assert got.keys() == want.keys() and len(got) == 8
     assert all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+@pytest.mark.parametrize("by, block, most", [([], 65536, 1 << 19), (["session", "ch"], 65536, 1 << 19), ([], 16, 20), (["session", "ch"], 16, 20)])
+def test_run_auc_equals_all_pairs(spark, by, block, most):
+    def score(keys, first, count):
+        return keyed_runs(7, keys, first, count) // np.uint64(2**49)  # eight values, so there are ties
+
+    if not by:
+        def score(keys, first, count):  # noqa: F811
+            return keyed_runs(7, keys, first, count) // np.uint64(2**46) * np.uint64(2**46)
+
+    runs, f = frames_of(spark)
+    ranges = [(0, 0, 5, 30), (0, 0, 60, 75), (0, 1, -50, -20), (7, 1, 10_000_000, 10_000_049), (9, 9, 0, 3)]
+    marks = spark.createDataFrame(ranges, "session long, ch long, lo long, hi long")
+    want = {}
+    for r in f.collect():
+        key = (r.session, r.ch) if by else ()
+        inside = any((s, c) == (r.session, r.ch) and lo <= r.idx <= hi for s, c, lo, hi in ranges)
+        want.setdefault(key, ([], []))[inside].append(int(r.p * 2**52) // (2**49 if by else 2**46))
+    rows = S.run_auc(runs, marks, ["session", "ch"], by, score, block, most).collect()
+    got = {tuple(r[k] for k in by): r for r in rows}
+    assert got.keys() == want.keys()
+    for k, (neg, pos) in want.items():
+        assert (got[k].n_pos, got[k].n_neg) == (len(pos), len(neg))
+        won = [(p > n) + (p == n) / 2 for p in pos for n in neg]
+        assert got[k].auc == (pytest.approx(sum(won) / len(won)) if won else None)
