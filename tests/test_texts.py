@@ -18,3 +18,29 @@ def test_provenance_grid(spark):
     got = {r.g: tuple(r)[1:] for r in df.collect()}
     # of x's three, two are found, one has as many turns, that one equals throughout, both begin alike
     assert got == {"x": (3, 2, 1, 1, 2), "y": (1, 1, 1, 0, 0)}
+
+
+def test_edits_of_words_equal_the_edit_table():
+    import random
+    import time
+
+    from tandemline.functions.text import _distance
+
+    def table(r, h, free):
+        row, best = list(range(len(h) + 1)), len(h)
+        for i, a in enumerate(r, 1):
+            new = [0 if free else i]
+            for j, b in enumerate(h, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (a != b)))
+            row, best = new, min(best, new[-1])
+        return best if free else row[-1]
+
+    rnd = random.Random(5)
+    for _ in range(400):
+        r, h = ([rnd.choice("abcd") for _ in range(rnd.randint(1, 70))] for _ in range(2))
+        for free in (True, False):
+            assert _distance(r, h, free) == table(r, h, free)
+    long = [rnd.choice("abcdefgh") for _ in range(20000)]
+    t = time.process_time()
+    assert _distance(long, long[:-9], False) == 9
+    assert time.process_time() - t < 1.5
