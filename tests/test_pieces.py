@@ -113,3 +113,19 @@ def test_run_auc_equals_all_pairs(spark, by, block, most):
         assert (got[k].n_pos, got[k].n_neg) == (len(pos), len(neg))
         won = [(p > n) + (p == n) / 2 for p in pos for n in neg]
         assert got[k].auc == (pytest.approx(sum(won) / len(won)) if won else None)
+
+
+def test_boundary_report_groups_chunks_by_number_and_equals_its_twin(spark):
+    import duckdb
+
+    from tandemline.plans import catalog, q_matching
+    from tandemline.plans.fixtures import Tables
+
+    df = q_matching.e25(Tables(spark, "/root/testdata/sf0.001"))
+    assert "chunk#" not in df._jdf.queryExecution().executedPlan().toString()  # no join on names of chunks
+    con = duckdb.connect()
+    con.execute("CREATE VIEW events AS SELECT * FROM '/root/testdata/sf0.001/events.parquet'")
+    cur = con.execute(catalog.ORACLES["e25_boundary_report"])
+    cols = [d[0] for d in cur.description]
+    want = sorted(tuple(r) for r in cur.fetchall())
+    assert sorted(tuple(r) for r in df.select(*cols).collect()) == want
