@@ -129,3 +129,13 @@ def test_boundary_report_groups_chunks_by_number_and_equals_its_twin(spark):
     cols = [d[0] for d in cur.description]
     want = sorted(tuple(r) for r in cur.fetchall())
     assert sorted(tuple(r) for r in df.select(*cols).collect()) == want
+
+
+def test_sft_rows_do_not_shuffle_chunks(spark):
+    from tandemline.plans import q_sources
+    from tandemline.plans.fixtures import Tables
+
+    df = q_sources.a13(Tables(spark, "/root/testdata/sf0.001"))
+    plan = df._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+    assert "Join" not in plan and "hashpartitioning(session" in plan
+    assert "hashpartitioning(chunk" not in plan and ", t0" not in "".join(x for x in plan.splitlines() if "hashpartitioning" in x)
